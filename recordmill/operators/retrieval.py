@@ -37,9 +37,13 @@ def but_not(left: DataFrame, right: DataFrame, on: str = "id") -> DataFrame:
     return left.join(right, on, "left_anti")
 
 
-def page(records: DataFrame, order: str, offset: int, count: int) -> DataFrame:
+def page(
+    records: DataFrame, order: str | Sequence[str], offset: int, count: int, descending: Sequence[bool] | bool = False
+) -> DataFrame:
     """One page of an ordered result."""
-    return records.orderBy(order).offset(offset).limit(count)
+    order = [order] if isinstance(order, str) else list(order)
+    down = [descending] * len(order) if isinstance(descending, bool) else list(descending)
+    return records.orderBy(*order, ascending=[not d for d in down]).offset(offset).limit(count)
 
 
 def fetch(

@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 from recordmill.plans.ordered import Running, following, running
 
 
-def carry_forward(lines: DataFrame, order: str, value: Column, name: str, initial: str | None = "None") -> DataFrame:
+def wall_micros(ts: str) -> Column:
+    """Microseconds since 1970 of a timestamp's wall-clock fields, in any session time zone."""
+    second = F.expr(f"CAST(extract(SECOND FROM `{ts}`) * 1000000 AS BIGINT)")
+    day = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("long")
+    return (((day * 24 + F.hour(ts)) * 60 + F.minute(ts)) * 60) * 1_000_000 + second
+
+
+def carry_forward(lines: DataFrame, order: str, value: Column, name: str, initial: object = "None") -> DataFrame:
     """Last non-null ``value`` at or before each row; ``initial`` before the first."""
     carried = running(lines, order, [Running(name, value, how="last")])
     return carried if initial is None else carried.withColumn(name, F.coalesce(name, F.lit(initial)))

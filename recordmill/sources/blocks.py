@@ -26,10 +26,11 @@ from pyspark.sql.types import StructType
 from recordmill.sources.delimited import Paths
 
 # Binary layouts.
-LENGTH = struct.Struct("<q")
-V2_HEAD = struct.Struct("<IH")
+LENGTH = "<q"
+V2_HEAD = "<IH"
 V2_ENTRY_BYTES = 8
-INDEX_ENTRY = struct.Struct("<HQQQ4s")
+INDEX_ENTRY = "<HQQQ4s"
+INDEX_BYTES = 30
 INDEX_MARK = b"CRC!"
 
 BLOCK_SCHEMA = "file STRING, block_id BIGINT, at BIGINT, stored_size BIGINT"
@@ -63,16 +64,17 @@ def read_block_index(files: DataFrame, version: int = 1) -> DataFrame:
             for file, size in zip(batch["file"], batch["size"]):
                 with open_input(file) as handle:
                     rows, block_id = [], 0
-                    while head := handle.read(LENGTH.size if version == 1 else V2_HEAD.size):
+                    head_bytes = struct.calcsize(LENGTH if version == 1 else V2_HEAD)
+                    while head := handle.read(head_bytes):
                         if version == 2:
-                            if len(head) < V2_HEAD.size:
+                            if len(head) < head_bytes:
                                 raise ValueError(f"{file}: truncated block header")
-                            _, count = V2_HEAD.unpack(head)
+                            _, count = struct.unpack(V2_HEAD, head)
                             handle.seek(count * V2_ENTRY_BYTES, os.SEEK_CUR)
-                            head = handle.read(LENGTH.size)
-                        if len(head) < LENGTH.size:
+                            head = handle.read(struct.calcsize(LENGTH))
+                        if len(head) < struct.calcsize(LENGTH):
                             raise ValueError(f"{file}: truncated block header")
-                        (stored,) = LENGTH.unpack(head)
+                        (stored,) = struct.unpack(LENGTH, head)
                         at = handle.tell()
                         if stored < 0 or at + stored > size:
                             raise ValueError(f"{file}: truncated block {block_id}")
@@ -115,75 +117,117 @@ def read_blocks(
     return spread.mapInPandas(load, "file STRING, block_id BIGINT, stored_size BIGINT, payload BINARY")
 
 
-class _PartFile(WriterCommitMessage):
-    def __init__(self, staged: str | None, final: str | None, blocks: int):
-        self.staged, self.final, self.blocks = staged, final, blocks
+class _Parts(WriterCommitMessage):
+    def __init__(self, staged: list[tuple[str, str]], rows: int):
+        self.staged, self.rows = staged, rows
 
 
-class BlockDataSource(DataSource):
-    """Sink ``recordmill_blocks``: payload bytes in, one block file per task out.
+class _PartWriter(DataSourceWriter):
+    """Tasks write hidden files; the commit renames them.
 
-    Tasks write hidden files and the commit renames them, so a retried or
-    speculative task leaves nothing behind.
+    A retried or speculative task therefore leaves nothing behind.
     """
 
-    @classmethod
-    def name(cls) -> str:
-        return "recordmill_blocks"
-
-    def schema(self) -> str:
-        return "payload BINARY"
-
-    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return _BlockWriter(self.options, overwrite)
-
+    suffixes: tuple[str, ...] = ()
 
-class _BlockWriter(DataSourceWriter):
     def __init__(self, options, overwrite: bool):
-        self.uri = options["path"]
-        self.version, self.level = int(options.get("version", 1)), int(options.get("level", 9))
-        self.existing = [] if not overwrite else self._names()
-        if not overwrite and self._names():
+        self.uri, self.options = options["path"], dict(options)
+        system, folder = locate(self.uri)
+        found = [info.path for info in system.get_file_info(fs.FileSelector(folder, allow_not_found=True))]
+        if found and not overwrite:
             raise ValueError(f"{self.uri} is not empty; use force")
+        self.replaced = found
 
-    def _names(self) -> list[str]:
-        system, folder = locate(self.uri)
-        found = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
-        return [info.path for info in found]
+    def emit(self, rows, *handles) -> int:
+        raise NotImplementedError
 
     def write(self, rows) -> WriterCommitMessage:
         from pyspark import TaskContext
 
         context = TaskContext.get()
         system, folder = locate(self.uri)
-        final = f"{folder}/part-{context.partitionId():05d}.blocks"
-        staged = f"{folder}/.attempt-{context.taskAttemptId()}"
         system.create_dir(folder)
-        blocks = 0
-        with system.open_output_stream(staged) as handle:
-            for row in rows:
-                data = zlib.compress(bytes(row[0]), self.level)
-                if self.version == 2:
-                    # One record per block: its header holds offset 0 and its size.
-                    handle.write(V2_HEAD.pack(len(row[0]), 1) + struct.pack("<II", 0, len(row[0])))
-                handle.write(LENGTH.pack(len(data)) + data)
-                blocks += 1
-        return _PartFile(staged, final, blocks)
+        staged = [
+            (f"{folder}/.attempt-{context.taskAttemptId()}{s}", f"{folder}/part-{context.partitionId():05d}{s}")
+            for s in self.suffixes
+        ]
+        handles = [system.open_output_stream(path) for path, _ in staged]
+        try:
+            count = self.emit(rows, *handles)
+        finally:
+            for handle in handles:
+                handle.close()
+        return _Parts(staged, count)
 
     def commit(self, messages) -> None:
         system, _ = locate(self.uri)
-        for path in self.existing:
+        for path in self.replaced:
             system.delete_file(path)
         for message in filter(None, messages):
-            if message.blocks:
-                system.move(message.staged, message.final)
-            else:
-                system.delete_file(message.staged)
+            for staged, final in message.staged:
+                system.move(staged, final) if message.rows else system.delete_file(staged)
 
     def abort(self, messages) -> None:
         system, _ = locate(self.uri)
         for message in filter(None, messages):
-            system.delete_file(message.staged)
+            for staged, _ in message.staged:
+                system.delete_file(staged)
+
+
+class _BlockWriter(_PartWriter):
+    suffixes = (".blocks",)
+
+    def emit(self, rows, out) -> int:
+        version, level = int(self.options.get("version", 1)), int(self.options.get("level", 9))
+        count = 0
+        for count, row in enumerate(rows, start=1):
+            data = zlib.compress(bytes(row[0]), level)
+            if version == 2:
+                # One record per block: its header holds offset 0 and its size.
+                out.write(struct.pack(V2_HEAD, len(row[0]), 1) + struct.pack("<II", 0, len(row[0])))
+            out.write(struct.pack(LENGTH, len(data)) + data)
+        return count
+
+
+class _ChunkWriter(_PartWriter):
+    suffixes = (".out", ".idx")
+
+    def emit(self, rows, out, index) -> int:
+        count = at = 0
+        for count, row in enumerate(rows, start=1):
+            stream, voffset, payload = row
+            out.write(bytes(payload))
+            index.write(struct.pack(INDEX_ENTRY, stream, voffset, at, len(payload), INDEX_MARK))
+            at += len(payload)
+        return count
+
+
+class BlockDataSource(DataSource):
+    """Sink ``recordmill_blocks``: payload rows in, one file of blocks per task out."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "recordmill_blocks"
+
+    def schema(self) -> str:
+        return "payload BINARY"
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        return _BlockWriter(self.options, overwrite)
+
+
+class ChunkDataSource(DataSource):
+    """Sink ``recordmill_chunks``: a data file and its 30-byte index per task."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "recordmill_chunks"
+
+    def schema(self) -> str:
+        return "stream INT, voffset BIGINT, payload BINARY"
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        return _ChunkWriter(self.options, overwrite)
 
 
 def write_blocks(df: DataFrame, path: str, *, payload: str = "payload", version: int = 1, level: int = 9, force=False):
@@ -198,8 +242,15 @@ def write_blocks(df: DataFrame, path: str, *, payload: str = "payload", version:
     )
 
 
+def write_chunks(df: DataFrame, path: str, *, force: bool = False) -> None:
+    """Write (stream, voffset, payload) rows as data files with chunk indexes."""
+    df.sparkSession.dataSource.register(ChunkDataSource)
+    rows = df.select(F.col("stream").cast("int"), F.col("voffset").cast("long"), F.col("payload").cast("binary"))
+    rows.write.format("recordmill_chunks").mode("overwrite" if force else "append").save(path)
+
+
 def compress_files(spark: SparkSession, paths: Paths, out: str, *, level: int = 9, force: bool = False) -> None:
-    """One block per input file, in path order inside each part."""
+    """One block per input file, in path order over the parts."""
     files = spark.read.format("binaryFile").load(paths).orderBy("path")
     write_blocks(files.select(F.col("content").alias("payload")), out, level=level, force=force)
 
@@ -217,8 +268,8 @@ def read_chunk_index(spark: SparkSession, paths: Paths, **kw) -> DataFrame:
     """
     per_range = 1 << 16
     files = list_files(spark, paths, **kw)
-    entries = F.floor(F.col("size") / INDEX_ENTRY.size)
-    ranges = files.where(F.col("size") >= INDEX_ENTRY.size).select(
+    entries = F.floor(F.col("size") / INDEX_BYTES)
+    ranges = files.where(F.col("size") >= INDEX_BYTES).select(
         "file",
         entries.cast("long").alias("entries"),
         F.explode(F.sequence(F.lit(0).cast("long"), (entries - 1).cast("long"), F.lit(per_range).cast("long"))).alias(
@@ -231,9 +282,9 @@ def read_chunk_index(spark: SparkSession, paths: Paths, **kw) -> DataFrame:
             for row in batch.itertuples(index=False):
                 count = min(per_range, row.entries - row.first)
                 with open_input(row.file) as handle:
-                    handle.seek(row.first * INDEX_ENTRY.size)
-                    data = handle.read(count * INDEX_ENTRY.size)
-                out = pd.DataFrame(INDEX_ENTRY.iter_unpack(data), columns=["stream", "voffset", "poffset", "size", "m"])
+                    handle.seek(row.first * INDEX_BYTES)
+                    data = handle.read(count * INDEX_BYTES)
+                out = pd.DataFrame(struct.iter_unpack(INDEX_ENTRY, data), columns=["stream", "voffset", "poffset", "size", "m"])
                 out.insert(0, "file", row.file)
                 yield out.drop(columns="m")
 
