@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordmill.functions.options import split_words
+from recordmill.sources.blocks import BATCH_BYTES
 
 RESULT = "output BINARY, exit_code INT, error STRING"
 
@@ -23,14 +24,20 @@ def run_per_record(records: DataFrame, order: str, payload: str, program: str |
 
     A program that fails or is killed marks its own record; the job goes on.
     """
-    command = _command(program)
+    command, columns = _command(program), ["at", "output", "exit_code", "error"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            out, held = [], 0
             for at, data in zip(batch["at"], batch["payload"]):
                 done = subprocess.run(command, input=bytes(data), capture_output=True)
                 failed = done.stderr.decode(errors="replace") if done.returncode else None
-                yield pd.DataFrame([(at, done.stdout, done.returncode, failed)])
+                out.append((at, done.stdout, done.returncode, failed))
+                held += len(done.stdout)
+                if held > BATCH_BYTES:
+                    yield pd.DataFrame(out, columns=columns)
+                    out, held = [], 0
+            yield pd.DataFrame(out, columns=columns)
 
     staged = records.select(F.col(order).alias("at"), F.col(payload).cast("binary").alias("payload"))
     return staged.mapInPandas(run, f"at BIGINT, {RESULT}").withColumnRenamed("at", order)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordmill.plans.ordered import Running, running
-from recordmill.sources.blocks import open_input
+from recordmill.sources.blocks import BATCH_BYTES, open_input
 
 PART_BYTES = 1 << 26
 
@@ -31,17 +31,24 @@ def gather(index: DataFrame, data_suffix: tuple[str, str] = (".idx", ".out")) ->
     are fetched in (file, poffset) order so that reads of one file are sequential.
     """
     old, new = data_suffix
+    columns = ["file", "stream", "voffset", "payload"]
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file, rows in batch.groupby("file", sort=False):
                 with open_input(file.removesuffix(old) + new) as handle:
+                    out, held = [], 0
                     for row in rows.itertuples(index=False):
                         handle.seek(row.poffset)
                         data = handle.read(row.size)
                         if len(data) < row.size:
                             raise ValueError(f"{file}: data file ends inside a chunk")
-                        yield pd.DataFrame([(file, row.stream, row.voffset, data)])
+                        out.append((file, row.stream, row.voffset, data))
+                        held += row.size
+                        if held > BATCH_BYTES:
+                            yield pd.DataFrame(out, columns=columns)
+                            out, held = [], 0
+                    yield pd.DataFrame(out, columns=columns)
 
     spread = index.repartitionByRange("file", "poffset").sortWithinPartitions("file", "poffset")
     return spread.mapInPandas(fetch, "file STRING, stream INT, voffset BIGINT, payload BINARY")

@@ -32,11 +32,13 @@ def length_histogram(records: DataFrame, length: Column) -> DataFrame:
 
     A record of length zero fails the job.
     """
-    checked = F.when(length > 0, length).otherwise(F.raise_error(F.lit("record without residues")).cast("int"))
-    bins = records.select(checked.alias("length")).groupBy("length").agg(F.count("*").alias("count"))
+    bins = records.select(length.alias("length")).groupBy("length").agg(F.count("*").alias("count"))
     top = bins.select(F.max("count")).scalar()
+    bin_label = F.when(F.col("length") > 0, F.col("length") - 1).otherwise(
+        F.raise_error(F.lit("record without residues")).cast("long")
+    )
     return bins.select(
-        (F.col("length") - 1).alias("bin"), "length", "count", relative_height("count", top).alias("ratio")
+        bin_label.alias("bin"), "length", "count", relative_height("count", top).alias("ratio")
     )
 
 

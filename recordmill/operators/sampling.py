@@ -12,7 +12,7 @@ from recordmill.plans.ordered import Running, position_bucket, running
 def credit_sample_flags(
     records: DataFrame, order: str, length: str, samples: int, low: int = 1, high: int = 2**31 - 1
 ) -> DataFrame:
-    """(order, selected) for every non-empty record.
+    """(order, selected) for every record; an empty one is never selected or counted.
 
     One credit is there at the start and every record adds samples / total.  A
     record in range is taken, and a credit spent, when a whole credit is there.
@@ -21,16 +21,18 @@ def credit_sample_flags(
     ``S(i) = N(i) + min(0, min over j <= i of A(j) - N(j))``; record i is taken
     when S grows.  Both running values come from bucketed prefix sums.
     """
-    fit = F.when(in_range(length, low, high), 1).otherwise(0).cast("long")
-    rows = records.where(F.col(length) > 0).select(order, fit.alias("fit"), position_bucket(order).alias("__b"))
-    one = F.lit(1).cast("long")
+    # Flags instead of a filter: a filter on a computed length would be pushed
+    # down and have the length computed twice.
+    full = (F.col(length) > 0).cast("long")
+    fit = (in_range(length, max(low, 1), high)).cast("long")
+    rows = records.select(order, full.alias("full"), fit.alias("fit"), position_bucket(order).alias("__b"))
     counted = running(
         rows,
         order,
-        [Running("i", one, exclusive=True, total="n"), Running("fits", F.col("fit"))],
+        [Running("i", F.col("full"), exclusive=True, total="n"), Running("fits", F.col("fit"))],
         bucket=["__b"],
     )
-    slack = F.expr(f"(i * {int(samples)}L) div n + 1 - fits")
+    slack = F.when(F.col("full") == 1, F.expr(f"(i * {int(samples)}L) div n + 1 - fits"))
     scanned = running(
         counted.withColumn("slack", slack),
         order,
@@ -38,7 +40,7 @@ def credit_sample_flags(
         bucket=["__b"],
         shuffle=False,
     )
-    taken = F.col("fits") + F.least(F.lit(0), "low")
+    taken = F.col("fits") + F.least(F.lit(0), F.coalesce("low", F.lit(0)))
     taken_before = F.col("fits") - F.col("fit") + F.least(F.lit(0), F.coalesce("low_before", F.lit(0)))
     return scanned.select(order, (taken > taken_before).alias("selected"))
 

@@ -75,7 +75,7 @@ def solve_lambda(scores: np.ndarray, frequencies: np.ndarray) -> float:
 
 
 WINDOW = 32
-SCAN_LETTERS = 1 << 20
+SCAN_LETTERS = 1 << 16
 
 
 def words(records: DataFrame, id_column: str, text: str, size: int) -> DataFrame:
@@ -134,23 +134,26 @@ def matching_words(records: DataFrame, id_column: str, text: str, size: int, wan
             # Bytes of longer UTF-8 characters are above the letters, so the
             # letters of a record can be picked byte by byte.
             data = upper[data]
-            kept = np.concatenate([[0], np.cumsum(data > 0)])
-            data, starts = data[data > 0], kept[offsets - offsets[0]]
+            is_letter = data > 0
+            kept = np.concatenate([[0], np.cumsum(is_letter)])
+            data, starts = data[is_letter], kept[offsets - offsets[0]]
+            near = [np.zeros(0, dtype=np.int64)]
             for begin in range(0, len(data) - size + 1, SCAN_LETTERS):
                 part = data[begin : begin + SCAN_LETTERS + size - 1]
-                hits = begin + np.flatnonzero(table[_rolling_hash(part, size) & mask])
-                owner = np.searchsorted(starts, hits, side="right") - 1
-                inside = hits + size <= starts[owner + 1]
-                hits, owner = hits[inside], owner[inside]
-                found = data[hits[:, None] + np.arange(size)].tobytes().decode("ascii")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("id").take(pa.array(owner)),
-                        pa.array((hits - starts[owner]).astype(np.int32)),
-                        pa.array([found[i : i + size] for i in range(0, len(found), size)], pa.string()),
-                    ],
-                    names=["id", "at", "word"],
-                )
+                near.append(begin + np.flatnonzero(table[_rolling_hash(part, size) & mask]))
+            hits = np.concatenate(near)
+            owner = np.searchsorted(starts, hits, side="right") - 1
+            inside = hits + size <= starts[owner + 1]
+            hits, owner = hits[inside], owner[inside]
+            found = data[hits[:, None] + np.arange(size)].tobytes().decode("ascii")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("id").take(pa.array(owner)),
+                    pa.array((hits - starts[owner]).astype(np.int32)),
+                    pa.array([found[i : i + size] for i in range(0, len(found), size)], pa.string()),
+                ],
+                names=["id", "at", "word"],
+            )
 
     narrow = records.select(F.col(id_column).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL")
     id_type = narrow.schema["id"].dataType.simpleString()
@@ -265,11 +268,13 @@ def extend_gapped(
 ) -> DataFrame:
     """Add ``gapped_score`` to ungapped hits: best affine-gap local alignment near the diagonal.
 
-    The window around the diagonal is as wide as gaps can pay for at the highest
-    residue score, so no alignment through the hit is cut off.  Hits of one pair
-    whose windows overlap can report the same alignment.
+    An alignment with g gap positions scores at most ``q_len * best residue
+    score - gap_open - g * gap_extend``.  Only as many gap positions as leave room
+    above the ungapped score matter; the window around the diagonal is that
+    wide, and a hit that no gap can improve is not aligned again.
     """
-    reach = F.floor(F.col("q_len") * scoring.best() / scoring.gap_extend).cast("int")
+    spare = F.col("q_len") * scoring.best() - scoring.gap_open - F.col("score")
+    reach = F.greatest(F.lit(0), F.floor(spare / scoring.gap_extend)).cast("int")
     left = F.greatest(F.lit(0), F.col("diagonal") - reach)
     right = F.least(F.col("d_len"), F.col("diagonal") + F.col("q_len") + reach)
     table = scoring.table()
@@ -278,9 +283,10 @@ def extend_gapped(
     def align(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([_gapped_score(x, y, table, scoring) for x, y in zip(a, b)], dtype="int64")
 
+    open_hits = F.when(reach > 0, F.col("q_seq")).otherwise("")
+    window = F.when(reach > 0, F.substr("d_seq", left + 1, right - left)).otherwise("")
     wide = _paired(found, queries, collection, id_column, text)
-    window = F.substr("d_seq", left + 1, right - left)
-    return wide.select(*found.columns, align("q_seq", window).alias("gapped_score"))
+    return wide.select(*found.columns, F.greatest("score", align(open_hits, window)).alias("gapped_score"))
 
 
 def _gapped_score(a: str, b: str, table: np.ndarray, scoring: Scoring) -> int:

@@ -6,6 +6,7 @@ indexes, logs, reports), Spark writes them from the tables first.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,7 @@ from recordmill.operators import clustering, external, packing, provenance, reco
 from recordmill.operators import reports as rep
 from recordmill.operators import retrieval, sampling, similarity, timelines
 from recordmill.plans.ordered import Running, ordinal, running
-from recordmill.session import scratch_path
+from recordmill.session import scratch_path, ship_package
 from recordmill.sources import blocks, delimited, joblogs, tables, writers
 from recordmill.sources import reports as xml
 from recordmill.streaming import run_available
@@ -34,10 +35,15 @@ THRESHOLD = 50_000
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf)
+
+        QUERIES[fn.__name__] = run
         if sql is not None:
             CHECKS[fn.__name__] = sql
-        return fn
+        return run
 
     return register
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -29,9 +30,25 @@ def get_session(app_name: str = "recordmill", cores: int | str = "*", **conf: st
         builder = builder.config(key, value)
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
+    ship_package(session)
     return session
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, wherever the driver was started.
+
+    Clusters that install the package on every node need no call.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_recordmill_shipped", False):
+        return
+    folder = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="run-"), "recordmill")
+    archive = shutil.make_archive(target, "zip", os.path.dirname(folder), os.path.basename(folder))
+    context.addPyFile(archive)
+    context._recordmill_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder named by the cluster; a scratch folder only where none is set."""
     configured = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)

@@ -31,6 +31,7 @@ V2_HEAD = "<IH"
 V2_ENTRY_BYTES = 8
 INDEX_ENTRY = "<HQQQ4s"
 INDEX_BYTES = 30
+BATCH_BYTES = 1 << 23
 INDEX_MARK = b"CRC!"
 
 BLOCK_SCHEMA = "file STRING, block_id BIGINT, at BIGINT, stored_size BIGINT"
@@ -99,17 +100,25 @@ def read_blocks(
     """
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["file", "block_id", "stored_size", "payload"]
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                with open_input(row.file) as handle:
-                    handle.seek(row.at)
-                    try:
-                        payload = zlib.decompress(handle.read(row.stored_size))
-                    except zlib.error:
-                        if skip_bad:
-                            continue
-                        raise
-                yield pd.DataFrame([(row.file, row.block_id, row.stored_size, payload)])
+            for file, rows in batch.groupby("file", sort=False):
+                with open_input(file) as handle:
+                    out, held = [], 0
+                    for row in rows.itertuples(index=False):
+                        handle.seek(row.at)
+                        try:
+                            payload = zlib.decompress(handle.read(row.stored_size))
+                        except zlib.error:
+                            if skip_bad:
+                                continue
+                            raise
+                        out.append((file, row.block_id, row.stored_size, payload))
+                        held += len(payload)
+                        if held > BATCH_BYTES:
+                            yield pd.DataFrame(out, columns=columns)
+                            out, held = [], 0
+                    yield pd.DataFrame(out, columns=columns)
 
     index = read_block_index(list_files(spark, paths, **kw), version)
     # Spread the blocks of one large file over all tasks before inflating.

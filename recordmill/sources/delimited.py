@@ -91,13 +91,13 @@ def read_fasta(spark: SparkSession, paths: Paths, *, any_gt: bool = False, **kw)
 
 
 def _with_parts(records: DataFrame) -> DataFrame:
-    has_body = F.col("raw").contains("\n")
+    cut = F.instr("raw", "\n")
     return records.select(
         "file",
         "pos",
         F.octet_length("raw").cast("long").alias("byte_len"),
         F.regexp_replace(F.substring_index("raw", "\n", 1), r"^>|\r$", "").alias("header"),
-        F.when(has_body, F.regexp_replace("raw", r"^[^\n]*\n", "")).alias("body"),
+        F.when(cut > 0, F.substr("raw", cut + 1)).alias("body"),
         "raw",
     )
 
