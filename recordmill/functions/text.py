@@ -12,7 +12,7 @@ def _col(c: Column | str) -> Column:
 
 def record_id(header: Column | str) -> Column:
     """First blank-delimited word after the leading ``>``; NULL when there is none."""
-    return F.nullif(F.regexp_extract(_col(header), r"^>?\s*(\S+)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(_col(header), r"^>?+\s*(\S+)", 1), F.lit(""))
 
 
 def letter_count(body: Column | str) -> Column:

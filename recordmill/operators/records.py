@@ -51,13 +51,25 @@ def first_k_per_bin(
     is kept.  The rank inside a bin is a running count, so a bin holding most of
     the records is still spread over many tasks.
     """
-    top = records.groupBy(length).agg(F.count("*").alias("count")).select(F.max("count")).scalar()
-    label = F.col(length) - 1
-    chosen = label % stride == 0
+    # Rank, bin size and bin label all come out of one shuffle, which the fullest
+    # bin is read from as well.  The label is carried as a running value because
+    # a filter on the length itself would be pushed below that shuffle.
+    one = F.lit(1).cast("long")
+    ranked = running(
+        records.select(order, length),
+        order,
+        [Running("__rank", one, exclusive=True, total="__count"), Running("__bin", F.col(length) - 1, "max")],
+        within=[length],
+    )
+    whole_row = F.struct("__count", F.xxhash64(*ranked.columns).alias("row"))
+    top = ranked.select(F.max(whole_row)["__count"]).scalar()
+    chosen = F.col("__bin") % stride == 0
     if max_length is not None:
-        chosen &= label < max_length
-    ranked = ordinal(records.where(chosen), order, "__rank", within=[length], total="__count")
-    return ranked.where(F.col("__rank") < F.floor(F.col("__count") * height / top)).select(*records.columns)
+        chosen &= F.col("__bin") < max_length
+    kept = ranked.where(chosen & (F.col("__rank") < F.floor(F.col("__count") * height / top)))
+    if set(records.columns) == {order, length}:
+        return kept.select(*records.columns)
+    return records.join(kept.select(order), order, "left_semi")
 
 
 def longest_first(records: DataFrame, order: str, length: str, name: str = "rank") -> DataFrame:

@@ -37,9 +37,8 @@ def hits(reports: DataFrame, hsp: str = "last") -> DataFrame:
     if hsp == "all":
         return found.withColumn("segment", F.explode(segments))
     if hsp == "best":
-        keyed = F.transform(segments, lambda s, i: F.struct(s["Hsp_evalue"].cast("double"), i, s))
-        chosen = F.array_min(F.transform(keyed, lambda k: F.struct(k["col1"], k["i"])))["i"]
-        return found.withColumn("segment", F.get(segments, chosen))
+        keyed = F.transform(segments, lambda s, i: F.struct(s["Hsp_evalue"].cast("double").alias("e"), i.alias("i")))
+        return found.withColumn("segment", F.get(segments, F.array_min(keyed)["i"]))
     if hsp != "last":
         raise ValueError(f"hsp must be last, best or all, not {hsp!r}")
     return found.withColumn("segment", F.try_element_at(segments, F.lit(-1)))

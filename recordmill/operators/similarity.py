@@ -316,7 +316,7 @@ def search(
     queries: DataFrame,
     collection: DataFrame,
     id_column: str = "id",
-    text: str = "sequence",
+    text: str = "text",
     *,
     size: int = 3,
     min_seeds: int = 2,

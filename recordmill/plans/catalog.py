@@ -53,9 +53,12 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, sf: str, length: Column | None = None) -> DataFrame:
-    """(doc_id, n): documents with a length, bytes by default."""
+    """(doc_id, n): documents with a length, bytes by default.
+
+    A key known to be non-null needs no null test, which would compute it twice.
+    """
     n = TXT.byte_length("text") if length is None else length.cast("long")
-    return _documents(spark, sf).select("doc_id", n.alias("n"))
+    return _documents(spark, sf).select("doc_id", F.coalesce(n, F.lit(0)).alias("n"))
 
 
 # Lengths, histograms, sampling -------------------------------------------------

@@ -60,7 +60,8 @@ def running(
     """Add every running aggregate of ``specs`` to ``df``.
 
     ``order`` is a unique, non-null integer column; ``within`` columns must be
-    non-null.  ``bucket`` may name existing columns that already cut the order
+    non-null (a computed key is best wrapped in ``coalesce``: a null test on it would
+    evaluate it twice).  ``bucket`` may name existing columns that already cut the order
     into bounded runs (for example file and split start).  ``shuffle=False`` says that
     the rows are already hashed on within + bucket by an earlier call.
     """

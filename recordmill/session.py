@@ -51,14 +51,15 @@ def ship_package(spark: SparkSession) -> None:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder named by the cluster; a scratch folder only where none is set."""
-    configured = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
+    context = spark.sparkContext
+    configured = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
-    path = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set(CHECKPOINT_KEY, path)
-    return path
+    if not getattr(context, "_recordmill_scratch", None):
+        context._recordmill_scratch = tempfile.mkdtemp(prefix="run-")
+    return context._recordmill_scratch
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
