@@ -23,14 +23,18 @@ def byte_split(records: DataFrame, order: str, length: str, splits: int, name: s
         records.select(order, length), order, [Running("off", F.col(length), exclusive=True, total="whole")]
     )
     s = int(splits)
-    # Offsets times splits can pass 63 bits, hence decimals; div keeps them exact.
-    guess = sized.withColumn("guess", F.expr(f"(CAST(off AS DECIMAL(20,0)) * {s}) div whole"))
-    edge = F.expr(f"(CAST(guess + 1 AS DECIMAL(20,0)) * whole) div {s}")
-    return guess.withColumn("edge", edge).select(
+    # Decimal products only where offset times splits could pass 63 bits.
+    fits = f"whole <= {(2**63 - 1) // (s + 1)}"
+    guess = f"CASE WHEN {fits} THEN (off * {s}L) div whole ELSE (CAST(off AS DECIMAL(20,0)) * {s}) div whole END"
+    edge = (
+        f"CASE WHEN {fits} THEN ((guess + 1) * whole) div {s}L"
+        f" ELSE (CAST(guess + 1 AS DECIMAL(20,0)) * whole) div {s} END"
+    )
+    return sized.withColumn("guess", F.expr(guess)).select(
         order,
         F.col(length),
         F.col("off").alias("byte_off"),
-        F.expr("CASE WHEN off < edge THEN guess ELSE guess + 1 END").alias(name),
+        F.expr(f"CASE WHEN off < {edge} THEN guess ELSE guess + 1 END").alias(name),
     )
 
 

@@ -20,10 +20,10 @@ def iterations(reports: DataFrame) -> DataFrame:
     )
 
 
-def hits(reports: DataFrame, hsp: str = "last") -> DataFrame:
-    """One row per hit (or per segment with ``hsp='all'``).
+def hits(reports: DataFrame, keep: str = "last") -> DataFrame:
+    """One row per hit (or per segment with ``keep='all'``).
 
-    ``hsp`` chooses the segment that stands for a hit: the last one reported,
+    ``keep`` chooses the segment that stands for a hit: the last one reported,
     the best by e-value, or all of them.
     """
     found = iterations(reports).select(
@@ -34,17 +34,17 @@ def hits(reports: DataFrame, hsp: str = "last") -> DataFrame:
         F.posexplode("iteration.Iteration_hits.Hit").alias("hit_no", "hit"),
     )
     segments = F.col("hit.Hit_hsps.Hsp")
-    if hsp == "all":
+    if keep == "all":
         return found.withColumn("segment", F.explode(segments))
-    if hsp == "best":
+    if keep == "best":
         keyed = F.transform(segments, lambda s, i: F.struct(s["Hsp_evalue"].cast("double").alias("e"), i.alias("i")))
         return found.withColumn("segment", F.get(segments, F.array_min(keyed)["i"]))
-    if hsp != "last":
-        raise ValueError(f"hsp must be last, best or all, not {hsp!r}")
+    if keep != "last":
+        raise ValueError(f"keep must be last, best or all, not {keep!r}")
     return found.withColumn("segment", F.try_element_at(segments, F.lit(-1)))
 
 
-def tab_hits(reports: DataFrame, hsp: str = "last", max_evalue: float = MAX_EVALUE) -> DataFrame:
+def tab_hits(reports: DataFrame, keep: str = "last", max_evalue: float = MAX_EVALUE) -> DataFrame:
     """(query_id, hit_id, q_from, q_to, h_from, h_to, evalue, organism) of significant hits.
 
     An e-value that is not a number fails the job.
@@ -52,7 +52,7 @@ def tab_hits(reports: DataFrame, hsp: str = "last", max_evalue: float = MAX_EVAL
     evalue = F.col("segment.Hsp_evalue").cast("double")
     number = F.col("segment.Hsp_evalue").rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$")
     checked = F.when(number, evalue).otherwise(F.raise_error(F.lit("e-value is not a number")).cast("double"))
-    rows = hits(reports, hsp).where("segment IS NOT NULL").where(checked <= max_evalue)
+    rows = hits(reports, keep).where("segment IS NOT NULL").where(checked <= max_evalue)
     return rows.select(
         "doc",
         "iter",
@@ -68,9 +68,9 @@ def tab_hits(reports: DataFrame, hsp: str = "last", max_evalue: float = MAX_EVAL
     ).where("query_id IS NOT NULL")
 
 
-def hit_sequences(reports: DataFrame, hsp: str = "last") -> DataFrame:
+def hit_sequences(reports: DataFrame, keep: str = "last") -> DataFrame:
     """(doc, iter, hit_no, header, sequence): the matched part of each hit, gaps kept."""
-    return hits(reports, hsp).select(
+    return hits(reports, keep).select(
         "doc",
         "iter",
         "hit_no",

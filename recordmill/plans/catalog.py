@@ -223,6 +223,36 @@ def records_per_worker(spark, sf):
     return records.per_worker_counts(tables.table(spark, sf, "lineitem"), F.col("l_suppkey"))
 
 
+@query("""
+WITH d AS (SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n FROM documents),
+     o AS (SELECT doc_id, CAST(sum(n) OVER (ORDER BY doc_id) - n AS BIGINT) AS off FROM d),
+     e AS (SELECT i, CAST((i + 1) * (SELECT sum(n) FROM d) // 8 AS BIGINT) AS edge FROM range(8) t(i)),
+     p AS (SELECT doc_id, min(i) AS part FROM o JOIN e ON off < edge GROUP BY ALL)
+SELECT CAST(part AS INTEGER) AS part, CAST(sum(length(text) - length(replace(text, chr(10), '')) + 2) AS BIGINT) AS lines
+FROM p JOIN documents USING (doc_id) GROUP BY part
+""")
+def numbered_parts(spark, sf):
+    """Byte-balanced FASTA parts written to numbered folders and read back."""
+    parts = packing.byte_split(_sized(spark, sf), "doc_id", "n", 8).select("doc_id", "part")
+    raw = writers.fasta_text(F.col("doc_id").cast("string"), "text")
+    path = scratch_path(spark, "parts")
+    rows = _documents(spark, sf).join(parts, "doc_id").select("doc_id", "part", raw.alias("raw"))
+    writers.write_parts(rows, path, order="doc_id")
+    return spark.read.text(path).groupBy("part").agg(F.count("*").alias("lines"))
+
+
+@query("""
+SELECT CAST(l_suppkey // 100 AS INTEGER) AS hh, CAST(l_suppkey % 100 AS INTEGER) AS ll, count(*) AS rows
+FROM lineitem GROUP BY ALL
+""")
+def spread_folders(spark, sf):
+    """Rows spread over HH/LL folders by worker number."""
+    path = scratch_path(spark, "spread")
+    rows = tables.table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey")
+    writers.write_spread(rows, path, "l_suppkey")
+    return spark.read.parquet(path).groupBy("hh", "ll").agg(F.count("*").alias("rows"))
+
+
 # Dedup, name joins, recovery ---------------------------------------------------
 
 
@@ -665,6 +695,30 @@ def fetch_bottom_strand(spark, sf):
     return retrieval.fetch(rows, good, "doc_id", "seq", start=11, stop=60, bottom_strand=True)
 
 
+@query("""
+SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^A-Za-z]', '', 'g'), '(.{1,60})', '\\1' || chr(10), 'g'), chr(10))
+  AS lines FROM documents
+""")
+def wrapped_lines(spark, sf):
+    """Sequences broken into lines of sixty letters."""
+    letters = F.regexp_replace("text", "[^A-Za-z]", "")
+    return _documents(spark, sf).select("doc_id", RES.wrap_lines(letters, 60).alias("lines"))
+
+
+@query("""
+WITH q AS (SELECT item_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS s FROM benchmark),
+     w AS (SELECT item_id, s, unnest(generate_series(0, length(s) - 12)) AS i FROM q)
+SELECT item_id AS id, CAST(i AS INTEGER) AS start, substr(s, i + 1, 12) AS word FROM w
+WHERE (i >= 10 AND i + 12 <= 60) OR (i >= 80 AND i + 12 <= 120)
+""")
+def masked_words(spark, sf):
+    """Words that lie inside the allowed ranges of a record."""
+    found = similarity.words(tables.table(spark, sf, "benchmark"), "item_id", "text", 12)
+    span = lambda a, b: F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"))
+    inside = RES.allowed_position(F.col("at"), 12, F.array(span(10, 60), span(80, 120)))
+    return found.where(inside).withColumnRenamed("at", "start")
+
+
 _TRANSITIONS = {(a, b): (2 if a == b else -1 if {a, b} in ({"A", "G"}, {"C", "T"}) else -3) for a in "ACGT" for b in "ACGT"}
 
 

@@ -89,7 +89,7 @@ def test_zlib(spark):
 
 
 def test_split_words():
-    assert split_words("blastp -d 'my db' -o \"a b\"c  x") == ["blastp", "-d", "my db", "-o", "a bc", "x"]
+    assert split_words("search -d 'my db' -o \"a b\"c  x") == ["search", "-d", "my db", "-o", "a bc", "x"]
     assert split_words("a 'open") == ["a"]
     assert split_words("  ") == []
 

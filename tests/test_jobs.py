@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from recordmill.operators import clustering, external, provenance, recovery, reports, retrieval, timelines
-from recordmill.sources import blocks, delimited, joblogs, tables
+from recordmill.sources import blocks, delimited, joblogs, tables, writers
 from recordmill.sources import reports as xml
 from recordmill.streaming import run_available, run_for
 from recordmill.streaming.feeds import fasta_feed, parquet_feed
@@ -157,15 +157,15 @@ def test_blocks(spark, tmp_path):
     assert {bytes(r.payload) for r in blocks.read_blocks(spark, str(tmp_path / "packed")).collect()} == {b"one", b"two"}
 
 
-def hsp(evalue, q_from, q_to, h_from, h_to, seq):
+def segment(evalue, q_from, q_to, h_from, h_to, seq):
     return (
         f"<Hsp><Hsp_evalue>{evalue}</Hsp_evalue><Hsp_query-from>{q_from}</Hsp_query-from><Hsp_query-to>{q_to}</Hsp_query-to>"
         f"<Hsp_hit-from>{h_from}</Hsp_hit-from><Hsp_hit-to>{h_to}</Hsp_hit-to><Hsp_hseq>{seq}</Hsp_hseq></Hsp>"
     )
 
 
-def hit(name, title, *hsps):
-    return f"<Hit>\n<Hit_id>{name}</Hit_id><Hit_def>{title}</Hit_def><Hit_hsps>{''.join(hsps)}</Hit_hsps></Hit>\n"
+def hit(name, title, *segments):
+    return f"<Hit>\n<Hit_id>{name}</Hit_id><Hit_def>{title}</Hit_def><Hit_hsps>{''.join(segments)}</Hit_hsps></Hit>\n"
 
 
 def document(query, hits):
@@ -181,8 +181,8 @@ def document(query, hits):
 def report(tmp_path):
     first = document(
         "gi|11|ref|Q1| x",
-        hit("gi|22|sp|P1|", "prot A [Homo sapiens]", hsp("1e-10", 1, 10, 5, 14, "MKV-L"), hsp("1e-5", 20, 25, 30, 35, "MKK"))
-        + hit("lcl1", "no organism", hsp("0.5", 1, 4, 1, 4, "AAAA")),
+        hit("gi|22|sp|P1|", "prot A [Homo sapiens]", segment("1e-10", 1, 10, 5, 14, "MKV-L"), segment("1e-5", 20, 25, 30, 35, "MKK"))
+        + hit("lcl1", "no organism", segment("0.5", 1, 4, 1, 4, "AAAA")),
     )
     path = tmp_path / "report.xml"
     path.write_text(first + document("q2", ""))
@@ -193,17 +193,24 @@ def test_report_hits(spark, report):
     parsed = xml.parse_documents(xml.read_documents(spark, report))
     (row,) = reports.tab_hits(parsed).collect()
     assert tuple(row)[3:] == ("11", "22", 20, 25, 30, 35, 1e-5, "Homo sapiens")
-    assert reports.tab_hits(parsed, hsp="best").first().q_from == 1
-    assert reports.tab_hits(parsed, hsp="all").count() == 2
+    assert reports.tab_hits(parsed, keep="best").first().q_from == 1
+    assert reports.tab_hits(parsed, keep="all").count() == 2
     found = reports.hit_sequences(parsed).orderBy("doc", "hit_no").collect()
     assert [(r.header, r.sequence) for r in found] == [("prot A [Homo sapiens]", "MKK"), ("no organism", "AAAA")]
     with pytest.raises(ValueError):
-        reports.hits(parsed, hsp="first")
+        reports.hits(parsed, keep="first")
+
+
+def test_write_tab(spark, report, tmp_path):
+    parsed = xml.parse_documents(xml.read_documents(spark, report))
+    writers.write_tab(reports.tab_hits(parsed, max_evalue=1.0).drop("doc", "iter", "hit_no"), str(tmp_path / "tab"))
+    lines = {r.value for r in spark.read.text(str(tmp_path / "tab")).collect()}
+    assert lines == {"11\t22\t20\t25\t30\t35\t1.0E-5\tHomo sapiens", "11\t\t1\t4\t1\t4\t0.5\t"}
 
 
 def test_report_bad_evalue(spark, tmp_path):
     path = tmp_path / "bad.xml"
-    path.write_text(document("q", hit("a", "b", hsp("often", 1, 1, 1, 1, "A"))))
+    path.write_text(document("q", hit("a", "b", segment("often", 1, 1, 1, 1, "A"))))
     with pytest.raises(Exception, match="e-value is not a number"):
         reports.tab_hits(xml.parse_documents(xml.read_documents(spark, str(path)))).collect()
 
@@ -236,11 +243,22 @@ def test_clusters(spark):
     assert clustering.coverage_pairs(hits, score=50).count() == 2
 
 
-def test_external(spark):
+def test_external(spark, tmp_path):
     df = spark.createDataFrame([(0, "abc"), (1, "boom")], "pos BIGINT, s STRING")
     out = external.run_per_record(df, "pos", "s", ["sh", "-c", "read x; [ \"$x\" = boom ] && kill -9 $$; printf %s \"$x\""])
     got = {r.pos: (bytes(r.output), r.exit_code) for r in out.collect()}
     assert got == {0: (b"abc", 0), 1: (b"", -9)}
+    (tmp_path / "shared.db").write_text("shared ")
+    both = external.run_per_record(df, "pos", "s", ["cat", "shared.db", "-"], shared=[str(tmp_path / "shared.db")])
+    assert {bytes(r.output) for r in both.collect()} == {b"shared abc", b"shared boom"}
+
+    def parts(data):
+        if data == b"boom":
+            raise ValueError("boom")
+        return [(len(data), data.decode())]
+
+    found = external.call_per_record(df, "pos", "s", parts, "size INT, text STRING").orderBy("pos").collect()
+    assert [tuple(r) for r in found] == [(0, 3, "abc", None), (1, None, None, "ValueError: boom")]
 
 
 def test_retrieval(spark):
