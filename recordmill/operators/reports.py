@@ -12,12 +12,17 @@ MAX_EVALUE = 0.001
 
 
 def iterations(reports: DataFrame) -> DataFrame:
-    """(doc, document_def, iter, iteration) from parsed documents."""
-    return reports.select(
+    """(doc, document_def, iter, iteration) from parsed documents.
+
+    The outer form avoids the size test Spark derives from a plain explode,
+    which would parse every document a second time.
+    """
+    found = reports.select(
         "doc",
         F.col("report.`BlastOutput_query-def`").alias("document_def"),
-        F.posexplode("report.BlastOutput_iterations.Iteration").alias("iter", "iteration"),
+        F.posexplode_outer("report.BlastOutput_iterations.Iteration").alias("iter", "iteration"),
     )
+    return found.where("iter IS NOT NULL")
 
 
 def hits(reports: DataFrame, keep: str = "last") -> DataFrame:
@@ -102,9 +107,8 @@ def merge_reports(documents: DataFrame) -> DataFrame:
     head = pieces.where(F.col("doc") == first).select(
         F.lit(0).cast("long").alias("line_no"), F.concat(F.lit('<?xml version="1.0"?>'), "head").alias("value")
     )
-    exploded = pieces.select("doc", F.posexplode("parts").alias("iter", "part")).withColumn(
-        "order", F.col("doc") * (1 << 24) + F.col("iter")
-    )
+    exploded = pieces.select("doc", F.posexplode_outer("parts").alias("iter", "part")).where("iter IS NOT NULL")
+    exploded = exploded.withColumn("order", F.col("doc") * (1 << 24) + F.col("iter"))
     numbered = ordinal(exploded.select("order"), "order", "n")
     body = exploded.join(numbered, "order").select((F.col("n") + 1).alias("line_no"), _with_number("part", F.col("n") + 1))
     foot = documents.sparkSession.range(1).select(

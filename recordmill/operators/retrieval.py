@@ -13,7 +13,7 @@ from recordmill.functions.residues import reverse_complement, subsequence
 def term_postings(records: DataFrame, id_column: str, text: str) -> DataFrame:
     """(id, term): the distinct lower-case words of each record."""
     words = F.array_distinct(F.split(F.lower(text), "[^a-z]+"))
-    return records.select(F.col(id_column).alias("id"), F.explode(words).alias("term")).where("term <> ''")
+    return records.select(F.col(id_column).alias("id"), F.explode_outer(words).alias("term")).where("term <> ''")
 
 
 def term_counts(records: DataFrame, id_column: str, text: str) -> DataFrame:

@@ -83,12 +83,13 @@ def words(records: DataFrame, id_column: str, text: str, size: int) -> DataFrame
 
     The record is first cut into overlapping windows by one regular-expression
     pass; ``substring`` on the whole record would be quadratic in its length.
+    The outer explode keeps Spark from running that pass again as a size test.
     """
     cut = f"(?=([A-Z]{{{size},{WINDOW + size - 1}}}))[A-Z]{{1,{WINDOW}}}"
     windows = records.select(
         F.col(id_column).alias("id"),
-        F.posexplode(F.regexp_extract_all(letters(text), F.lit(cut), F.lit(1))).alias("window", "text"),
-    )
+        F.posexplode_outer(F.regexp_extract_all(letters(text), F.lit(cut), F.lit(1))).alias("window", "text"),
+    ).where("window IS NOT NULL")
     shifts = windows.select("*", F.explode(F.sequence(F.lit(0), F.length("text") - size)).alias("shift"))
     return shifts.select(
         "id",

@@ -731,7 +731,7 @@ SELECT doc_id, CAST(sum(CASE WHEN ab[1] = ab[2] THEN 2 WHEN ab IN ('AG', 'GA', '
 def substitution_scores(spark, sf):
     """Sum of substitution scores over consecutive residue pairs."""
     pairs = F.regexp_extract_all(_nucleotides(), F.lit("(..)"), F.lit(1))
-    rows = _documents(spark, sf).select("doc_id", F.explode(pairs).alias("ab"))
+    rows = _documents(spark, sf).select("doc_id", F.explode_outer(pairs).alias("ab")).where("ab IS NOT NULL")
     score = RES.substitution_score(F.substring("ab", 1, 1), F.substring("ab", 2, 1), _TRANSITIONS)
     return rows.groupBy("doc_id").agg(F.sum(score).alias("score"))
 
