@@ -2,7 +2,8 @@
 
 Trust starts at the share of a host's pages that rules allow and follows links; distrust
 starts at the share they block and follows links backwards: who links to blocked hosts is
-distrusted.  Both are personalised PageRanks over host edges.  A host whose distrust
+distrusted.  Both are personalised PageRanks over host edges, scaled so that a host without
+links has just its own share.  A host whose distrust
 outweighs its trust on more than ``threshold`` of its pages is blocked.  Everything is built
 from DataFrame functions; the rank tables have one row per host.
 """
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from recordmill.session import materialize
 
 DAMPING = 0.85
-ROUNDS = 30
-TOLERANCE = 1e-4
+ROUNDS = 50
+TOLERANCE = 1e-3
 THRESHOLD = 0.5
 
 _HREF = r"""(?i)href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
@@ -130,25 +131,21 @@ def judge(
 
 
 def _rank(seeds: DataFrame, links: DataFrame, seed: str, damping: float, rounds: int) -> DataFrame:
-    """(host, rank): mass that starts at ``seed`` and follows links; a host without links keeps its mass."""
+    """(host, rank): ``seed`` and what arrives over links from other ranks, damped at each step."""
     out = links.groupBy(F.col("source").alias("host")).agg(F.sum("n").alias("out"))
     shares = links.join(out, links["source"] == out["host"]).select("source", "target", (F.col("n") / F.col("out")).alias("share"))
     shares = materialize(shares, "shares")
-    start = seeds.join(out, "host", "left").select(
-        "host", F.col(seed).alias("seed"), F.col("out").isNull().alias("keeps"), F.col(seed).alias("rank")
-    )
-    ranks = materialize(start, "rank")
+    ranks = seeds.select("host", F.col(seed).alias("seed"), F.col(seed).alias("rank"))
     for _ in range(rounds):
         moved = ranks.join(shares, ranks["host"] == shares["source"]).groupBy(F.col("target").alias("host"))
         moved = moved.agg(F.sum(F.col("rank") * F.col("share")).alias("moved"))
-        arrived = F.coalesce("moved", F.lit(0.0)) + F.when(F.col("keeps"), F.col("rank")).otherwise(0.0)
-        rank = (1 - damping) * F.col("seed") + damping * arrived
+        rank = F.col("seed") + damping * F.coalesce("moved", F.lit(0.0))
         following = ranks.join(moved, "host", "left").select(
-            "host", "seed", "keeps", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("change")
+            "host", "seed", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("change")
         )
         following = materialize(following, "rank")
         change, total = following.agg(F.sum("change"), F.sum("seed")).first()
-        ranks = following.select("host", "seed", "keeps", "rank")
+        ranks = following.select("host", "seed", "rank")
         if (change or 0.0) <= TOLERANCE * (total or 0.0):
             break
     return ranks.select("host", "rank")
