@@ -13,8 +13,7 @@ def coverage_pairs(
 ) -> DataFrame:
     """(a, b): pairs covering enough of their records and scoring enough bits per residue.
 
-    ``hits`` has query_id, db_id, q_len, d_len, q_from, q_to, d_from, d_to, bits
-    and identities.  A ``score`` of 3 or more is a percentage of identities.
+    ``hits`` are the rows of ``similarity.search``.  A ``score`` of 3 or more is a percentage of identities.
     """
     q = (F.col("q_to") - F.col("q_from") + 1) / F.col("q_len")
     d = (F.col("d_to") - F.col("d_from") + 1) / F.col("d_len")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordmill.functions.text import clip_id, clip_organism, query_name
-from recordmill.plans.ordered import ordinal
+from recordmill.plans.ordered import Running, running
 
 MAX_EVALUE = 0.001
 
@@ -86,9 +86,15 @@ def hit_sequences(reports: DataFrame, keep: str = "last") -> DataFrame:
 
 def renumber_iterations(reports: DataFrame) -> DataFrame:
     """(iter_num, doc, iteration): iterations of all documents numbered 1, 2, …."""
-    rows = iterations(reports).withColumn("order", F.col("doc") * (1 << 24) + F.col("iter"))
-    numbered = ordinal(rows.select("order"), "order", "n")
-    return rows.join(numbered, "order").select((F.col("n") + 1).alias("iter_num"), "doc", "iter", "iteration")
+    rows = _with_ordinal(iterations(reports))
+    return rows.select((F.col("n") + 1).alias("iter_num"), "doc", "iter", "iteration")
+
+
+def _with_ordinal(rows: DataFrame) -> DataFrame:
+    """Add ``n``: iterations of all earlier documents, plus the place in the own one."""
+    counts = rows.groupBy("doc").agg(F.count("*").alias("count"))
+    before = running(counts, "doc", [Running("before", F.col("count"), exclusive=True)]).select("doc", "before")
+    return rows.join(before, "doc").withColumn("n", F.col("before") + F.col("iter")).drop("before")
 
 
 def merge_reports(documents: DataFrame) -> DataFrame:
@@ -108,9 +114,7 @@ def merge_reports(documents: DataFrame) -> DataFrame:
         F.lit(0).cast("long").alias("line_no"), F.concat(F.lit('<?xml version="1.0"?>'), "head").alias("value")
     )
     exploded = pieces.select("doc", F.posexplode_outer("parts").alias("iter", "part")).where("iter IS NOT NULL")
-    exploded = exploded.withColumn("order", F.col("doc") * (1 << 24) + F.col("iter"))
-    numbered = ordinal(exploded.select("order"), "order", "n")
-    body = exploded.join(numbered, "order").select((F.col("n") + 1).alias("line_no"), _with_number("part", F.col("n") + 1))
+    body = _with_ordinal(exploded).select((F.col("n") + 1).alias("line_no"), _with_number("part", F.col("n") + 1))
     foot = documents.sparkSession.range(1).select(
         F.lit(2**62).alias("line_no"), F.lit("  </BlastOutput_iterations>\n</BlastOutput>").alias("value")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -22,7 +23,8 @@ def term_counts(records: DataFrame, id_column: str, text: str) -> DataFrame:
 
 
 def has_term(text: str, term: str) -> Column:
-    return F.lower(text).rlike(rf"(?<![a-z]){term.lower()}(?![a-z])")
+    """Whether the term, taken literally, stands in the text between other characters than letters."""
+    return F.lower(text).rlike(rf"(?<![a-z]){re.escape(term.lower())}(?![a-z])")
 
 
 def both(left: DataFrame, right: DataFrame, on: str = "id") -> DataFrame:

@@ -32,7 +32,12 @@ def credit_sample_flags(
         [Running("i", F.col("full"), exclusive=True, total="n"), Running("fits", F.col("fit"))],
         bucket=["__b"],
     )
-    slack = F.when(F.col("full") == 1, F.expr(f"(i * {int(samples)}L) div n + 1 - fits"))
+    # Decimal products only where position times samples could pass 63 bits.
+    due = (
+        f"CASE WHEN n <= {(2**63 - 1) // max(int(samples), 1)} THEN (i * {int(samples)}L) div n"
+        f" ELSE (CAST(i AS DECIMAL(20,0)) * {int(samples)}) div n END"
+    )
+    slack = F.when(F.col("full") == 1, F.expr(f"{due} + 1 - fits"))
     scanned = running(
         counted.withColumn("slack", slack),
         order,

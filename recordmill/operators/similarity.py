@@ -10,8 +10,8 @@ no pair of records is compared unless they share a word.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator, Mapping
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -19,10 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordmill.functions.alignment import best_end, segments
 from recordmill.functions.text import letter_count, letters
+from recordmill.session import materialize
 
-BROADCAST_WORDS = 500_000
-SALTS = 16
+#: Size of the replicated filter of query words at most, as a power of two (128 MiB).
+FILTER_BITS = 30
+#: Matches of one word that one task joins.
+HOT_WORD = 100_000
 
 
 @dataclass(frozen=True)
@@ -30,16 +34,16 @@ class Scoring:
     """Residue scores, affine gaps and the statistics that go with them.
 
     ``matrix`` maps residue pairs to scores; without it ``match`` and
-    ``mismatch`` apply.  ``lam`` and ``kappa`` are the published
-    Karlin-Altschul parameters of the scoring system in use.
+    ``mismatch`` apply.  ``lam`` and ``kappa`` are the Karlin-Altschul parameters of
+    just this system (see :func:`fit_statistics`); bits and e-values need them.
     """
 
     match: int = 5
     mismatch: int = -4
     gap_open: int = 11
     gap_extend: int = 1
-    lam: float = 0.267
-    kappa: float = 0.041
+    lam: float | None = None
+    kappa: float | None = None
     matrix: Mapping[tuple[str, str], int] | None = field(default=None, hash=False)
 
     def table(self) -> np.ndarray:
@@ -53,11 +57,18 @@ class Scoring:
     def best(self) -> int:
         return max(self.matrix.values()) if self.matrix else self.match
 
+    def statistics(self) -> tuple[float, float]:
+        if self.lam is None or self.kappa is None:
+            raise ValueError("this scoring system has no statistics: give lam and kappa, or fit them")
+        return self.lam, self.kappa
+
     def bits(self, score: Column) -> Column:
-        return (F.lit(self.lam) * score - math.log(self.kappa)) / math.log(2)
+        lam, kappa = self.statistics()
+        return (F.lit(lam) * score - math.log(kappa)) / math.log(2)
 
     def evalue(self, score: Column, query_len: Column, db_len: Column) -> Column:
-        return F.lit(self.kappa) * query_len * db_len * F.exp(F.lit(-self.lam) * score)
+        lam, kappa = self.statistics()
+        return F.lit(kappa) * query_len * db_len * F.exp(F.lit(-lam) * score)
 
 
 def solve_lambda(scores: np.ndarray, frequencies: np.ndarray) -> float:
@@ -74,6 +85,25 @@ def solve_lambda(scores: np.ndarray, frequencies: np.ndarray) -> float:
     return high
 
 
+def fit_statistics(scoring: Scoring, frequencies: Mapping[str, float], *, length: int = 300, pairs: int = 400, seed: int = 1) -> Scoring:
+    """``scoring`` with lam and kappa fitted to best gapped scores of random pairs.
+
+    The scores follow an extreme-value distribution: its standard deviation gives lam, its
+    mean gives kappa.
+    """
+    draw, table = np.random.default_rng(seed), scoring.table()
+    letters, weights = zip(*sorted(frequencies.items()), strict=True)
+    codes = np.array([ord(c) for c in letters], np.uint8)
+    weights = np.array(weights) / sum(weights)
+    best = [
+        best_end(*draw.choice(codes, (2, length), p=weights), table, scoring.gap_open, scoring.gap_extend)[0]
+        for _ in range(pairs)
+    ]
+    lam = math.pi / (math.sqrt(6) * float(np.std(best)))
+    kappa = math.exp(lam * float(np.mean(best)) - 0.5772156649) / length**2
+    return replace(scoring, lam=lam, kappa=kappa)
+
+
 WINDOW = 32
 SCAN_LETTERS = 1 << 16
 
@@ -108,26 +138,50 @@ def _rolling_hash(letters: np.ndarray, size: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def matching_words(records: DataFrame, id_column: str, text: str, size: int, wanted: Iterable[str]) -> DataFrame:
-    """The rows of :func:`words` whose word may be in ``wanted``; none that is gets lost.
+def word_filter(wanted: DataFrame, size: int, most_bits: int = FILTER_BITS) -> np.ndarray:
+    """Packed bitmap of the hashes of ``wanted.word``, set together by the tasks.
+
+    It has about 64 bits per word up to ``most_bits``; a fuller one lets more other words
+    through, which the later join on the word removes.
+    """
+    count = wanted.select(F.approx_count_distinct("word")).first()[0]
+    bits = min(most_bits, max(16, (count * 64).bit_length()))
+    mask = np.uint64((1 << bits) - 1)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = np.frombuffer("".join(batch.column(0).to_pylist()).encode("ascii"), np.uint8)
+            at = np.unique(_rolling_hash(packed, size)[::size] & mask).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at)], names=["at"])
+
+    places = wanted.select("word").distinct().mapInArrow(place, "at BIGINT").distinct()
+    table = np.zeros(1 << bits >> 3, np.uint8)
+    # One row per 32,768 bits, each of bounded size.
+    blocks = places.groupBy(F.expr("at div 32768").alias("block")).agg(F.collect_list(F.expr("at % 32768")).alias("bits"))
+    for block, inside in blocks.toLocalIterator():
+        part = np.zeros(32768, bool)
+        part[inside] = True
+        table[block * 4096 : block * 4096 + 4096] = np.packbits(part)
+    return table
+
+
+def matching_words(records: DataFrame, id_column: str, text: str, size: int, wanted: DataFrame) -> DataFrame:
+    """The rows of :func:`words` whose word may be in ``wanted.word``; none that is gets lost.
 
     Listing each word of the collection as a row costs far more than looking at
     it, so a bitmap of word hashes is tested over the Arrow buffers and only hits
     become rows.  A hit can be a hash collision; callers join on the word.
     """
-    packed = np.frombuffer("".join(sorted(set(wanted))).encode("ascii"), dtype=np.uint8)
-    hashes = _rolling_hash(packed, size)[::size]
-    bits = max(16, int(len(hashes) * 64).bit_length())
-    mask = np.uint64((1 << bits) - 1)
-    table = np.zeros(1 << bits, dtype=bool)
-    table[hashes & mask] = True
-    shared = records.sparkSession.sparkContext.broadcast(np.packbits(table))
+    packed = word_filter(wanted, size)
+    bits = len(packed) * 8
+    mask = np.uint64(bits - 1)
+    shared = records.sparkSession.sparkContext.broadcast(packed)
     upper = np.zeros(256, dtype=np.uint8)
     for letter in range(26):
         upper[[65 + letter, 97 + letter]] = 65 + letter
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(shared.value, count=1 << bits).view(bool)
+        table = shared.value
         for batch in batches:
             column = batch.column("text").cast(pa.large_string())
             offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset :][: len(column) + 1]
@@ -141,7 +195,8 @@ def matching_words(records: DataFrame, id_column: str, text: str, size: int, wan
             near = [np.zeros(0, dtype=np.int64)]
             for begin in range(0, len(data) - size + 1, SCAN_LETTERS):
                 part = data[begin : begin + SCAN_LETTERS + size - 1]
-                near.append(begin + np.flatnonzero(table[_rolling_hash(part, size) & mask]))
+                at = _rolling_hash(part, size) & mask
+                near.append(begin + np.flatnonzero(table[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8) & 1))
             hits = np.concatenate(near)
             owner = np.searchsorted(starts, hits, side="right") - 1
             inside = hits + size <= starts[owner + 1]
@@ -169,30 +224,29 @@ def seeds(
     *,
     size: int,
     min_seeds: int = 2,
-    broadcast_words: int = BROADCAST_WORDS,
 ) -> DataFrame:
     """(query_id, db_id, diagonal, seeds): diagonals holding at least ``min_seeds`` words.
 
-    The query words are counted first.  Up to ``broadcast_words`` they go to
-    every executor and the collection is never shuffled by word.  Beyond that
-    both sides are joined on word and salt: the collection's copies of a very
-    common word are spread over ``SALTS`` tasks.  Seeds are counted map-side
-    before the shuffle on (query, record, diagonal).
+    The collection is scanned where it lies, past a replicated filter of bounded size that
+    the tasks build from the query words; only words that pass become rows.  These are
+    joined with the query words; a word with many matches is dealt over as many tasks as
+    its count asks for.  Seeds are counted map-side before the shuffle on (query, record,
+    diagonal).
     """
-    wanted = words(queries, id_column, text, size).select(
-        F.col("id").alias("query_id"), F.col("at").alias("q_at"), "word"
+    wanted = materialize(
+        words(queries, id_column, text, size).select(F.col("id").alias("query_id"), F.col("at").alias("q_at"), "word"),
+        "query-words",
+    )
+    offered = materialize(matching_words(collection, id_column, text, size, wanted), "matches")
+    counts = offered.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > HOT_WORD)
+    # At most one row per HOT_WORD matches.
+    hot = F.broadcast(counts.select("word", F.ceil(F.col("n") / HOT_WORD).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    offered = offered.join(hot, "word", "left").withColumn("part", F.pmod(F.hash("id", "at"), parts))
+    wanted = wanted.join(hot, "word", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    met = offered.select(F.col("id").alias("db_id"), F.col("at").alias("d_at"), "word", "part").join(
+        wanted.drop("parts"), ["word", "part"]
     )
-    few = [r.word for r in wanted.select("word").limit(broadcast_words + 1).collect()]
-    if len(few) <= broadcast_words:
-        offered = matching_words(collection, id_column, text, size, few)
-        wanted = F.broadcast(wanted)
-        keys = ["word"]
-    else:
-        offered = words(collection, id_column, text, size)
-        offered = offered.withColumn("salt", F.pmod(F.hash("id", "at"), F.lit(SALTS)))
-        wanted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        keys = ["word", "salt"]
-    met = offered.select(F.col("id").alias("db_id"), F.col("at").alias("d_at"), *keys).join(wanted, keys)
     return (
         met.groupBy("query_id", "db_id", (F.col("d_at") - F.col("q_at")).alias("diagonal"))
         .agg(F.count("*").alias("seeds"))
@@ -264,53 +318,44 @@ def _best_stretch(a: str, b: str, table: np.ndarray) -> tuple[int, int, int]:
     return int(gains[last]), first, last
 
 
-def extend_gapped(
-    found: DataFrame, queries: DataFrame, collection: DataFrame, id_column: str, text: str, scoring: Scoring
-) -> DataFrame:
-    """Add ``gapped_score`` to ungapped hits: best affine-gap local alignment near the diagonal.
-
-    An alignment with g gap positions scores at most ``q_len * best residue
-    score - gap_open - g * gap_extend``.  Only as many gap positions as leave room
-    above the ungapped score matter; the window around the diagonal is that
-    wide, and a hit that no gap can improve is not aligned again.
-    """
-    spare = F.col("q_len") * scoring.best() - scoring.gap_open - F.col("score")
-    reach = F.greatest(F.lit(0), F.floor(spare / scoring.gap_extend)).cast("int")
-    left = F.greatest(F.lit(0), F.col("diagonal") - reach)
-    right = F.least(F.col("d_len"), F.col("diagonal") + F.col("q_len") + reach)
-    table = scoring.table()
+SEGMENT = (
+    "score BIGINT, q_from INT, q_to INT, d_from INT, d_to INT, identities INT, gaps INT, q_aligned STRING, d_aligned STRING"
+)
 
-    @F.pandas_udf("bigint")
-    def align(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_gapped_score(x, y, table, scoring) for x, y in zip(a, b)], dtype="int64")
-
-    open_hits = F.when(reach > 0, F.col("q_seq")).otherwise("")
-    window = F.when(reach > 0, F.substr("d_seq", left + 1, right - left)).otherwise("")
-    wide = _paired(found, queries, collection, id_column, text)
-    return wide.select(*found.columns, F.greatest("score", align(open_hits, window)).alias("gapped_score"))
 
+def align_pairs(
+    found: DataFrame,
+    queries: DataFrame,
+    collection: DataFrame,
+    id_column: str,
+    text: str,
+    scoring: Scoring,
+    least: Column,
+) -> DataFrame:
+    """(query_id, db_id, q_len, d_len, segment, score, ...): gapped alignments of seeded pairs.
 
-def _gapped_score(a: str, b: str, table: np.ndarray, scoring: Scoring) -> int:
-    """Affine-gap local alignment score, one vectorised row per residue of ``a``."""
-    if not a or not b:
-        return 0
-    x, y = np.frombuffer(a.encode("latin-1"), np.uint8), np.frombuffer(b.encode("latin-1"), np.uint8)
-    first, more = scoring.gap_open + scoring.gap_extend, scoring.gap_extend
-    slope = more * np.arange(len(y) + 1)
-    row = np.zeros(len(y) + 1, dtype=np.int64)
-    down = np.full(len(y) + 1, -(10**9), dtype=np.int64)
-    best = 0
-    for residue in x:
-        down = np.maximum(down - more, row - first)
-        fresh = np.zeros_like(row)
-        fresh[1:] = np.maximum(0, row[:-1] + table[residue, y])
-        fresh = np.maximum(fresh, down)
-        # A gap along b opened at k and ending at j costs first + more * (j - k - 1).
-        across = np.maximum.accumulate(fresh + slope)[:-1] - slope[1:] - scoring.gap_open
-        fresh[1:] = np.maximum(fresh[1:], across)
-        row = fresh
-        best = max(best, int(row.max()))
-    return best
+    ``least`` is the score a segment needs, from ``q_len``.  Every alignment that a seeded
+    diagonal can be part of is searched (see ``functions.alignment.segments``), so the best
+    one is the best of all that hold a seed.  Texts are reduced to letters once per record.
+    """
+    pairs = found.groupBy("query_id", "db_id").agg(F.collect_set("diagonal").alias("diagonals"))
+    pairs = materialize(pairs, "pairs")
+    side = lambda df, name, short: df.join(
+        pairs.select(F.col(name).alias(id_column)).distinct(), id_column, "left_semi"
+    ).select(F.col(id_column).alias(name), letters(text).alias(f"{short}_seq"))
+    joined = pairs.join(side(queries, "query_id", "q"), "query_id").join(side(collection, "db_id", "d"), "db_id")
+    joined = joined.select("*", F.length("q_seq").alias("q_len"), F.length("d_seq").alias("d_len"))
+    table, open_, more = scoring.table(), scoring.gap_open, scoring.gap_extend
+
+    @F.pandas_udf(f"array<struct<{SEGMENT.replace(' ', ':').replace(',:', ',')}>>")
+    def align(q: pd.Series, d: pd.Series, diagonals: pd.Series, least: pd.Series) -> pd.Series:
+        rows = zip(q, d, diagonals, least, strict=True)
+        return pd.Series([[vars(s) for s in segments(a, b, list(c), table, open_, more, int(n))] for a, b, c, n in rows])
+
+    aligned = joined.withColumn("all", align("q_seq", "d_seq", "diagonals", least.cast("long")))
+    return aligned.select("query_id", "db_id", "q_len", "d_len", F.posexplode("all").alias("segment", "hit")).select(
+        "query_id", "db_id", "q_len", "d_len", (F.col("segment") + 1).alias("segment"), "hit.*"
+    )
 
 
 def search(
@@ -321,39 +366,27 @@ def search(
     *,
     size: int = 3,
     min_seeds: int = 2,
-    scoring: Scoring = Scoring(),
+    scoring: Scoring,
     max_evalue: float = 10.0,
-    min_ungapped: int = 0,
-    broadcast_words: int = BROADCAST_WORDS,
 ) -> DataFrame:
-    """Hits of every query in the collection, the best alignment per pair.
+    """Hits of every query in the collection: all segments of a pair, the best one first.
 
-    Returns query_id, db_id, q_len, d_len, the ungapped segment, score, bits and
-    evalue.  Expected hits are measured against all letters of the collection.
+    Returns query_id, db_id, q_len, d_len, segment, score, bits, evalue, the 1-based bounds,
+    identities, gaps and the aligned strings.  Expected hits are measured against all letters
+    of the collection; ``scoring`` must carry its statistics.
     """
-    found = seeds(
-        queries, collection, id_column, text, size=size, min_seeds=min_seeds, broadcast_words=broadcast_words
-    )
-    flat = extend_ungapped(found, queries, collection, id_column, text, scoring)
-    # The best diagonal of a pair leads; partial maxima are taken before the shuffle.
-    lead = (
-        flat.where(F.col("score") >= min_ungapped)
-        .groupBy("query_id", "db_id")
-        .agg(F.max(F.struct("score", -F.col("diagonal"), *[c for c in flat.columns if c != "score"])).alias("top"))
-        .select("top.*")
-        .select(*flat.columns)
+    lam, kappa = scoring.statistics()
+    found = seeds(queries, collection, id_column, text, size=size, min_seeds=min_seeds)
+    total = float(collection.agg(F.sum(letter_count(text))).first()[0] or 0)
+    # A smaller score has an e-value above max_evalue.
+    least = F.greatest(F.lit(1), F.floor(F.log(F.lit(kappa * total / max_evalue) * F.col("q_len")) / lam))
+    aligned = align_pairs(found, queries, collection, id_column, text, scoring, least)
+    hits = aligned.withColumn("bits", scoring.bits(F.col("score"))).withColumn(
+        "evalue", scoring.evalue(F.col("score"), F.col("q_len"), F.lit(total))
     )
-    gapped = extend_gapped(lead, queries, collection, id_column, text, scoring)
-    total = collection.select(F.sum(letter_count(text))).scalar()
-    score = F.col("gapped_score")
-    return (
-        gapped.withColumn("bits", scoring.bits(score))
-        .withColumn("evalue", scoring.evalue(score, F.col("q_len"), total))
-        .where(F.col("evalue") <= max_evalue)
-        .select(
-            "query_id", "db_id", "q_len", "d_len", "q_from", "q_to", "d_from", "d_to",
-            F.col("score").alias("ungapped_score"), score.alias("score"), "bits", "evalue",
-        )
+    return hits.where(F.col("evalue") <= max_evalue).select(
+        "query_id", "db_id", "q_len", "d_len", "segment", "score", "bits", "evalue", "q_from", "q_to", "d_from", "d_to",
+        "identities", "gaps", "q_aligned", "d_aligned",
     )
 
 

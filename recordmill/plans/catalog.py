@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from recordmill.functions import residues as RES
 from recordmill.functions import text as TXT
-from recordmill.operators import clustering, external, packing, provenance, records, recovery
+from recordmill.operators import clustering, packing, provenance, records, recovery
 from recordmill.operators import reports as rep
 from recordmill.operators import retrieval, sampling, similarity, timelines
-from recordmill.plans.ordered import Running, ordinal, running
+from recordmill.plans.ordered import Running, dense_positions, ordinal, running
 from recordmill.session import scratch_path, ship_package
 from recordmill.sources import blocks, delimited, joblogs, tables, writers
 from recordmill.sources import reports as xml
@@ -196,33 +196,6 @@ def fixed_groups(spark, sf):
     return records.fixed_groups(tables.table(spark, sf, "pages").select("page_id"), "page_id", 7)
 
 
-@query("""
-WITH r AS (SELECT conv_id * 4096 + turn AS seq, strlen(text) AS n FROM conversations),
-     o AS (SELECT seq, n, row_number() OVER (ORDER BY seq) - 1 AS i FROM r)
-SELECT CAST(i // 32 * 32 AS BIGINT) AS first_record, count(*) AS records, CAST(sum(n) AS BIGINT) AS bytes
-FROM o GROUP BY 1
-""")
-def work_units(spark, sf):
-    """Contiguous work units named by the ordinal of their first record."""
-    turns = _turns(spark, sf).select("seq", TXT.byte_length("text").alias("n"))
-    placed = ordinal(turns, "seq", "i").withColumn("first_record", F.expr("i div 32 * 32"))
-    return placed.groupBy("first_record").agg(F.count("*").alias("records"), F.sum("n").alias("bytes"))
-
-
-@query("""
-SELECT page_id, CAST(floor(100 * row_number() OVER (ORDER BY page_id) / count(*) OVER ()) AS BIGINT) AS percent
-FROM pages
-""")
-def progress_percent(spark, sf):
-    placed = ordinal(tables.table(spark, sf, "pages").select("page_id"), "page_id", "i", total="n")
-    return placed.select("page_id", TXT.percent_done(F.col("i") + 1, "n").alias("percent"))
-
-
-@query("SELECT l_suppkey AS worker, count(*) AS records FROM lineitem GROUP BY 1")
-def records_per_worker(spark, sf):
-    return records.per_worker_counts(tables.table(spark, sf, "lineitem"), F.col("l_suppkey"))
-
-
 @query("""
 WITH d AS (SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n FROM documents),
      o AS (SELECT doc_id, CAST(sum(n) OVER (ORDER BY doc_id) - n AS BIGINT) AS off FROM d),
@@ -473,9 +446,8 @@ def key_log_outcomes(spark, sf):
 
 
 def _turns(spark: SparkSession, sf: str) -> DataFrame:
-    """Conversation turns with a unique position."""
-    seq = F.col("conv_id") * 4096 + F.col("turn")
-    return tables.table(spark, sf, "conversations").withColumn("seq", seq)
+    """Conversation turns with a dense position, in the order of conversation and turn."""
+    return dense_positions(tables.table(spark, sf, "conversations"), ["conv_id", "turn"], "seq")
 
 
 @query("""
@@ -560,14 +532,6 @@ def block_count(spark, sf):
     return blocks.block_counts(index).where("file IS NULL").select("blocks")
 
 
-@query("SELECT doc_id, text FROM documents")
-def zlib_round_trip(spark, sf):
-    from recordmill.functions.codec import compress, inflate
-
-    packed = _documents(spark, sf).select("doc_id", compress(F.encode("text", "UTF-8")).alias("z"))
-    return packed.select("doc_id", F.decode(inflate("z"), "UTF-8").alias("text"))
-
-
 @query("""
 SELECT l_returnflag AS file, count(*) AS blocks, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS bytes
 FROM lineitem GROUP BY ROLLUP (l_returnflag)
@@ -724,13 +688,14 @@ _TRANSITIONS = {(a, b): (2 if a == b else -1 if {a, b} in ({"A", "G"}, {"C", "T"
 
 @query(f"""
 WITH s AS (SELECT doc_id, {_NUCLEOTIDES_SQL} AS s FROM documents),
-     p AS (SELECT doc_id, unnest(regexp_extract_all(s, '..')) AS ab FROM s)
+     p AS (SELECT doc_id, substr(s, k, 2) AS ab FROM s, unnest(range(1, greatest(length(s), 1))) AS t(k))
 SELECT doc_id, CAST(sum(CASE WHEN ab[1] = ab[2] THEN 2 WHEN ab IN ('AG', 'GA', 'CT', 'TC') THEN -1 ELSE -3 END) AS BIGINT)
   AS score FROM p GROUP BY doc_id
 """)
 def substitution_scores(spark, sf):
     """Sum of substitution scores over consecutive residue pairs."""
-    pairs = F.regexp_extract_all(_nucleotides(), F.lit("(..)"), F.lit(1))
+    # Pairs overlap: a look-ahead takes two residues and moves on by one.
+    pairs = F.regexp_extract_all(_nucleotides(), F.lit("(?=(..))."), F.lit(1))
     rows = _documents(spark, sf).select("doc_id", F.explode_outer(pairs).alias("ab")).where("ab IS NOT NULL")
     score = RES.substitution_score(F.substring("ab", 1, 1), F.substring("ab", 2, 1), _TRANSITIONS)
     return rows.groupBy("doc_id").agg(F.sum(score).alias("score"))
@@ -894,11 +859,54 @@ def ungapped_hits(spark, sf):
     return flat.select("query_id", "db_id", "seeds", "score", *wide)
 
 
-@query()
+# Fitted once by similarity.fit_statistics for 26 equally frequent letters.
+SEARCH_SCORING = similarity.Scoring(match=5, mismatch=-4, gap_open=11, gap_extend=1, lam=0.5725, kappa=0.0727)
+
+
+@query(f"""
+WITH RECURSIVE {_SEEDS_SQL},
+pair AS MATERIALIZED (SELECT query_id, db_id, q.s AS qs, d.s AS ds, length(q.s) AS q_len, length(d.s) AS d_len
+  FROM (SELECT DISTINCT query_id, db_id FROM seeds) JOIN q USING (query_id) JOIN d USING (db_id)),
+-- One table row per residue of the query: h is the best score that ends at (i, j), down that of an open gap.
+cell(query_id, db_id, i, j, h, down) AS (
+  SELECT query_id, db_id, 0, j, 0, -1000000 FROM pair, unnest(range(0, d_len + 1)) AS t(j)
+  UNION ALL
+  SELECT query_id, db_id, i, j, greatest(fresh, coalesce(max(fresh + j) OVER (
+      PARTITION BY query_id, db_id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - j - 11, 0)), down
+  FROM (
+    SELECT query_id, db_id, i, j, down, greatest(0, down, CASE WHEN j > 0 THEN diagonal + gain ELSE 0 END) AS fresh
+    FROM (
+      SELECT c.query_id, c.db_id, c.i + 1 AS i, c.j, greatest(c.down - 1, c.h - 12) AS down,
+        lag(c.h) OVER (PARTITION BY c.query_id, c.db_id ORDER BY c.j) AS diagonal,
+        CASE WHEN substr(qs, c.i + 1, 1) = substr(ds, c.j, 1) THEN 5 ELSE -4 END AS gain
+      FROM cell c JOIN pair p ON p.query_id = c.query_id AND p.db_id = c.db_id WHERE c.i < p.q_len
+    )
+  )
+),
+best AS (SELECT query_id, db_id, max(h) AS score FROM cell GROUP BY ALL),
+total AS (SELECT sum(length(s)) AS letters FROM d),
+scored AS (SELECT query_id, db_id, CAST(q_len AS INTEGER) AS q_len, CAST(d_len AS INTEGER) AS d_len,
+    CAST(score AS BIGINT) AS score, 0.0727e0 * q_len * letters * exp(-0.5725e0 * score) AS e
+  FROM best JOIN pair USING (query_id, db_id), total)
+SELECT query_id, db_id, q_len, d_len, score, round((0.5725e0 * score - ln(0.0727e0)) / ln(2e0), 6) AS bits, round(e, 6) AS evalue
+FROM scored WHERE e <= 10
+""")
 def search_hits(spark, sf):
-    """Gapped hits with bit scores and e-values (checked against brute force in the tests)."""
+    """Best gapped score of every query and document that share words, with bits and e-value."""
+    best = _segments(spark, sf).where("segment = 1")
+    rounded = [F.round(c, 6).alias(c) for c in ("bits", "evalue")]
+    return best.select("query_id", "db_id", "q_len", "d_len", "score", *rounded)
+
+
+@query()
+def search_segments(spark, sf):
+    """All segments of the search with their alignments (the tests rescore them)."""
+    return _segments(spark, sf)
+
+
+def _segments(spark: SparkSession, sf: str) -> DataFrame:
     queries, documents = _sides(spark, sf)
-    return similarity.search(queries, documents, "id", "text", size=WORD)
+    return similarity.search(queries, documents, "id", "text", size=WORD, scoring=SEARCH_SCORING)
 
 
 @query(f"""
@@ -1037,23 +1045,6 @@ def report_merge(spark, sf):
 # Programs and streams ----------------------------------------------------------
 
 
-@query("""
-SELECT item_id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS text FROM benchmark
-""")
-def program_per_record(spark, sf):
-    """An outside program run on every record."""
-    done = external.run_per_record(tables.table(spark, sf, "benchmark"), "item_id", "text", "tr 'a-z' 'A-Z'")
-    return done.select("item_id", F.decode("output", "UTF-8").alias("text"))
-
-
-@query("SELECT CAST(sum(strlen(url) + 1) AS BIGINT) AS bytes, count(*) AS records FROM pages")
-def program_per_batch(spark, sf):
-    """One process per batch of records."""
-    rows = tables.table(spark, sf, "pages").select(F.concat("url", F.lit("\n")).alias("line"))
-    done = external.run_per_batch(rows, "line", ["cat"])
-    return done.agg(F.sum(F.octet_length("output")).alias("bytes"), F.sum("records").alias("records"))
-
-
 @query(CHECKS["record_lengths"])
 def stream_available(spark, sf):
     """The length report as a stream that takes what is there and stops."""

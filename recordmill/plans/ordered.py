@@ -23,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordmill.session import materialize
+
 BUCKET_ROWS = 1 << 17
 
 
@@ -132,6 +134,22 @@ def ordinal(
     return running(df, order, [one], within=within, **kw)
 
 
+def dense_positions(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Add the 0-based position of each row in the order of ``order``, whatever its values.
+
+    Rows are range-partitioned by the order, so a partition's count places the next one;
+    within its partition a row is counted in bounded runs.  Ties are placed arbitrarily.
+    """
+    spread = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__row", F.monotonically_increasing_id()), "positions")
+    part, local = F.shiftright("__row", 33), F.col("__row").bitwiseAND((1 << 33) - 1)
+    counts = spread.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    # One row per range partition.
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    placed = spread.withColumn("__part", part).withColumn("__local", local).join(F.broadcast(starts), "__part")
+    return placed.select(*df.columns, (F.col("__before") + F.col("__local")).alias(name))
+
+
 def following(df: DataFrame, order: str, name: str, value: Column, *, within: Sequence[str] = (), **kw) -> DataFrame:
     """Value of the next row of the same key: ``lead(value)`` safe for hot keys."""
     spec = Running(name, value, how="last", exclusive=True)

@@ -16,6 +16,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -96,11 +97,12 @@ def read_blocks(
 ) -> DataFrame:
     """(file, block_id, stored_size, payload): every block inflated.
 
-    A damaged block fails the job, or is left out with ``skip_bad``.
+    A damaged block fails the job.  With ``skip_bad`` it stays as a row without payload, and
+    an ``error`` column says what is wrong with it.
     """
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["file", "block_id", "stored_size", "payload"]
+        columns = ["file", "block_id", "stored_size", "payload", "error"][: 5 if skip_bad else 4]
         for batch in batches:
             for file, rows in batch.groupby("file", sort=False):
                 with open_input(file) as handle:
@@ -108,13 +110,13 @@ def read_blocks(
                     for row in rows.itertuples(index=False):
                         handle.seek(row.at)
                         try:
-                            payload = zlib.decompress(handle.read(row.stored_size))
-                        except zlib.error:
-                            if skip_bad:
-                                continue
-                            raise
-                        out.append((file, row.block_id, row.stored_size, payload))
-                        held += len(payload)
+                            payload, error = zlib.decompress(handle.read(row.stored_size)), None
+                        except zlib.error as bad:
+                            if not skip_bad:
+                                raise
+                            payload, error = None, str(bad)
+                        out.append((file, row.block_id, row.stored_size, payload, error)[: len(columns)])
+                        held += len(payload or b"")
                         if held > BATCH_BYTES:
                             yield pd.DataFrame(out, columns=columns)
                             out, held = [], 0
@@ -123,7 +125,8 @@ def read_blocks(
     index = read_block_index(list_files(spark, paths, **kw), version)
     # Spread the blocks of one large file over all tasks before inflating.
     spread = index.repartition("file", "block_id")
-    return spread.mapInPandas(load, "file STRING, block_id BIGINT, stored_size BIGINT, payload BINARY")
+    schema = "file STRING, block_id BIGINT, stored_size BIGINT, payload BINARY"
+    return spread.mapInPandas(load, schema + ", error STRING" if skip_bad else schema)
 
 
 class _Parts(WriterCommitMessage):
@@ -270,7 +273,7 @@ def block_counts(index: DataFrame) -> DataFrame:
 
 
 def read_chunk_index(spark: SparkSession, paths: Paths, **kw) -> DataFrame:
-    """(file, stream, voffset, poffset, size) from 30-byte index entries.
+    """(file, entry, stream, voffset, poffset, size, mark) from 30-byte index entries.
 
     A partial entry at the end of a file is ignored.  Entries have a fixed
     width, so every file is cut into ranges that are read independently.
@@ -293,26 +296,33 @@ def read_chunk_index(spark: SparkSession, paths: Paths, **kw) -> DataFrame:
                 with open_input(row.file) as handle:
                     handle.seek(row.first * INDEX_BYTES)
                     data = handle.read(count * INDEX_BYTES)
-                out = pd.DataFrame(struct.iter_unpack(INDEX_ENTRY, data), columns=["stream", "voffset", "poffset", "size", "m"])
+                out = pd.DataFrame(struct.iter_unpack(INDEX_ENTRY, data), columns=["stream", "voffset", "poffset", "size", "mark"])
                 out.insert(0, "file", row.file)
-                yield out.drop(columns="m")
+                out["mark"] = out["mark"].str.decode("latin-1")
+                out.insert(1, "entry", np.arange(row.first, row.first + count))
+                yield out
 
-    schema = "file STRING, stream INT, voffset BIGINT, poffset BIGINT, size BIGINT"
+    schema = "file STRING, entry BIGINT, stream INT, voffset BIGINT, poffset BIGINT, size BIGINT, mark STRING"
     return ranges.repartition("file", "first").mapInPandas(load, schema)
 
 
 def read_index_marks(spark: SparkSession, paths: Paths, **kw) -> DataFrame:
-    """Listing form of the chunk index, ordered by file and entry."""
-    return read_chunk_index(spark, paths, **kw).orderBy("file", "stream", "voffset")
+    """Listing form of the chunk index, every field in the order of the entries."""
+    return read_chunk_index(spark, paths, **kw).orderBy("file", "entry")
 
 
 def ids_to_binary(ids: DataFrame, column: str) -> DataFrame:
-    """(first_id, n, payload): sorted big-endian 4-byte ids, one row per sorted run."""
+    """(first_id, n, payload): sorted big-endian 4-byte ids, one row per sorted run.
+
+    An id outside 0 to 2^32 - 1 fails the job.
+    """
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             values = batch["id"].to_numpy()
             if len(values):
+                if values[0] < 0 or values[-1] >= 1 << 32:
+                    raise ValueError("an id does not fit into four bytes")
                 yield pd.DataFrame([(int(values[0]), len(values), values.astype(">u4").tobytes())])
 
     ordered = ids.select(F.col(column).cast("long").alias("id")).repartitionByRange("id").sortWithinPartitions("id")

@@ -1,8 +1,9 @@
 """Records cut from text files by a delimiter, in file order.
 
 Spark splits the files and reads the splits in parallel.  A first pass reduces
-each split to one row (record count, bytes); joining those rows back gives every
-record its dense position without moving any record over the network.
+each split to one row (its record count); these rows are written once, counted,
+and sent to the tasks, so every record gets its dense position where it was read.
+Only for more than ``REPLICATED_SPLITS`` splits are records and splits joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordmill.plans.ordered import Running, running
+from recordmill.session import materialize
 
 # Record delimiters.
 FASTA_SEPARATOR = "\n>"
@@ -18,6 +20,8 @@ ANY_GT_SEPARATOR = ">"
 MOL2_PREFIX = "@<TRIPOS>MOLECULE"
 
 Paths = str | list[str]
+#: File splits whose offsets are replicated: about 100 bytes each.
+REPLICATED_SPLITS = 400_000
 
 
 def read_delimited(
@@ -43,23 +47,26 @@ def read_delimited(
         F.monotonically_increasing_id().alias("row"),
     )
     blocks = raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("row").alias("first_row"))
-    order = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = materialize(blocks, "splits")
+    few = blocks.count() <= REPLICATED_SPLITS
+    # Files are totalled first, so the window over all of them has a row per file, not per split.
+    files = blocks.groupBy("file").agg(F.sum("n").alias("n_in_file"))
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("file", "n_in_file", F.coalesce(F.sum("n_in_file").over(earlier), F.lit(0)).alias("before_file"))
     in_file = Window.partitionBy("file")
     offsets = blocks.select(
         "file",
         "block",
         "first_row",
-        F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"),
         F.coalesce(
             F.sum("n").over(in_file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
         ).alias("before_in_file"),
-        F.sum("n").over(in_file).alias("n_in_file"),
-    )
+    ).join(files, "file")
     local = F.col("row") - F.col("first_row")
-    return raw.join(offsets, ["file", "block"]).select(
+    return raw.join(F.broadcast(offsets) if few else offsets, ["file", "block"]).select(
         "file",
         "block",
-        (F.col("before") + local).alias("pos"),
+        (F.col("before_file") + F.col("before_in_file") + local).alias("pos"),
         (F.col("before_in_file") + local).alias("pos_in_file"),
         "n_in_file",
         "value",

@@ -13,7 +13,7 @@ from recordmill.sources.delimited import Paths, read_lines
 
 # Line patterns.
 BLOCK_LINE = r"^(S|E\S+)\t(\d+)\s*$"
-TIMING_LINE = r"\[\d*\] \[TIMING\] Slave (\d*), Worker (\d*) (.*) at (\S*)\."
+TIMING_LINE = r"\[\d*\] \[TIMING\] Slave (\d+), Worker (\d+) (.*) at (\d\S*)\."
 MOLECULE_LINE = r"Molecule: (ZINC[0-9]*)"
 GROWTH_ERROR = "ERROR:  Could not complete growth."
 TIMING_BEGIN, TIMING_DONE = "beginning search", "done with search"

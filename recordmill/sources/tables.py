@@ -24,9 +24,9 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
         F.filter(F.split("value", "\n"), lambda l: ~l.startswith("#") & (F.trim(l) != "")).alias("l")
     )
     symbols = F.split(F.trim(F.col("l")[0]), r"\s+")
-    rows = lines.select(symbols.alias("symbols"), F.explode(F.slice("l", 2, 2**20)).alias("row"))
+    rows = lines.select(symbols.alias("symbols"), F.explode(F.slice("l", F.lit(2), F.size("l"))).alias("row"))
     cells = rows.select("symbols", F.split(F.trim("row"), r"\s+").alias("cells"))
-    return cells.select(F.col("cells")[0].alias("a"), F.posexplode(F.slice("cells", 2, 2**20)), "symbols").select(
+    return cells.select(F.col("cells")[0].alias("a"), F.posexplode(F.slice("cells", F.lit(2), F.size("cells"))), "symbols").select(
         "a", F.element_at("symbols", F.col("pos") + 1).alias("b"), F.col("col").cast("int").alias("score")
     )
 

@@ -54,4 +54,6 @@ def write_spread(df: DataFrame, path: str, worker: str, *, force=False) -> None:
     named = df.withColumn("hh", F.format_string("%02d", F.expr(f"`{worker}` div 100"))).withColumn(
         "ll", F.format_string("%02d", F.expr(f"`{worker}` % 100"))
     )
+    # One task, or a few for a large worker, writes each folder.
+    named = named.hint("rebalance", "hh", "ll")
     named.write.mode(save_mode(force)).partitionBy("hh", "ll").parquet(path)

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from recordmill.functions.alignment import segments
 from recordmill.operators import similarity as S
 
 LETTERS = "ACDEFG"
@@ -53,22 +54,24 @@ def brute_seeds(queries, docs, size, least):
     return {k: v for k, v in out.items() if v >= least}
 
 
-@pytest.mark.parametrize("broadcast_words", [10**6, 0])
-@pytest.mark.parametrize("window", [3, 1 << 16])
-def test_seeds(sides, monkeypatch, broadcast_words, window):
+@pytest.mark.parametrize("hot, bits, window", [(10**6, 30, 3), (2, 30, 1 << 16), (2, 16, 1 << 16)])
+def test_seeds(sides, monkeypatch, hot, bits, window):
     monkeypatch.setattr(S, "SCAN_LETTERS", window)
+    monkeypatch.setattr(S, "HOT_WORD", hot)
+    monkeypatch.setattr(S, "FILTER_BITS", bits)
     queries, docs, q_df, d_df = sides
-    found = S.seeds(q_df, d_df, "id", "text", size=3, min_seeds=2, broadcast_words=broadcast_words)
+    found = S.seeds(q_df, d_df, "id", "text", size=3, min_seeds=2)
     got = {(r.query_id, r.db_id, r.diagonal): r.seeds for r in found.collect()}
     assert got == brute_seeds(queries, docs, 3, 2)
 
 
-def test_words_match_scan(sides):
+def test_words_match_scan(spark, sides):
     _, docs, _, d_df = sides
     listed = {(r.id, r.at, r.word) for r in S.words(d_df, "id", "text", 4).collect()}
     assert listed == {(d, i, b[i : i + 4]) for d, b in enumerate(docs) for i in range(len(b) - 3)}
     wanted = {w for _, _, w in list(listed)[::3]}
-    scanned = {(r.id, r.at, r.word) for r in S.matching_words(d_df, "id", "text", 4, wanted).collect()}
+    filtered = spark.createDataFrame([(w,) for w in sorted(wanted)], "word STRING")
+    scanned = {(r.id, r.at, r.word) for r in S.matching_words(d_df, "id", "text", 4, filtered).collect()}
     assert {x for x in listed if x[2] in wanted} <= scanned <= listed
 
 
@@ -89,29 +92,69 @@ def test_ungapped(sides):
         assert r.d_from - r.q_from == r.diagonal and r.d_to - r.q_to == r.diagonal
 
 
-def test_gapped_row_scores():
+def rescored(s, scoring):
+    total, last = 0, None
+    for a, b in zip(s.q_aligned, s.d_aligned):
+        side = "q" if a == "-" else "d" if b == "-" else None
+        if side:
+            total -= scoring.gap_extend + (scoring.gap_open if side != last else 0)
+        else:
+            total += scoring.match if a == b else scoring.mismatch
+        last = side
+    return total
+
+
+def test_segments():
     rng = random.Random(4)
     for scoring in (S.Scoring(match=5, mismatch=-4, gap_open=3, gap_extend=1), S.Scoring(gap_open=0, gap_extend=2)):
         for a, b in zip(texts(rng, 25, 25), texts(rng, 25, 40)):
-            assert S._gapped_score(a, b, scoring.table(), scoring) == local_score(a, b, scoring)
+            found = segments(a, b, range(-len(a), len(b)), scoring.table(), scoring.gap_open, scoring.gap_extend, 1)
+            assert (found[0].score if found else 0) == local_score(a, b, scoring)
+            for s in found:
+                assert s.q_aligned.replace("-", "") == a[s.q_from - 1 : s.q_to]
+                assert s.d_aligned.replace("-", "") == b[s.d_from - 1 : s.d_to]
+                assert rescored(s, scoring) == s.score
+            spans = sorted((s.d_from, s.d_to) for s in found)
+            assert all(x[1] < y[0] for x, y in zip(spans, spans[1:]))
 
 
 def test_search(sides):
     queries, docs, q_df, d_df = sides
-    scoring = S.Scoring(match=5, mismatch=-4, gap_open=3, gap_extend=1)
-    found = S.search(q_df, d_df, size=3, scoring=scoring, max_evalue=1e9)
-    rows = {(r.query_id, r.db_id): r for r in found.collect()}
-    assert set(rows) == {(q, d) for q, d, _ in brute_seeds(queries, docs, 3, 2)}
+    scoring = S.Scoring(match=5, mismatch=-4, gap_open=3, gap_extend=1, lam=0.2, kappa=0.05)
+    found = S.search(q_df, d_df, size=3, scoring=scoring, max_evalue=1e9).collect()
+    best = {(r.query_id, r.db_id): r for r in found if r.segment == 1}
+    assert set(best) == {(q, d) for q, d, _ in brute_seeds(queries, docs, 3, 2)}
     total = sum(map(len, docs))
-    for (q, d), r in rows.items():
-        assert r.ungapped_score <= r.score <= local_score(queries[q], docs[d], scoring)
-        assert r.evalue == pytest.approx(scoring.kappa * len(queries[q]) * total * math.exp(-scoring.lam * r.score))
+    for (q, d), r in best.items():
+        assert r.score == local_score(queries[q], docs[d], scoring)
+    for r in found:
+        assert rescored(r, scoring) == r.score and r.identities == sum(x == y for x, y in zip(r.q_aligned, r.d_aligned))
+        assert r.evalue == pytest.approx(scoring.kappa * len(queries[r.query_id]) * total * math.exp(-scoring.lam * r.score))
         assert r.bits == pytest.approx((scoring.lam * r.score - math.log(scoring.kappa)) / math.log(2))
-    # One letter inserted: only the gapped alignment spans both halves.
-    last = rows[(1, len(docs) - 1)]
-    assert last.score == local_score(queries[1], docs[-1], scoring) > last.ungapped_score
     cut = S.search(q_df, d_df, size=3, scoring=scoring, max_evalue=0.5)
-    assert {(r.query_id, r.db_id) for r in cut.collect()} == {k for k, r in rows.items() if r.evalue <= 0.5}
+    key = lambda r: (r.query_id, r.db_id, r.segment)
+    assert sorted(map(key, cut.collect())) == sorted(key(r) for r in found if r.evalue <= 0.5)
+    with pytest.raises(ValueError):
+        S.search(q_df, d_df, scoring=S.Scoring())
+
+
+def test_best_hit_of_two_diagonals(spark):
+    rng = random.Random(6)
+    query = "".join(rng.choice("ACDEFGHIKL") for _ in range(40))
+    pad = lambda n: "".join(rng.choice("MNPQRS") for _ in range(n))
+    record = pad(50) + query[8:32] + pad(3000) + query[:20] + "W" + query[20:] + pad(50)
+    frame = lambda text: spark.createDataFrame([(1, text)], "id INT, text STRING")
+    scoring = S.Scoring(lam=0.2, kappa=0.05)
+    found = S.search(frame(query), frame(record), size=8, scoring=scoring).orderBy("segment").collect()
+    assert [r.score for r in found] == [40 * 5 - 12, 24 * 5]
+    assert (found[0].q_from, found[0].q_to, found[0].gaps, found[0].identities) == (1, 40, 1, 40)
+    assert (found[1].d_from, found[1].d_to) == (51, 74)
+
+
+def test_fitted_statistics():
+    flat = S.Scoring(match=1, mismatch=-1, gap_open=50, gap_extend=50)
+    fitted = S.fit_statistics(flat, dict.fromkeys("ACGT", 0.25), length=200, pairs=150)
+    assert fitted.lam == pytest.approx(math.log(3), rel=0.25) and 0 < fitted.kappa < 2
 
 
 def test_screen_and_profile(spark):
