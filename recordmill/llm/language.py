@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from recordmill.llm.textarrays import WINDOW, gathered, map_tables, prepare
+from recordmill.session import materialize
 
 DIMENSIONS = 1024
 #: Letters of an n-gram; a gap between words counts as a letter.
@@ -162,6 +163,11 @@ def held_out(doc_id: str) -> Column:
 
 
 def accepted(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The documents, as they came, that have a language; the others are rejected."""
-    prototypes = learn(docs.where(~held_out(doc_id)), text=text, lang=lang)
+    """The documents, as they came, that have a language; the others are rejected.
+
+    Where nothing can be learned, every text with a letter is accepted.
+    """
+    prototypes = materialize(learn(docs.where(~held_out(doc_id)), text=text, lang=lang), "prototypes")
+    if not prototypes.limit(1).count():
+        return docs.where(F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     return identify(docs, prototypes, text=text).where(F.col("__lang") != UNKNOWN).select(*docs.columns)
