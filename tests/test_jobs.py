@@ -111,7 +111,9 @@ def test_gather_golden(spark, tmp_path):
     index = b"".join(struct.pack("<HQQQ4s", *e, b"CRC!") for e in entries)
     (tmp_path / "w.idx").write_bytes(index + b"partial")
     found = blocks.read_chunk_index(spark, str(tmp_path), glob="*.idx")
-    assert sorted(tuple(r)[1:] for r in found.collect()) == sorted(entries)
+    rows = found.collect()
+    assert sorted((r.stream, r.voffset, r.poffset, r.size) for r in rows) == sorted(entries)
+    assert {r.mark for r in rows} == {"CRC!"} and sorted(r.entry for r in rows) == list(range(len(rows)))
     assert blocks.read_index_marks(spark, str(tmp_path), glob="*.idx").count() == 4
     chunks = provenance.order_chunks(provenance.gather(found)).collect()
     assert b"".join(bytes(r.payload) for r in chunks) == b"AAABBCC" + b"z" * 5000
