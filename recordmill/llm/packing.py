@@ -5,12 +5,13 @@ indexed: pieces are brought together by their rarest token and dealt into shards
 bounded size, each with a BM25 inverted index over its pieces.  Document frequencies are
 counted over all tokens of all documents; the vocabulary bounds that table.  In a shard the
 longest unused piece is the seed of a window, and the index returns its unused neighbours,
-which fill the window greedily: whole ones first, then one cut to fit.  What remains at the
-end of a shard is cut into windows of a power of two, which need no padding.
+best first, which fill the window greedily; the last of them is cut to fit.  What remains at
+the end of a shard is cut into windows of a power of two, which need no padding.
 """
 
 from __future__ import annotations
 
+import base64
 import zlib
 from collections.abc import Iterator
 
@@ -21,81 +22,112 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordmill.llm.textarrays import WINDOW, gathered, prepare, span_hashes, text_bytes
+from recordmill.llm.textarrays import WINDOW, byte_class, gathered, prepare, span_hashes, text_bytes
 from recordmill.session import materialize
 
 #: Pieces of a shard: one index in the memory of one task.
 SHARD_PIECES = 1024
 #: Distinct text units whose tokens a worker remembers.
-_REMEMBERED = 400_000
+_REMEMBERED = 1_000_000
 K1, B = 1.2, 0.75
+#: The special token of the vocabulary; its string in a text is that token.
+SPECIAL = "<|endoftext|>"
+_SPECIAL = SPECIAL.encode()
+
+_WHITE = byte_class(lambda b: b == 32 or 9 <= b <= 13 or 28 <= b <= 31)
+_ALNUM = byte_class(lambda b: 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122)
+_MARK = byte_class(lambda b: 33 <= b <= 126) & ~_ALNUM
 
 
 class Encoder:
-    """Token ids of texts; text units seen before are looked up by their hash.
+    """Token ids of texts; text units seen before are looked up by their 64-bit hash and length.
 
-    A unit starts at a space between two characters that are not white space: there the
-    tokenizer always starts a new pre-token, so units can be encoded one by one.
+    A unit starts where the tokenizer always starts a new pre-token (see ``_units``), so
+    units can be encoded one by one.
     """
 
     def __init__(self, path: str, end: int) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        import tiktoken
+
+        with open(path, "rb") as file:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+        self.special = {SPECIAL: len(ranks)}
+        self.plain = tiktoken.Encoding(
+            "packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.special
+        )
         self.end = end
-        self.known: dict[int, tuple[int, np.ndarray]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
 
     def encode(self, column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first): the ids of each text with ``end`` behind them."""
         data, offsets = text_bytes(column)
         start, end, first = _units(data, offsets)
-        hashes, second = span_hashes(data, start, end, 1), span_hashes(data, start, end, 2)
+        hashes = span_hashes(data, start, end, 1)
         unique, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if (second[at][which] != second).any():  # two units share a hash: take each by itself
-            unique, at, which = hashes, np.arange(len(start)), np.arange(len(start))
-            self.known.clear()
-        ids: list[np.ndarray | None] = []
-        missing = []
-        for k, (h, check) in enumerate(zip(unique.tolist(), second[at].tolist(), strict=True)):
-            held = self.known.get(h)
-            if held is not None and held[0] == check:
-                ids.append(held[1])
-            else:
-                ids.append(None)
-                missing.append((k, h, check))
-        texts = [bytes(data[start[at[k]] : end[at[k]]]).decode() for k, _, _ in missing]
-        if len(self.known) + len(missing) > _REMEMBERED:
-            self.known.clear()
-        for (k, h, check), got in zip(missing, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids[k] = np.array(got.ids, np.uint32)
-            self.known[h] = check, ids[k]
-        lengths = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        begin = np.cumsum(lengths) - lengths
-        count = lengths[which]
+        if len(self.hashes) + len(unique) > _REMEMBERED:
+            self._forget()
+        place = np.searchsorted(self.hashes, unique)
+        known = place < len(self.hashes)
+        known[known] = self.hashes[place[known]] == unique[known]
+        known[known] = self.sizes[place[known]] == (end - start)[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            self._add(data, unique[new], start[at[new]], end[at[new]])
+            place = np.searchsorted(self.hashes, unique)
+        begin, count = self.begin[place][which], self.count[place][which]
         bound = np.concatenate([[0], np.cumsum(count)])
-        source = np.repeat(begin[which] - bound[:-1], count) + np.arange(bound[-1])
+        source = np.repeat(begin - bound[:-1], count) + np.arange(bound[-1])
         # Documents stand behind one another, each with one more id.
         docs = len(offsets) - 1
-        shift = np.repeat(np.repeat(np.arange(docs), np.diff(first)), count)
         doc_first = bound[first] + np.arange(docs + 1)
+        shift = np.repeat(np.arange(docs), np.diff(bound[first]))
         out = np.full(doc_first[-1], self.end, np.uint32)
-        out[np.arange(bound[-1]) + shift] = flat[source]
+        out[np.arange(bound[-1]) + shift] = self.ids[source]
         return out, doc_first
 
+    def _add(self, data: np.ndarray, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        raw = data.tobytes()
+        texts = [raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        one = self.plain.encode_ordinary
+        ids = [self.plain.encode(t, allowed_special="all") if SPECIAL in t else one(t) for t in texts]
+        count = np.array([len(x) for x in ids], np.int64)
+        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(count.sum()))
+        begin = len(self.ids) + np.cumsum(count) - count
+        keep = ~np.isin(self.hashes, hashes)  # a unit of another length under the same hash
+        merged = np.concatenate([self.hashes[keep], hashes])
+        order = np.argsort(merged)
+        join = lambda old, fresh: np.concatenate([old[keep], fresh])[order]
+        self.sizes, self.begin = join(self.sizes, end - start), join(self.begin, begin)
+        self.count, self.hashes = join(self.count, count), merged[order]
+        self.ids = np.concatenate([self.ids, flat])
+
 
 def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte bounds of the units and the first unit of each text."""
+    """Byte bounds of the units and the first unit of each text.
+
+    Pre-tokens hold white space in front only, and letters or digits never stand before
+    punctuation in one of them.  So a new one starts at ASCII white space behind anything
+    else, and at ASCII punctuation behind an ASCII letter or digit or a Latin-1 letter.
+    Special tokens stay whole.
+    """
     cut = np.zeros(len(data), bool)
-    if len(data) > 2:
-        white = (data == 32) | ((data >= 9) & (data <= 13)) | ((data >= 28) & (data <= 31))
-        # Bytes that may belong to white space beyond ASCII: no cut beside them.
-        before = white | np.isin(data, [0x80 + k for k in range(11)] + [0x9F, 0xA0, 0xA8, 0xA9, 0xAF])
-        behind = white | np.isin(data, [0xC2, 0xE1, 0xE2, 0xE3])
-        cut[1:-1] = (data[1:-1] == 32) & ~before[:-2] & ~behind[2:]
-    inner = offsets[(offsets > 0) & (offsets < len(data))]
-    cut[inner[data[inner] == 32]] = False
-    cut[inner - 1] = False
+    if len(data) > 1:
+        white, mark, letter = _WHITE[data], _MARK[data], _ALNUM[data]
+        # The last byte of white space beyond ASCII stands behind one of these bytes.
+        far = np.zeros(len(data), bool)
+        far[1:] = (data[1:] >= 128) & np.isin(data[:-1], [0xC2, 0x9A, 0x80, 0x81])
+        letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 128) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        cut[1:] = (white[1:] & ~white[:-1] & ~far[:-1]) | (mark[1:] & letter[:-1])
+        raw = data.tobytes()
+        at = raw.find(_SPECIAL)
+        while at >= 0:
+            cut[at + 1 : at + len(_SPECIAL)] = False
+            at = raw.find(_SPECIAL, at + len(_SPECIAL))
     cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
     start = np.flatnonzero(cut)
     end = np.append(start[1:], len(data)) if len(start) else start
@@ -117,7 +149,7 @@ def pack(
     *,
     doc_id: str = "doc_id",
     text: str = "text",
-    tokenizer: str = "byte_bpe_50k.json",
+    tokenizer: str = "byte_bpe_50k.tiktoken",
     end: int = 0,
     window: int = 1024,
 ) -> DataFrame:
@@ -153,7 +185,7 @@ def _cut(rows: DataFrame, kind: str, tokenizer: str, end: int, window: int) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer, end)
         seen, id_type = np.zeros(1, np.int64), pa.null()
-        for table in gathered(batches, "text", WINDOW // 2):
+        for table in gathered(batches, "text", WINDOW):
             id_type = table.schema.field("doc_id").type
             ids, first = coder.encode(table.column("text"))
             owner = np.repeat(np.arange(table.num_rows, dtype=np.int64), np.diff(first))
@@ -307,16 +339,13 @@ def fill(ids: list[np.ndarray], idf: np.ndarray, mean: float, window: int) -> li
         score = index.scores(ids[seed][done[seed] :])
         used = int(left[seed])
         put(seed, used, 0)
-        near = np.lexsort((np.arange(len(left)), -score))
-        near = near[left[near] > 0]
-        while used < window:
-            fits = left[near] <= window - used
-            at = int(fits.argmax()) if fits.any() else 0
-            k = int(near[at])
+        unused = np.flatnonzero(left)
+        for k in unused[np.argsort(-score[unused], kind="stable")].tolist():
             size = min(int(left[k]), window - used)
             put(k, size, used)
             used += size
-            near = np.delete(near, at) if not left[k] else near
+            if used == window:
+                break
         sequence += 1
     rest = int(left.sum())
     queue = np.flatnonzero(left).tolist()
