@@ -12,11 +12,19 @@ MAX_EVALUE = 0.001
 
 
 def iterations(reports: DataFrame) -> DataFrame:
-    """(doc, document_def, iter, iteration) from parsed documents.
+    """(doc, document_def, iter, iteration) from parsed documents, or from rows of iterations.
 
+    Rows of iterations, as a merged file is read, count as those of one document, number 1.
     The outer form avoids the size test Spark derives from a plain explode,
     which would parse every document a second time.
     """
+    if "report" not in reports.columns:
+        return reports.select(
+            F.lit(1).cast("long").alias("doc"),
+            F.lit(None).cast("string").alias("document_def"),
+            (F.col("`Iteration_iter-num`") - 1).alias("iter"),
+            F.struct(*[F.col(f"`{c}`") for c in reports.columns]).alias("iteration"),
+        )
     found = reports.select(
         "doc",
         F.col("report.`BlastOutput_query-def`").alias("document_def"),

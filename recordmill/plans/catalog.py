@@ -1006,17 +1006,30 @@ def _report_path(spark: SparkSession, sf: str) -> str:
 _TURN_SQL = "(SELECT *, row_number() OVER (ORDER BY conv_id, turn) AS n FROM conversations)"
 
 
-@query("""
+_TAB_HITS_SQL = """
 SELECT CAST(conv_id AS VARCHAR) AS query_id, CAST(turn AS VARCHAR) AS hit_id, 1 AS q_from,
   CAST(length(text) AS INTEGER) AS q_to, CAST(turn + 1 AS INTEGER) AS h_from, CAST(turn + length(text) AS INTEGER) AS h_to,
   CAST(0.00001 AS DOUBLE) AS evalue, role AS organism
 FROM conversations WHERE length(text) > 300
-""")
+"""
+
+
+@query(_TAB_HITS_SQL)
 def report_tab_hits(spark, sf):
-    parsed = xml.parse_documents(xml.read_documents(spark, _report_path(spark, sf)))
+    documents = xml.read_documents(spark, _report_path(spark, sf))
+    parsed = xml.parse_documents(documents, xml.TAB_REPORT_SCHEMA)
     return rep.tab_hits(parsed).drop("doc", "iter", "hit_no")
 
 
+@query(_TAB_HITS_SQL)
+def report_tab_hits_merged(spark, sf):
+    """Hit table of one merged report, read by iteration."""
+    path = scratch_path(spark, "merged")
+    merged = rep.merge_reports(xml.read_documents(spark, _report_path(spark, sf)))
+    merged.orderBy("line_no").select("value").write.text(path)
+    return rep.tab_hits(xml.read_iterations(spark, path, xml.TAB_ITERATION_SCHEMA)).drop("doc", "iter", "hit_no")
+
+
 @query("""
 SELECT 'turn [' || role || ']' AS header, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS sequence FROM conversations
 """)
@@ -1042,6 +1055,79 @@ def report_merge(spark, sf):
     )
 
 
+# Readers and listings over files made from the tables --------------------------
+
+
+def _fasta_text(spark: SparkSession, sf: str, breaks: str = "\n") -> str:
+    """Documents as FASTA lines; letters only, so that no ``>`` stands in a body."""
+    path = scratch_path(spark, "fasta")
+    record = F.concat(F.lit(">"), F.col("doc_id").cast("string"), F.lit(f" x{breaks}"), F.coalesce(TXT.letters("text"), F.lit("")))
+    rows = _documents(spark, sf).select(record.alias("value"))
+    rows.write.option("lineSep", breaks).text(path)
+    return path
+
+
+_FASTA_RECORDS_SQL = """
+SELECT CAST(doc_id AS VARCHAR) AS id, CAST(length(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) AS BIGINT) AS letters
+FROM documents
+"""
+
+
+@query(_FASTA_RECORDS_SQL)
+def fasta_any_gt(spark, sf):
+    """Records cut at every ``>``."""
+    found = delimited.read_fasta(spark, _fasta_text(spark, sf), any_gt=True)
+    return found.select(F.split_part("header", F.lit(" "), F.lit(1)).alias("id"), TXT.letter_count("body").cast("long").alias("letters"))
+
+
+@query(_FASTA_RECORDS_SQL)
+def fasta_any_break(spark, sf):
+    """Records of files whose lines end in CR LF."""
+    found = delimited.read_fasta(spark, _fasta_text(spark, sf, "\r\n"))
+    raw = delimited.normalize_breaks("raw")
+    header = F.split_part(F.substring_index(raw, "\n", 1), F.lit(" "), F.lit(1))
+    body = F.substr(raw, F.instr(raw, "\n") + 1)
+    return found.select(F.substr(header, F.lit(2)).alias("id"), F.length(F.regexp_replace(body, "[^A-Za-z]", "")).cast("long").alias("letters"))
+
+
+@query("SELECT count(*) AS records FROM documents")
+def record_count(spark, sf):
+    return spark.range(1).select(F.lit(delimited.count_records(spark, _fasta_text(spark, sf))).cast("long").alias("records"))
+
+
+@query("""
+SELECT row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1 AS entry, role, 'CRC!' AS mark,
+  CAST(strlen(text) AS BIGINT) AS size FROM conversations
+""")
+def chunk_index_marks(spark, sf):
+    """Index listing with the mark of every entry, numbered over the files of a role."""
+    turns = _turns(spark, sf).select("role", "seq", F.encode("text", "UTF-8").alias("payload"))
+    numbers = turns.select("role").distinct().orderBy("role").collect()  # a few roles
+    listed = None
+    for stream, row in enumerate(numbers):
+        path = scratch_path(spark, "marks")
+        rows = turns.where(F.col("role") == row["role"]).select(
+            F.lit(stream).alias("stream"), F.col("seq").alias("voffset"), "payload"
+        )
+        blocks.write_chunks(rows, path)
+        index = blocks.read_index_marks(spark, path, glob="*.idx").select("voffset", "mark", "size")
+        part = ordinal(index, "voffset", "entry").select("entry", F.lit(row["role"]).alias("role"), "mark", "size")
+        listed = part if listed is None else listed.unionAll(part)
+    return listed
+
+
+@query("SELECT n_name AS key, count(*) AS rows, CAST(sum(c_acctbal > 0) AS BIGINT) AS positive FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1")
+def tab_file_round_trip(spark, sf):
+    """Rows written as tab-separated text and read back."""
+    path = scratch_path(spark, "tab")
+    rows = tables.table(spark, sf, "customer").join(
+        tables.table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey")
+    )
+    writers.write_tab(rows.select("n_name", "c_custkey", "c_acctbal"), path)
+    found = spark.read.option("sep", "\t").schema("key STRING, id BIGINT, balance DOUBLE").csv(path)
+    return found.groupBy("key").agg(F.count("*").alias("rows"), F.count_if(F.col("balance") > 0).alias("positive"))
+
+
 # Programs and streams ----------------------------------------------------------
 
 

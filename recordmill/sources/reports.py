@@ -47,21 +47,37 @@ REPORT_SCHEMA = f"""
 """
 
 
+# The part of the format that hit tables need.
+TAB_HIT_SCHEMA = """
+  `Hit_id` STRING, `Hit_def` STRING, `Hit_hsps` STRUCT<`Hsp`: ARRAY<STRUCT<`Hsp_evalue` STRING,
+    `Hsp_query-from` INT, `Hsp_query-to` INT, `Hsp_hit-from` INT, `Hsp_hit-to` INT>>>
+"""
+TAB_ITERATION_SCHEMA = f"""
+  `Iteration_iter-num` INT, `Iteration_query-def` STRING, `Iteration_hits` STRUCT<`Hit`: ARRAY<STRUCT<{TAB_HIT_SCHEMA}>>>
+"""
+TAB_REPORT_SCHEMA = f"""
+  `BlastOutput_query-def` STRING, `BlastOutput_iterations` STRUCT<`Iteration`: ARRAY<STRUCT<{TAB_ITERATION_SCHEMA}>>>
+"""
+
+
 def read_documents(spark: SparkSession, paths: Paths, **kw) -> DataFrame:
     """(doc, xml): every document of every file, numbered from 1 in file order."""
     found = read_delimited(spark, paths, XML_HEAD, **kw).where(F.trim(F.translate("value", "\r\n\t", "")) != "")
     return found.select(F.col("pos").alias("doc"), F.col("value").alias("xml"))
 
 
-def parse_documents(documents: DataFrame) -> DataFrame:
-    """(doc, report): typed reports; a document that does not parse fails the job."""
+def parse_documents(documents: DataFrame, schema: str = REPORT_SCHEMA) -> DataFrame:
+    """(doc, report): typed reports; a document that does not parse fails the job.
+
+    A smaller ``schema`` leaves out what is not needed.
+    """
     options = {"mode": "FAILFAST", "ignoreSurroundingSpaces": "true", "nullValue": ""}
     body = F.regexp_replace("xml", r"(?s)^\s*<!DOCTYPE[^>]*>", "")
     flat = F.regexp_replace(body, r"\n", "")
-    return documents.select("doc", F.from_xml(flat, REPORT_SCHEMA.replace("\n", " "), options).alias("report"))
+    return documents.select("doc", F.from_xml(flat, schema.replace("\n", " "), options).alias("report"))
 
 
-def read_iterations(spark: SparkSession, paths: Paths) -> DataFrame:
+def read_iterations(spark: SparkSession, paths: Paths, schema: str = ITERATION_SCHEMA) -> DataFrame:
     """Iterations as rows, straight from the file: for merged documents of any size."""
     reader = spark.read.format("xml").option("rowTag", "Iteration").option("mode", "FAILFAST")
-    return reader.schema(ITERATION_SCHEMA.replace("\n", " ")).load(paths)
+    return reader.schema(schema.replace("\n", " ")).load(paths)
