@@ -2,7 +2,7 @@ import numpy as np
 
 from recordmill.llm import cotraining as C
 
-TABLES = "/root/testdata/sf0.01"
+TABLES = "/root/testdata/sf0.1"
 
 
 def test_held_back_accuracy(spark):
@@ -11,7 +11,10 @@ def test_held_back_accuracy(spark):
     scored = C.score(docs, C.learn(docs, half)).join(labels.where("doc_id % 2 = 1"), "doc_id")
     rows = scored.select((C.F.col("kept")).alias("kept"), labels["quality"], labels["toxic"]).collect()
     right = [r["kept"] == (r["quality"] == 1 and r["toxic"] == 0) for r in rows]
-    assert len(rows) > 100 and np.mean(right) > 0.85
+    assert len(rows) > 1000 and np.mean(right) > 0.93
+    clean = [r["kept"] for r in rows if r["quality"] == 1 and r["toxic"] == 0]
+    toxic = [r["kept"] for r in rows if r["toxic"] == 1]
+    assert np.mean(clean) > 0.97 and np.mean(toxic) < 0.1
 
 
 def test_edge_rows(spark, edge_docs):
