@@ -39,9 +39,10 @@ WORD = byte_class(lambda b: b >= 128 or 48 <= b <= 57 or 97 <= b <= 122)
 
 @dataclass
 class Tests:
-    """Suffixes of a benchmark block: word hashes row by row, cut at the longest item."""
+    """Suffixes of the items of a benchmark block, as places in one array of word hashes."""
 
-    hashes: np.ndarray  # suffix x depth
+    hashes: np.ndarray  # of all words of all items
+    begin: np.ndarray  # first word of each suffix
     length: np.ndarray  # words of each suffix
     need: np.ndarray  # words that must match; longer than the suffix: none is enough
     item: np.ndarray  # index into ids
@@ -110,17 +111,13 @@ def _tests(block: list[tuple[str, str]], window: int) -> Tests:
         if b > a:
             alike.setdefault(hashes[a:b].tobytes(), []).append(k)
     ids = [sorted({block[k][0] for k in group}) for group in alike.values()]
-    rows, need, item = [], [], []
-    for k, sequence in enumerate(np.frombuffer(key, np.uint64) for key in alike):
-        for s in range(len(sequence)):
-            rows.append(sequence[s:])
-            item.append(k)
-            need.append(min(window, len(sequence)))
-    depth = max(map(len, rows), default=0)
-    table = np.zeros((len(rows), depth), np.uint64)
-    for row, suffix in zip(table, rows, strict=True):
-        row[: len(suffix)] = suffix
-    return Tests(table, np.array(list(map(len, rows)), np.int64), np.array(need, np.int64), np.array(item, np.int64), ids)
+    sequences = [np.frombuffer(key, np.uint64) for key in alike]
+    size = np.array([len(s) for s in sequences], np.int64)
+    item = np.repeat(np.arange(len(sequences)), size)
+    begin = np.arange(size.sum())
+    length = np.repeat(np.cumsum(size), size) - begin
+    flat = np.concatenate(sequences) if sequences else np.zeros(0, np.uint64)
+    return Tests(flat, begin, length, np.repeat(np.minimum(size, window), size), item, ids)
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
@@ -167,18 +164,19 @@ def _bisect(column, target, low, high, right: bool):
         high[open_] = np.where(below, high[open_], mid)
 
 
-def _longest(codes, order, tests, length, need):
+def _longest(codes, order, sought, begin, length, need):
     """Of each test suffix: longest match, and the suffix-array range of its first ``need`` words."""
     n, rows = len(codes), len(length)
     low, high = np.zeros(rows, np.int64), np.full(rows, n, np.int64)
     matched = np.zeros(rows, np.int64)
     window = np.zeros((2, rows), np.int64)
     alive = np.flatnonzero(length > 0)
-    for d in range(tests.shape[1]):
+    d = 0
+    while True:
         alive = alive[length[alive] > d]
         if not len(alive):
-            break
-        target = tests[alive, d]
+            return matched, window
+        target = sought[begin[alive] + d]
 
         def column(slot, d=d):
             at = order[slot] + d
@@ -191,7 +189,7 @@ def _longest(codes, order, tests, length, need):
         low[alive], high[alive], matched[alive] = left, right, d + 1
         whole = alive[need[alive] == d + 1]
         window[0, whole], window[1, whole] = low[whole], high[whole]
-    return matched, window
+        d += 1
 
 
 def _search(table: pa.Table, text: str, tests: Tests) -> pa.Table:
@@ -209,8 +207,8 @@ def _search(table: pa.Table, text: str, tests: Tests) -> pa.Table:
     else:
         present = np.zeros(tests.hashes.shape, bool)
     sought = np.where(present, sought + 1, -1)
-    order = suffix_array(codes, max(tests.hashes.shape[1], 1))
-    matched, (low, high) = _longest(codes, order, sought, tests.length, tests.need)
+    order = suffix_array(codes, int(tests.length.max(initial=1)))
+    matched, (low, high) = _longest(codes, order, sought, tests.begin, tests.length, tests.need)
 
     times = high - low
     suffix = np.repeat(np.arange(len(times)), times)
@@ -221,7 +219,7 @@ def _search(table: pa.Table, text: str, tests: Tests) -> pa.Table:
     growing = np.flatnonzero(matched[suffix] > extent)
     while len(growing):
         here = at[growing] + extent[growing]
-        same = (codes[here] == sought[suffix[growing], extent[growing]]) & (codes[here] > 0)
+        same = (codes[here] == sought[tests.begin[suffix[growing]] + extent[growing]]) & (codes[here] > 0)
         growing = growing[same]
         extent[growing] += 1
         growing = growing[extent[growing] < matched[suffix[growing]]]
