@@ -270,9 +270,38 @@ def extend_ungapped(
     The best-scoring stretch of each diagonal, positions 1-based and inclusive.
     Only the overlap of the two records on the diagonal is sent to Python.
     """
+    table = scoring.table()
+
+    @F.pandas_udf("score BIGINT, first INT, last INT")
+    def best_stretch(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_best_stretch(_gains(x, y, table)) for x, y in zip(a, b)], columns=["score", "first", "last"])
+
+    cut = _overlaps(found, queries, collection, id_column, text)
+    return _placed(cut.withColumn("hit", best_stretch("a", "b")))
+
+
+def ungapped_segments(
+    found: DataFrame, queries: DataFrame, collection: DataFrame, id_column: str, text: str, scoring: Scoring, least: int
+) -> DataFrame:
+    """The columns of :func:`extend_ungapped`, one row per stretch of at least ``least``.
+
+    After the best stretch of a diagonal, what lies before and behind it is searched again.
+    """
+    table = scoring.table()
+
+    @F.pandas_udf("array<struct<score:bigint,first:int,last:int>>")
+    def stretches(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_stretches(_gains(x, y, table), least) for x, y in zip(a, b)])
+
+    cut = _overlaps(found, queries, collection, id_column, text)
+    return _placed(cut.withColumn("hit", F.explode(stretches("a", "b"))))
+
+
+def _overlaps(found: DataFrame, queries: DataFrame, collection: DataFrame, id_column: str, text: str) -> DataFrame:
+    """Found diagonals with the parts ``a`` and ``b`` of both records that lie on them."""
     start = F.greatest(F.lit(0), -F.col("diagonal"))
     stop = F.least(F.length("q_seq"), F.length("d_seq") - F.col("diagonal"))
-    cut = _paired(found, queries, collection, id_column, text).select(
+    return _paired(found, queries, collection, id_column, text).select(
         "query_id",
         "db_id",
         "diagonal",
@@ -283,13 +312,9 @@ def extend_ungapped(
         F.substr("q_seq", start + 1, stop - start).alias("a"),
         F.substr("d_seq", start + F.col("diagonal") + 1, stop - start).alias("b"),
     )
-    table = scoring.table()
 
-    @F.pandas_udf("score BIGINT, first INT, last INT")
-    def best_stretch(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_best_stretch(x, y, table) for x, y in zip(a, b)], columns=["score", "first", "last"])
 
-    scored = cut.withColumn("hit", best_stretch("a", "b"))
+def _placed(scored: DataFrame) -> DataFrame:
     q_from = F.col("start") + F.col("hit.first") + 1
     q_to = F.col("start") + F.col("hit.last") + 1
     return scored.select(
@@ -307,10 +332,26 @@ def extend_ungapped(
     )
 
 
-def _best_stretch(a: str, b: str, table: np.ndarray) -> tuple[int, int, int]:
+def _gains(a: str, b: str, table: np.ndarray) -> np.ndarray:
+    return table[np.frombuffer(a.encode("latin-1"), np.uint8), np.frombuffer(b.encode("latin-1"), np.uint8)]
+
+
+def _stretches(gains: np.ndarray, least: int) -> list[dict[str, int]]:
+    """Best stretch, and those of what is left on both sides, down to a score of ``least``."""
+    out, open_ = [], [(0, len(gains))]
+    while open_:
+        a, b = open_.pop()
+        if b > a:
+            score, first, last = _best_stretch(gains[a:b])
+            if score >= least:
+                out.append({"score": score, "first": a + first, "last": a + last})
+                open_ += [(a, a + first), (a + last + 1, b)]
+    return out
+
+
+def _best_stretch(gains: np.ndarray) -> tuple[int, int, int]:
     """Score, first and last index of the best run; the earliest end, then the latest start, wins."""
-    x, y = np.frombuffer(a.encode("latin-1"), np.uint8), np.frombuffer(b.encode("latin-1"), np.uint8)
-    sums = np.concatenate([[0], np.cumsum(table[x, y])])
+    sums = np.concatenate([[0], np.cumsum(gains)])
     lowest = np.minimum.accumulate(sums)
     gains = sums[1:] - lowest[:-1]
     last = int(gains.argmax())
@@ -406,11 +447,16 @@ def screen_strength(score: Column, q_from: Column, q_to: Column, q_len: Column)
 
 
 def screen(
-    records: DataFrame, contaminants: DataFrame, id_column: str, text: str, *, size: int, min_seeds: int = 2
+    records: DataFrame, contaminants: DataFrame, id_column: str, text: str, *, size: int = 11, min_seeds: int = 1
 ) -> DataFrame:
-    """(record_id, contaminant_id, q_from, q_to, score, strength): screened segments."""
+    """(record_id, contaminant_id, q_from, q_to, score, strength): all screened segments.
+
+    The weakest match scores 16; with at most one other letter in it, it holds a run of 11,
+    which the default seeds find.  Smaller words also find weak matches with more.
+    """
     found = seeds(contaminants, records, id_column, text, size=size, min_seeds=min_seeds)
-    flat = extend_ungapped(found, contaminants, records, id_column, text, SCREEN_SCORING)
+    weakest = min(min(pair) for pair in SCREEN_STRENGTHS.values())
+    flat = ungapped_segments(found, contaminants, records, id_column, text, SCREEN_SCORING, weakest)
     strength = screen_strength(F.col("score"), F.col("d_from"), F.col("d_to"), F.col("d_len"))
     return flat.select(
         F.col("db_id").alias("record_id"),

@@ -802,18 +802,22 @@ def broadcast_dim_join(spark, sf):
 
 # Similarity search -------------------------------------------------------------
 
-_SEEDS_SQL = f"""
+def _seeds_sql(word: int, least: int) -> str:
+    return f"""
 q AS (SELECT item_id AS query_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS s FROM benchmark),
 d AS (SELECT doc_id AS db_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS s FROM documents),
-qw AS (SELECT query_id, i, substr(s, i, {WORD}) AS word
-       FROM (SELECT query_id, s, unnest(generate_series(1, length(s) - {WORD} + 1)) AS i FROM q)),
-dw AS (SELECT db_id, i, substr(s, i, {WORD}) AS word
-       FROM (SELECT db_id, s, unnest(generate_series(1, length(s) - {WORD} + 1)) AS i FROM d)),
+qw AS (SELECT query_id, i, substr(s, i, {word}) AS word
+       FROM (SELECT query_id, s, unnest(generate_series(1, length(s) - {word} + 1)) AS i FROM q)),
+dw AS (SELECT db_id, i, substr(s, i, {word}) AS word
+       FROM (SELECT db_id, s, unnest(generate_series(1, length(s) - {word} + 1)) AS i FROM d)),
 seeds AS (SELECT query_id, db_id, CAST(dw.i - qw.i AS BIGINT) AS diagonal, count(*) AS seeds
-          FROM dw JOIN qw USING (word) GROUP BY ALL HAVING count(*) >= 2)
+          FROM dw JOIN qw USING (word) GROUP BY ALL HAVING count(*) >= {least})
 """
 
 
+_SEEDS_SQL = _seeds_sql(WORD, 2)
+
+
 def _ungapped_sql(query_table: str, record_table: str, match: int, mismatch: int) -> str:
     """Best stretch per diagonal: running sum minus lowest earlier sum."""
     return f"""
@@ -909,9 +913,42 @@ def _segments(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.search(queries, documents, "id", "text", size=WORD, scoring=SEARCH_SCORING)
 
 
+SCREEN_WORD = 11
+
+
+# Each step finds the best stretch of every open region and opens what lies on both sides of it.
 @query(f"""
-WITH {_SEEDS_SQL}, {_ungapped_sql("q", "d", 1, -5)},
-placed AS (SELECT db_id, query_id, q_from + diagonal AS a, q_to + diagonal AS b, d_len, score FROM hits),
+WITH RECURSIVE {_seeds_sql(SCREEN_WORD, 1)},
+gain AS MATERIALIZED (SELECT query_id, db_id, diagonal, i, length(qs) AS q_len, length(ds) AS d_len,
+    CASE WHEN substr(qs, i, 1) = substr(ds, i + diagonal, 1) THEN 1 ELSE -5 END AS g
+  FROM (SELECT query_id, db_id, diagonal, q.s AS qs, d.s AS ds,
+      unnest(generate_series(greatest(1, 1 - diagonal), least(length(q.s), length(d.s) - diagonal))) AS i
+    FROM seeds JOIN q USING (query_id) JOIN d USING (db_id))),
+region(query_id, db_id, diagonal, lo, hi, score, a, b) AS (
+  SELECT query_id, db_id, diagonal, min(i), max(i), CAST(0 AS HUGEINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM gain GROUP BY ALL
+  UNION ALL
+  SELECT query_id, db_id, diagonal, CASE side WHEN 0 THEN lo ELSE b + 1 END, CASE side WHEN 0 THEN a - 1 ELSE hi END, score, a, b
+  FROM (
+    SELECT query_id, db_id, diagonal, lo, hi, score, b, list_max(list_filter(starts, lambda x: x <= b)) AS a
+    FROM (
+      SELECT *, list(i) FILTER (before = low) OVER (PARTITION BY query_id, db_id, diagonal, lo, low) AS starts, i AS b
+      FROM (
+        SELECT *, min(before) OVER (PARTITION BY query_id, db_id, diagonal, lo ORDER BY i) AS low,
+          upto - min(before) OVER (PARTITION BY query_id, db_id, diagonal, lo ORDER BY i) AS score
+        FROM (
+          SELECT query_id, db_id, diagonal, lo, hi, i, sum(g) OVER w AS upto, sum(g) OVER w - g AS before
+          FROM (SELECT query_id, db_id, diagonal, lo, hi FROM region WHERE lo <= hi) JOIN gain USING (query_id, db_id, diagonal)
+          WHERE i BETWEEN lo AND hi
+          WINDOW w AS (PARTITION BY query_id, db_id, diagonal, lo ORDER BY i)
+        )
+      )
+    )
+    QUALIFY row_number() OVER (PARTITION BY query_id, db_id, diagonal, lo ORDER BY score DESC, i) = 1
+  ), (VALUES (0), (1)) AS t(side)
+  WHERE score >= 16
+),
+placed AS (SELECT DISTINCT db_id, query_id, a + diagonal AS a, b + diagonal AS b, length(d.s) AS d_len, CAST(score AS BIGINT) AS score
+  FROM region JOIN d USING (db_id) WHERE score >= 16),
 ends AS (SELECT *, (a <= 25 OR b > d_len - 25) AS at_end FROM placed),
 graded AS (SELECT *, CASE WHEN score >= CASE WHEN at_end THEN 24 ELSE 30 END THEN 'strong'
   WHEN score >= CASE WHEN at_end THEN 19 ELSE 25 END THEN 'moderate'
@@ -920,9 +957,9 @@ SELECT db_id AS record_id, query_id AS contaminant_id, CAST(a AS BIGINT) AS q_fr
 FROM graded WHERE strength IS NOT NULL
 """)
 def screen_segments(spark, sf):
-    """Documents screened for passages of the benchmark."""
+    """Documents screened for passages of the benchmark: every segment of every seeded diagonal."""
     queries, documents = _sides(spark, sf)
-    found = similarity.screen(documents, queries, "id", "text", size=WORD)
+    found = similarity.screen(documents, queries, "id", "text", size=SCREEN_WORD)
     return found.withColumns({c: F.col(c).cast("long") for c in ("q_from", "q_to")})
 
 
