@@ -9,7 +9,8 @@ independent MinHash), and a document stops as soon as no later step can lower a
 2. Bands of the signature put classes in buckets; each class is compared with the
    smallest id of each of its buckets, on whole shingle sets.
 3. Links found so far give components.  A bucket that holds one component has nothing
-   left to say; in the others, members of different components are compared as well.
+   left to say.  In the others the likeliest pairs of different components are compared first,
+   and a pair that has meanwhile been joined is left out; only links leave the task.
 4. Components over all links give the groups.
 
 A true link is lost only when no band agrees or the signatures look far less alike than
@@ -49,8 +50,11 @@ _STEP = _U64(0x9E3779B97F4A7C15)
 _ELEMENTS = 1 << 16
 #: Shingles compared with one centre in one task.
 _CENTRE_WORK = 1 << 22
-#: Members of a bucket compared in one block.
+#: Ids that are replicated, of eight bytes each.
+_REPLICATED_IDS = 1 << 22
+#: Members of a bucket, and their shingles, in one block.
 _BLOCK = 1024
+_BLOCK_WORK = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -59,7 +63,7 @@ class Banding:
 
     At the threshold 0.8 a pair misses all 40 bands of 6 with probability
     (1 - 0.8^6)^40 = 5e-6.  ``floor`` is the share of equal 4-bit slots below which a pair
-    is not verified: about 5.5 standard deviations under what 0.8 gives.
+    is not verified: 4.5 standard deviations under what 0.8 gives, of independent slots.
     """
 
     bands: int = 40
@@ -74,7 +78,7 @@ class Banding:
     @property
     def floor(self) -> float:
         share = self.threshold / 100 + (1 - self.threshold / 100) / 16
-        return share - 5.5 * (share * (1 - share) / self.slots) ** 0.5
+        return share - 4.5 * (share * (1 - share) / self.slots) ** 0.5
 
 
 def signatures(elements: np.ndarray, first: np.ndarray, slots: int) -> np.ndarray:
@@ -194,19 +198,16 @@ def groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bandi
     members = members.select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "slots")
 
     banded = members.select("rep", F.posexplode("bands").alias("band", "hash"))
-    banded = banded.select("rep", F.xxhash64("band", "hash").alias("bucket"))
+    banded = banded.select("rep", "band", F.xxhash64("band", "hash").alias("bucket"))
     centres = banded.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last"))
     shared = banded.join(centres.where("centre < last").select("bucket", "centre"), "bucket")
     shared = materialize(shared, "buckets")
     pairs = shared.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     links = materialize(_verified(_plausible(pairs, members, banding), texts, banding), "links")
 
-    linked = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    labels = single_linkage(linked, links)
-    wider = materialize(_verified(_across(shared, labels, members, banding), texts, banding), "links")
-    every = links.unionByName(wider)
-    linked = every.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    labels = single_linkage(linked, every)
+    labels = _components(links)
+    wider = materialize(_across(shared, labels, members, texts, banding), "links")
+    labels = _components(links.unionByName(wider))
 
     found = classes.join(labels.toDF("rep", "cluster"), "rep", "left")
     found = found.select(*sets, F.coalesce("cluster", "rep").alias("component_id"))
@@ -220,13 +221,18 @@ def groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bandi
 def representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", banding: Banding) -> DataFrame:
     """One document of each near-duplicate group, with all its columns.
 
-    Repeated rows of one id and text stay one row; rows without an id all stay.
+    Rows that repeat an id stay one row; rows without an id all stay.
     """
     kept = groups(docs, doc_id=doc_id, text=text, banding=banding).where("kept").select(F.col(doc_id)).distinct()
     unnamed = docs.where(F.col(doc_id).isNull())
     return docs.join(kept, doc_id, "left_semi").dropDuplicates([doc_id]).select(*docs.columns).unionByName(unnamed)
 
 
+def _components(links: DataFrame) -> DataFrame:
+    linked = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return single_linkage(linked, links)
+
+
 def _plausible(pairs: DataFrame, members: DataFrame, banding: Banding) -> DataFrame:
     """Pairs whose signatures and sizes leave the threshold possible."""
     ends = members.select("rep", "n_shingles", "slots")
@@ -256,6 +262,13 @@ def _equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.count_nonzero(differ & 240 == 0, axis=-1) + np.count_nonzero(differ & 15 == 0, axis=-1)
 
 
+def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts of the ids, picked where they are read unless there are very many ids."""
+    ids = materialize(ids.distinct(), "needed")
+    few = ids.count() <= _REPLICATED_IDS
+    return texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, banding: Banding) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets reach the threshold.
 
@@ -266,6 +279,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, banding: Banding) -> DataFrame
     load = pairs.groupBy("a").agg((F.sum("n_b") / _CENTRE_WORK).cast("int").alias("extra"))
     dealt = pairs.join(load, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("extra") + 1).alias("part"))
     centres = dealt.select("a", "part").distinct()
+    texts = _only(texts, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     text_of = lambda name: texts.toDF(name, "text")
     rows = centres.join(text_of("a"), "a").select("a", "part", F.lit(None).cast(pairs.schema["b"].dataType).alias("b"), "text")
     rows = rows.unionByName(dealt.join(text_of("b"), "b").select("a", "part", "b", "text"))
@@ -283,67 +297,108 @@ def _verified(pairs: DataFrame, texts: DataFrame, banding: Banding) -> DataFrame
                 if b[k] is None:
                     centre, centre_set = a[k], own.copy()
                 elif centre == a[k] and len(own):
-                    at = np.searchsorted(centre_set, own)
-                    common = int((centre_set[np.minimum(at, len(centre_set) - 1)] == own).sum())
-                    keep[k] = 100 * common >= banding.threshold * (len(own) + len(centre_set) - common)
+                    keep[k] = _alike(centre_set, own, banding.threshold)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     kind = pairs.schema["a"].dataType.simpleString()
     return rows.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _across(shared: DataFrame, labels: DataFrame, members: DataFrame, banding: Banding) -> DataFrame:
-    """Plausible pairs of one bucket and different components, large buckets cut into blocks."""
+def _across(shared: DataFrame, labels: DataFrame, members: DataFrame, texts: DataFrame, banding: Banding) -> DataFrame:
+    """Links (a, b) between members of one bucket and different components.
+
+    A pair is compared in the first band that it shares only.  Large buckets are cut into
+    blocks, and every two blocks meet in one task.
+    """
     named = shared.join(labels.toDF("rep", "label"), "rep", "left")
-    named = named.select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
-    open_ = named.groupBy("bucket").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")
+    named = named.select("bucket", "band", "rep", F.coalesce("label", "rep").alias("label"))
+    named = named.join(members.select("rep", "n_shingles"), "rep")
+    mixed_ = named.groupBy("bucket").agg(
+        F.min("label").alias("low"),
+        F.max("label").alias("high"),
+        F.greatest(F.count("*") / _BLOCK, F.sum("n_shingles") / _BLOCK_WORK).cast("int").alias("cuts"),
     )
-    # The members of the smallest component were compared with the centre only if it is theirs,
-    # so every bucket with two components is looked at again.
-    open_ = open_.where("low < high").select("bucket", (F.col("size") / _BLOCK).cast("int").alias("cuts"))
-    rows = named.join(open_, "bucket").join(members.select("rep", "n_shingles", "slots"), "rep")
-    own = F.pmod(F.xxhash64("rep"), F.col("cuts") + 1).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts"))))
+    rows = named.join(mixed_.where("low < high").select("bucket", "cuts"), "bucket")
+    rows = materialize(rows, "open")
+    needed = rows.select("rep").distinct()
+    whole = members.join(needed, "rep", "left_semi").select("rep", "slots", "bands")
+    whole = whole.join(_only(texts, needed.toDF("doc_id")).toDF("rep", "text"), "rep")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("cuts") + 1).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts"))))
+    tile = ["bucket", "low", "high"]
     rows = rows.select(
         "bucket",
         F.least("own", "other").alias("low"),
         F.greatest("own", "other").alias("high"),
         "own",
+        "band",
         "rep",
         "label",
         "n_shingles",
-        "slots",
-    )
-    rows = rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    ).join(whole, "rep")
+    rows = rows.repartition(*tile).sortWithinPartitions(*tile)
+    prepare(texts.sparkSession)
     kind = shared.schema["rep"].dataType.simpleString()
-    floor, low = banding.floor * banding.slots, banding.threshold
-
-    def pairs_of(block: pa.Table) -> pa.Table:
-        slots = _slots(block.column("slots").combine_chunks())
-        rep, size = np.asarray(block.column("rep")), np.asarray(block.column("n_shingles"))
-        label, own = np.asarray(block.column("label")), np.asarray(block.column("own"))
-        same_block = block.column("low")[0].as_py() == block.column("high")[0].as_py()
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for k in range(len(rep)):
-            other = (label != label[k]) & (rep > rep[k])
-            if not same_block:
-                other &= own != own[k]
-            other &= (100 * size >= low * size[k]) & (100 * size[k] >= low * size)
-            at = np.flatnonzero(other)
-            if len(at):
-                at = at[_equal(slots[at], slots[k]) >= floor]
-                found.append((np.full(len(at), k), at))
-        a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
-        b = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(rep[a]), "b": pa.array(rep[b]), "n_a": pa.array(size[a]), "n_b": pa.array(size[b])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _runs(batches, ["bucket", "low", "high"]):
-            yield from pairs_of(block).to_batches()
-
-    found = rows.mapInArrow(run, f"a {kind}, b {kind}, n_a bigint, n_b bigint")
-    return found.distinct()
+        for block in _runs(batches, tile):
+            a, b = _block_links(block, banding)
+            yield pa.record_batch({"a": pa.array(a, block.schema.field("rep").type), "b": pa.array(b, block.schema.field("rep").type)})
+
+    return rows.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
+def _block_links(block: pa.Table, banding: Banding) -> tuple[list, list]:
+    """Links that join the components of a block, the likeliest pairs compared first."""
+    slots, reps = _slots(block.column("slots").combine_chunks()), block.column("rep").to_pylist()
+    names, label = np.unique(np.asarray(block.column("label").combine_chunks()), return_inverse=True)
+    size, own = np.asarray(block.column("n_shingles")), np.asarray(block.column("own"))
+    lists = block.column("bands").combine_chunks()
+    bands = np.asarray(lists.flatten()).reshape(len(reps), -1)
+    band = block.column("band")[0].as_py()
+    one_block = block.column("low")[0].as_py() == block.column("high")[0].as_py()
+    floor, low = banding.floor * banding.slots, banding.threshold
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for k in range(len(reps)):
+        other = label[k + 1 :] != label[k]
+        if not one_block:
+            other &= own[k + 1 :] != own[k]
+        other &= (100 * size[k + 1 :] >= low * size[k]) & (100 * size[k] >= low * size[k + 1 :])
+        at = np.flatnonzero(other) + k + 1
+        if len(at):
+            equal = _equal(slots[at], slots[k])
+            keep = (equal >= floor) & ((bands[at] == bands[k]).argmax(axis=1) == band)
+            found.append((np.full(keep.sum(), k), at[keep], equal[keep]))
+    parent = np.arange(len(names))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    a_out, b_out = [], []
+    if not any(len(a) for a, _, _ in found):
+        return a_out, b_out
+    elements, first = shingle_sets(block.column("text"), banding.shingle)
+    a, b, equal = map(np.concatenate, zip(*found, strict=True))
+    for k in np.argsort(-equal, kind="stable"):
+        i, j = int(a[k]), int(b[k])
+        x, y = root(label[i]), root(label[j])
+        if x != y:
+            left, right = elements[first[i] : first[i + 1]], elements[first[j] : first[j + 1]]
+            if _alike(left, right, low):
+                parent[x] = y
+                a_out.append(min(reps[i], reps[j]))
+                b_out.append(max(reps[i], reps[j]))
+    return a_out, b_out
+
+
+def _alike(left: np.ndarray, right: np.ndarray, threshold: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    at = np.searchsorted(left, right)
+    common = int((left[np.minimum(at, len(left) - 1)] == right).sum())
+    return 100 * common >= threshold * (len(left) + len(right) - common)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
