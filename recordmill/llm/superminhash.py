@@ -47,7 +47,7 @@ WORD = byte_class(lambda b: b != 32 and not 9 <= b <= 13)
 _U64 = np.uint64
 _STEP = _U64(0x9E3779B97F4A7C15)
 #: Elements handled together; each needs one byte per signature slot.
-_ELEMENTS = 1 << 16
+_ELEMENTS = 1 << 15
 #: Shingles compared with one centre in one task.
 _CENTRE_WORK = 1 << 22
 #: Ids that are replicated, of eight bytes each.

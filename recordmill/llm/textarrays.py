@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-WINDOW = 4 << 20
+WINDOW = 2 << 20
 #: Rows of an Arrow batch: whole texts travel in them, so batches are kept short.
 BATCH_ROWS = 512
 
