@@ -22,7 +22,7 @@ ROUNDS = 50
 TOLERANCE = 1e-3
 THRESHOLD = 0.5
 
-_HREF = r"""(?i)href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
+HREF = r"""(?i)href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -71,7 +71,7 @@ def judge(
         F.col(page_id).alias("page_id"),
         host_of(F.col(url)).alias("host"),
         path_of(F.col(url)).alias("path"),
-        F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(_HREF), F.lit(1)).alias("links"),
+        F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(HREF), F.lit(1)).alias("links"),
     )
     links = read.where("host <> ''").select("host", F.explode("links").alias("link"))
     target = host_of(F.when(F.col("link").startswith("//"), F.concat(F.lit(":"), "link")).otherwise(F.col("link")))

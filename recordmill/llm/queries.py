@@ -157,7 +157,57 @@ URL_RULES = [
 ]
 
 
-@query()
+_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+_HOST = "translate(regexp_extract({}, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LINKS = "regexp_extract_all(coalesce(html, ''), '{}', 1)".format(linkgraph.HREF.replace("'", "''"))
+
+
+# Fifty rounds without the early stop; the ranks of hosts without links do not change.
+@query(rf"""
+WITH RECURSIVE p AS (
+  SELECT row_number() OVER () AS row, page_id, html, coalesce({_HOST.format("url")}, '') AS host,
+    coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+),
+rules(h, prefix, verdict) AS (VALUES {_RULES}),
+best AS (
+  SELECT row, h || prefix AS rule, verdict AS ruling FROM p JOIN rules
+    ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, prefix)
+  QUALIFY row_number() OVER (PARTITION BY row ORDER BY length(h) + length(prefix) DESC, verdict DESC) = 1
+),
+judged AS (SELECT p.*, rule, ruling FROM p LEFT JOIN best USING (row)),
+link AS (
+  SELECT host AS source, target, count(*) AS n FROM (
+    SELECT host, {_HOST.format("CASE WHEN starts_with(l, '//') THEN ':' || l ELSE l END")} AS target
+    FROM p, unnest({_LINKS}) AS t(l) WHERE host <> ''
+  ) WHERE target <> '' AND target <> host GROUP BY ALL
+),
+edge AS (
+  SELECT 'allow' AS kind, source, target, n / sum(n) OVER (PARTITION BY source) AS share FROM link
+  UNION ALL SELECT 'block', target, source, n / sum(n) OVER (PARTITION BY target) FROM link
+),
+host AS (SELECT host FROM judged WHERE host <> '' UNION SELECT target FROM link),
+seed AS (
+  SELECT kind, host.host, CAST(count(judged.row) AS DOUBLE) AS seed
+  FROM host CROSS JOIN (VALUES ('allow'), ('block')) AS k(kind)
+  LEFT JOIN judged ON judged.host = host.host AND ruling = kind GROUP BY ALL
+),
+rank(k, kind, host, rank) AS (
+  SELECT 0, kind, host, seed FROM seed
+  UNION ALL
+  SELECT r.k + 1, r.kind, r.host, s.seed + {linkgraph.DAMPING} * coalesce(m.moved, 0)
+  FROM rank r JOIN seed s ON s.kind = r.kind AND s.host = r.host LEFT JOIN (
+    SELECT rank.kind, target, sum(rank * share) AS moved FROM rank JOIN edge ON edge.kind = rank.kind AND source = host GROUP BY ALL
+  ) m ON m.kind = r.kind AND m.target = r.host
+  WHERE r.k < {linkgraph.ROUNDS}
+),
+share AS (
+  SELECT host, sum(rank) FILTER (kind = 'allow') / any_value(pages) AS trust, sum(rank) FILTER (kind = 'block') / any_value(pages) AS distrust
+  FROM rank JOIN (SELECT host, count(*) AS pages FROM judged GROUP BY host) USING (host) WHERE k = {linkgraph.ROUNDS} GROUP BY host
+)
+SELECT page_id, host, path, rule,
+  coalesce(ruling, CASE WHEN distrust - trust > {linkgraph.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict, trust, distrust
+FROM judged LEFT JOIN share USING (host)
+""")
 def op8_link_graph_verdicts(spark, sf):
     """Verdict on every page's url, by rules and by ranks in the link graph of hosts."""
     return linkgraph.judge(table(spark, sf, "pages"), URL_RULES)

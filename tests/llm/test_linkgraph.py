@@ -25,7 +25,7 @@ def brute(pages, rules, rounds=L.ROUNDS, damping=L.DAMPING):
     for (_, host, _, _), (_, _, html) in zip(judged, pages, strict=True):
         if host:
             hosts[host] = hosts.get(host, 0) + 1
-            for link in re.findall(L._HREF, html or ""):
+            for link in re.findall(L.HREF, html or ""):
                 target = split(":" + link if link.startswith("//") else link)[0]
                 if target and target != host:
                     links[host, target] = links.get((host, target), 0) + 1
