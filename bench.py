@@ -37,6 +37,10 @@ HEADLINE = [
     "kmer_seed_join",
     "ungapped_hits",
     "search_hits",
+    "screen_segments",
+    "profile_search",
+    "chunk_files",
+    "report_merge",
     "single_linkage",
 ]
 
