@@ -9,7 +9,6 @@ know.  A candidate holds a digit or an at sign, so text without one needs no dec
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 
@@ -17,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import DataType, StructField, StructType
 
 from recordmill.llm.textarrays import map_tables, prepare
 
@@ -293,7 +292,8 @@ def find(text: str, weights: np.ndarray) -> tuple[list[Span], list[Span]]:
             a, b = a + begin, b + begin
             while k < len(taken) and taken[k][1] <= a:
                 k += 1
-            if all(y <= a or b <= x for x, y in taken[max(k - 8, 0) : k + 8]) and (not more or more[-1][2] <= a):
+            free = k == len(taken) or b <= taken[k][0]
+            if free and (not more or more[-1][2] <= a):
                 more.append((kind, a, b))
     return base, more
 
@@ -330,18 +330,11 @@ def annotate(docs: DataFrame, weights: np.ndarray, *, text: str = "text") -> Dat
         table = table.append_column("__base", pa.array([rows(b) for b, _ in found], kind))
         return table.append_column("__spans", pa.array([rows(b + m) for b, m in found], kind))
 
-    spans = "array<struct<kind:int,start:bigint,end:bigint>>"
-    schema = StructType([StructField(f.name, f.dataType) for f in docs.schema]).add("__base", _type(spans)).add("__spans", _type(spans))
+    spans = DataType.fromDDL("array<struct<kind:int,start:bigint,end:bigint>>")
+    schema = StructType([StructField(f.name, f.dataType) for f in docs.schema]).add("__base", spans).add("__spans", spans)
     return map_tables(docs, work, schema, text)
 
 
-@functools.cache
-def _type(ddl: str):
-    from pyspark.sql.types import DataType
-
-    return DataType.fromDDL(ddl)
-
-
 def redact(text: str, spans: list[Span]) -> str:
     """The text with each stretch of overlapping spans replaced by the kind of the first of them."""
     out, last = [], 0
