@@ -20,7 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from recordmill.llm.textarrays import byte_class, lower_ascii, map_tables, span_hashes, split_words, text_bytes
+from recordmill.llm.samples import smallest_hashes
+from recordmill.llm.textarrays import (
+    byte_class,
+    lower_ascii,
+    map_tables,
+    span_hashes,
+    split_words,
+    text_bytes,
+)
 
 #: Rows that classifiers are fitted on.
 LABELLED = 8000
@@ -202,9 +210,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, pool:
     """Models by target from at most ``labelled`` labelled and ``pool`` other documents, the smallest hashes first."""
     named = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*[F.max(t).alias(t) for t in TARGETS])
     known = named.where(" AND ".join(f"{t} IS NOT NULL" for t in TARGETS))
-    hashed = lambda df: df.withColumn("hash", F.xxhash64("doc_id")).orderBy("hash", "doc_id")
-    chosen = hashed(known).limit(labelled).drop("hash")
-    others = hashed(docs.select("doc_id").where("doc_id IS NOT NULL").join(known, "doc_id", "left_anti")).limit(pool)
+    chosen = smallest_hashes(known, labelled, "doc_id")
+    unknown = docs.select("doc_id").where("doc_id IS NOT NULL").join(known, "doc_id", "left_anti")
+    others = smallest_hashes(unknown, pool, "doc_id")
     none = [F.lit(-1).alias(t) for t in TARGETS]
     ids = chosen.select("doc_id", *TARGETS).unionByName(others.select("doc_id", *none))
     rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "source", "lang", "n_chars", *TARGETS)

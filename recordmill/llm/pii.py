@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
+from recordmill.llm.samples import smallest_hashes
 from recordmill.llm.textarrays import map_tables, prepare
 
 KINDS = ("email", "ip", "card", "phone")
@@ -299,7 +300,7 @@ def find(text: str, weights: np.ndarray) -> tuple[list[Span], list[Span]]:
 
 
 def learn(docs: DataFrame, *, text: str = "text", sample: int = SAMPLE) -> np.ndarray:
-    """Weights from the ``sample`` stretches with the smallest hashes among all stretches of all documents."""
+    """Weights from the ``sample`` different stretches with the smallest hashes among all of all documents."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,8 +312,7 @@ def learn(docs: DataFrame, *, text: str = "text", sample: int = SAMPLE) -> np.nd
             yield pa.record_batch({"part": pa.array(found, pa.string())})
 
     parts = docs.select(F.col(text).alias("text")).mapInArrow(run, "part string")
-    parts = parts.select("part", F.xxhash64("part").alias("hash")).orderBy("hash", "part").limit(sample)
-    return train([r["part"] for r in parts.collect()])
+    return train([r["part"] for r in smallest_hashes(parts, sample, "part").collect()])
 
 
 def annotate(docs: DataFrame, weights: np.ndarray, *, text: str = "text") -> DataFrame:
