@@ -28,7 +28,7 @@ from recordmill.llm.textarrays import (
 )
 
 #: Bytes of text in a shard (a longer document is a shard of its own).
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Bytes of benchmark text replicated at once.
 BLOCK_BYTES = 16 << 20
 WINDOW_WORDS = 10

@@ -25,8 +25,9 @@ DIMENSIONS = 1024
 #: Letters of an n-gram; a gap between words counts as a letter.
 GRAM = 3
 UNKNOWN = "und"
-#: Texts bundled in one product.
+#: Texts bundled in one product, and n-grams in one part of it.
 _ROWS = 64
+_GRAMS = 2048
 
 
 @functools.cache
@@ -93,8 +94,9 @@ def learn(rows: DataFrame, *, text: str = "text", lang: str = "lang", dimensions
             weight = 1.0 / np.bincount(owner, minlength=table.num_rows).clip(1)
             cell = which[owner] * len(unique) + at
             count = np.bincount(cell, weight[owner], len(known) * len(unique)).reshape(len(known), -1)
-            for a in range(0, len(unique), 8192):
-                part = count[:, a : a + 8192] @ gram_vectors(unique[a : a + 8192], alphabet, dimensions).astype(np.float64)
+            for a in range(0, len(unique), _GRAMS):
+                vectors = gram_vectors(unique[a : a + _GRAMS], alphabet, dimensions).astype(np.float64)
+                part = count[:, a : a + _GRAMS] @ vectors
                 for name, vector in zip(known.tolist(), part, strict=True):
                     sums[name] = sums.get(name, 0.0) + vector
         if sums:
@@ -141,9 +143,9 @@ def judge(texts: list[str | None], names: list[str], matrix: np.ndarray) -> tupl
         owner, gram, alphabet = grams(block)
         unique, at = np.unique(gram, return_inverse=True)
         bundle = np.zeros((len(block), matrix.shape[1]), np.float32)
-        for b in range(0, len(unique), 8192):
-            inside = (at >= b) & (at < b + 8192)
-            size = min(8192, len(unique) - b)
+        for b in range(0, len(unique), _GRAMS):
+            inside = (at >= b) & (at < b + _GRAMS)
+            size = min(_GRAMS, len(unique) - b)
             cell = owner[inside] * size + (at[inside] - b)
             count = np.bincount(cell, minlength=len(block) * size).astype(np.float32).reshape(len(block), size)
             bundle += count @ gram_vectors(unique[b : b + size], alphabet, matrix.shape[1]).astype(np.float32)

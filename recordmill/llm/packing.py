@@ -28,7 +28,7 @@ from recordmill.session import materialize
 #: Pieces of a shard: one index in the memory of one task.
 SHARD_PIECES = 1024
 #: Distinct text units whose tokens a worker remembers.
-_REMEMBERED = 1_000_000
+_REMEMBERED = 500_000
 K1, B = 1.2, 0.75
 #: The special token of the vocabulary; its string in a text is that token.
 SPECIAL = "<|endoftext|>"
@@ -185,7 +185,7 @@ def _cut(rows: DataFrame, kind: str, tokenizer: str, end: int, window: int) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer, end)
         seen, id_type = np.zeros(1, np.int64), pa.null()
-        for table in gathered(batches, "text", WINDOW):
+        for table in gathered(batches, "text", 2 * WINDOW):
             id_type = table.schema.field("doc_id").type
             ids, first = coder.encode(table.column("text"))
             owner = np.repeat(np.arange(table.num_rows, dtype=np.int64), np.diff(first))

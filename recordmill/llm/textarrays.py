@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-WINDOW = 2 << 20
+WINDOW = 1 << 20
 #: Rows of an Arrow batch: whole texts travel in them, so batches are kept short.
 BATCH_ROWS = 512
 
@@ -39,6 +39,7 @@ def map_tables(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in gathered(batches, text, limit):
             yield from work(table).to_batches(max_chunksize=4096)
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     return df.mapInArrow(run, schema)
 
