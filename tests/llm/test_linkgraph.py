@@ -82,3 +82,14 @@ def test_equals_brute_force(spark):
     verdicts = {r["page_id"]: r["verdict"] for r in got}
     assert verdicts[5] == verdicts[6] == "block" and verdicts[2] == verdicts[11] == verdicts[13] == "allow"
     assert L.judge(frame.limit(0), RULES).count() == 0
+
+
+def test_a_large_corpus_stops_no_sooner(spark):
+    # Two hops before a blocked page, beside blocked pages that have no links.
+    hops = [(1, "http://far.org/", "<a href='http://near.org/'>"), (2, "http://near.org/", "<a href='http://spam.net/es/'>")]
+    hops.append((3, "http://spam.net/es/", None))
+    for mass in (0, 3000):
+        pages = hops + [(100 + k, "http://mass.net/es/", None) for k in range(mass)]
+        got = L.judge(spark.createDataFrame(pages, "page_id bigint, url string, html string"), RULES)
+        far = got.where("page_id = 1").first()
+        assert far["verdict"] == "block" and abs(far["distrust"] - L.DAMPING**2) < 1e-9
