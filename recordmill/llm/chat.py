@@ -1,10 +1,11 @@
 """Chat formatting checked by a grammar round trip.
 
 A turn is rendered as ``<|im_start|>role``, a line break, the text, ``<|im_end|>`` and a line
-break.  Every rendered turn is parsed again by the deterministic parser below; where what
-comes back is not the source, the content that conflicts with the grammar is escaped and the
-turn is rendered anew.  The formatted conversation is one row per turn, so no conversation
-has to fit in memory, however long it is.
+break.  Every rendered turn is parsed again by the deterministic parser below, whose grammar
+has no ``<|`` in a text and neither ``<`` nor a bare per cent sign in a role; where what comes
+back is not the source, the content that conflicts with the grammar is escaped and the turn
+is rendered anew.  So no control string is left inside a turn.  The formatted conversation is
+one row per turn, so no conversation has to fit in memory, however long it is.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ LEARNED = "assistant"
 
 _OPEN = re.compile(r"<(\\*)\|")
 _CLOSED = re.compile(r"<\\(\\*)\|")
+_NOT_IN_ROLE = re.compile(r"<|%(?!25|0A|3C)")
 
 
 def escape(text: str) -> str:
@@ -63,6 +65,8 @@ class Parser:
             role, line, body = self.held[len(START) : end].partition("\n")
             if not line or self.held[end + len(END)] != "\n":
                 raise ValueError("a turn needs its line breaks")
+            if "<|" in body or _NOT_IN_ROLE.search(role):
+                raise ValueError("a role or text holds what must be escaped")
             self.held = self.held[end + len(END) + 1 :]
             yield unescape_role(role), unescape(body)
 
