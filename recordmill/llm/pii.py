@@ -30,8 +30,8 @@ MAX_TOKENS = 16
 SAMPLE = 1500
 #: Characters kept on both sides of a trigger.
 MARGIN = 24
-#: Characters of a stretch before a new one begins.
-LONG = 4096
+#: Tokens whose segments are scored at once.
+BLOCK = 1024
 #: A span is added if it is better than leaving it out by this much (log odds).
 MARGIN_SCORE = 2.0
 
@@ -43,6 +43,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _TRIGGER = re.compile(r"[0-9@]|[\[(]at[\])]")
 _TOKEN = re.compile(r"[^\W_]+|\s+|[\W_]")
+#: What addresses, names and numbers are made of; no stretch ends inside a run of these.
+_RUN = re.compile(r"[\w.%+-]+")
 
 
 def luhn(digits: str) -> bool:
@@ -86,17 +88,25 @@ def base_spans(text: str) -> list[Span]:
 
 
 def stretches(text: str) -> Iterator[tuple[int, int]]:
-    """Bounds of the parts of a text around triggers, disjoint and at most about ``LONG``."""
+    """Bounds of the parts of a text around triggers, disjoint; neither end cuts a run of ``_RUN``.
+
+    A part is as long as its chain of triggers asks for; the time is linear in the text.
+    """
     begin = end = -1
     for found in _TRIGGER.finditer(text):
-        if begin >= 0 and found.start() <= end + MARGIN and found.end() - begin < LONG:
-            end = found.end() + MARGIN
-            continue
-        if begin >= 0:
-            yield begin, min(end, len(text))
-        begin, end = max(found.start() - MARGIN, 0 if begin < 0 else end), found.end() + MARGIN
+        low, high = found.start() - MARGIN, found.end() + MARGIN
+        if begin < 0 or low > end:
+            if begin >= 0:
+                yield begin, end
+            begin, low = max(low, 0), max(end, 0)
+            if _RUN.match(text, begin):
+                while begin > low and _RUN.match(text, begin - 1, begin):
+                    begin -= 1
+        if high > end:
+            run = _RUN.match(text, high) if high < len(text) and _RUN.match(text, high - 1, high) else None
+            end = run.end() if run else min(high, len(text))
     if begin >= 0:
-        yield begin, min(end, len(text))
+        yield begin, end
 
 
 _NAMES = (
@@ -138,14 +148,19 @@ def _features(part: str, tokens: int, before: str, behind: str) -> list[int]:
     return on
 
 
-def candidates(text: str) -> tuple[list[int], list[tuple[int, int, list[int]]]]:
-    """(token bounds, segments): segments are (first token, token behind, features)."""
-    bounds = [0, *(m.end() for m in _TOKEN.finditer(text))]
+def candidates(text: str, bounds: list[int] | None = None, starts: int | None = None) -> tuple[list[int], list[tuple[int, int, list[int]]]]:
+    """(token bounds, segments): segments are (first token, token behind, features).
+
+    With ``bounds`` of some tokens, the segments that begin at the first ``starts`` of them;
+    the characters beside a segment are those of the text.
+    """
+    if bounds is None:
+        bounds = [0, *(m.end() for m in _TOKEN.finditer(text))]
     tokens = [text[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     edge = [not t.isspace() and t not in ("\"", "'", ",", ";", ":", "|", "=") for t in tokens]
     trigger = [bool(_TRIGGER.search(t)) or t == "at" for t in tokens]
     segments = []
-    for i in range(len(tokens)):
+    for i in range(len(tokens) if starts is None else starts):
         if not edge[i]:
             continue
         holds = False
@@ -155,10 +170,21 @@ def candidates(text: str) -> tuple[list[int], list[tuple[int, int, list[int]]]]:
             holds |= trigger[j - 1]
             if holds and edge[j - 1]:
                 a, b = bounds[i], bounds[j]
-                segments.append((i, j, _features(text[a:b], j - i, text[a - 1 : a], text[b : b + 1])))
+                segments.append((i, j, _features(text[a:b], j - i, text[max(a - 1, 0) : a], text[b : b + 1])))
     return bounds, segments
 
 
+def _blocks(text: str, begin: int, end: int) -> Iterator[tuple[list[int], int]]:
+    """(token bounds, tokens that are no longer in the next block): what follows reaches on by a longest segment."""
+    bounds = [begin]
+    for token in _TOKEN.finditer(text, begin, end):
+        bounds.append(token.end())
+        if len(bounds) > BLOCK + MAX_TOKENS:
+            yield bounds, BLOCK
+            bounds = bounds[BLOCK:]
+    yield bounds, len(bounds) - 1
+
+
 def _scores(segments: list, weights: np.ndarray) -> np.ndarray:
     """segments x kinds."""
     on = np.zeros((len(segments), _WIDTH))
@@ -167,33 +193,37 @@ def _scores(segments: list, weights: np.ndarray) -> np.ndarray:
     return on @ weights.T
 
 
-def decode(text: str, weights: np.ndarray) -> list[Span]:
-    """The best segmentation of a stretch: entity segments, and single tokens of score 0 between them."""
-    bounds, segments = candidates(text)
-    if not segments:
-        return []
-    scores = _scores(segments, weights) - MARGIN_SCORE
-    kind, value = scores.argmax(axis=1).tolist(), scores.max(axis=1).tolist()
-    ending: dict[int, list[int]] = {}
-    for s, (_, j, _) in enumerate(segments):
-        if value[s] > 0:
-            ending.setdefault(j, []).append(s)
-    n = len(bounds) - 1
-    best, back = [0.0] * (n + 1), [-1] * (n + 1)
-    for j in range(1, n + 1):
-        best[j] = best[j - 1]
-        for s in ending.get(j, ()):
-            reached = best[segments[s][0]] + value[s]
-            if reached > best[j]:
-                best[j], back[j] = reached, s
-    spans, j = [], n
-    while j:
-        if back[j] < 0:
-            j -= 1
-        else:
-            i, end, _ = segments[back[j]]
-            spans.append((kind[back[j]], bounds[i], bounds[end]))
-            j = i
+def decode(text: str, weights: np.ndarray, begin: int = 0, end: int | None = None) -> list[Span]:
+    """The best segmentation of a stretch: entity segments, and single tokens of score 0 between them.
+
+    The stretch may be of any length: only the values that a longest segment reaches are held.
+    """
+    state: tuple = (0.0, None)  # value and last segment, which names the one before it
+    offers: dict[int, tuple] = {}  # best value and segments up to a later token
+    place = 0
+    for bounds, starts in _blocks(text, begin, len(text) if end is None else end):
+        segments = candidates(text, bounds, starts)[1]
+        scores = _scores(segments, weights) - MARGIN_SCORE
+        kind, value = scores.argmax(axis=1).tolist(), scores.max(axis=1).tolist()
+        s = 0
+        for i in range(starts):
+            offer = offers.pop(place + i, None)
+            if offer and offer[0] > state[0]:
+                state = offer
+            while s < len(segments) and segments[s][0] == i:
+                j = segments[s][1]
+                reached, known = state[0] + value[s], offers.get(place + j)
+                if value[s] > 0 and (known is None or reached > known[0]):
+                    offers[place + j] = reached, ((kind[s], bounds[i], bounds[j]), state[1])
+                s += 1
+        place += starts
+    offer = offers.pop(place, None)
+    if offer and offer[0] > state[0]:
+        state = offer
+    spans, last = [], state[1]
+    while last:
+        span, last = last
+        spans.append(span)
     return spans[::-1]
 
 
@@ -289,8 +319,7 @@ def find(text: str, weights: np.ndarray) -> tuple[list[Span], list[Span]]:
     more: list[Span] = []
     k = 0
     for begin, end in stretches(text):
-        for kind, a, b in decode(text[begin:end], weights):
-            a, b = a + begin, b + begin
+        for kind, a, b in decode(text, weights, begin, end):
             while k < len(taken) and taken[k][1] <= a:
                 k += 1
             free = k == len(taken) or b <= taken[k][0]

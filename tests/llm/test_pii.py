@@ -61,6 +61,49 @@ def test_field_learns_and_adds_forms():
         assert found(clean) == []
 
 
+def test_long_names_and_domains_are_whole():
+    weights = P.train(SAMPLE + ["the mail is joe.bb@mail4.example.com and of"] * 24)  # of even length: taught with (at)
+    shown = lambda text: P.redact(text, sum(P.find(text, weights), []))
+    names = ["firstname.middlename.lastname", "a" * 23, "b" * 24, "c" * 25, "x" * 300]
+    domains = ["mail2.example.org", "mail.department.example-university.edu", "y" * 300 + ".example.com"]
+    for name in names:
+        for domain in domains:
+            for sign in ("[at]", " (at) "):
+                if len(P._TOKEN.findall(name + sign + domain)) <= P.MAX_TOKENS:
+                    assert shown(f"so {name}{sign}{domain} and") == "so <EMAIL> and", (name, sign, domain)
+
+
+def test_chains_of_triggers_are_decoded_whole():
+    weights = P.train(SAMPLE)
+    for filler in range(4040, 4110):
+        text = "4 " * (filler // 2) + " " * (filler % 2) + "joe.b[at]mail4.example.com and"
+        assert [text[a:b] for k, a, b in P.find(text, weights)[1] if k == 0] == ["joe.b[at]mail4.example.com"], filler
+    # Blocks of tokens change nothing.
+    draw, text = np.random.default_rng(4), "a 12 b@c.d +1 2, joe[at]x.org\n" * 12
+    whole = P.BLOCK
+    for _ in range(5):
+        weights = draw.normal(size=(len(P.KINDS), P._WIDTH)) + 0.4
+        want = P.decode(text, weights)
+        try:
+            P.BLOCK = 7
+            assert P.decode(text, weights) == want
+        finally:
+            P.BLOCK = whole
+
+
+def test_stretches_cut_no_run():
+    draw = np.random.default_rng(6)
+    for _ in range(300):
+        text = "".join(draw.choice(list("ab.-é  ,[@7"), 400, p=[0.3, 0.3, 0.1, 0.05, 0.1, 0.05, 0.05, 0.01, 0.01, 0.01, 0.02]))
+        found = list(P.stretches(text))
+        assert all(a < b for a, b in found) and all(x[1] <= y[0] for x, y in zip(found, found[1:]))
+        inside = {k for a, b in found for k in range(a, b)}
+        for m in P._TRIGGER.finditer(text):
+            assert inside >= set(range(max(m.start() - P.MARGIN, 0), min(m.end() + P.MARGIN, len(text))))
+        for m in P._RUN.finditer(text):
+            assert len(inside & set(range(*m.span()))) in (0, m.end() - m.start())
+
+
 def test_dynamic_programming_equals_all_segmentations():
     draw = np.random.default_rng(3)
     text = "a 12 b@c.d +1 2"
