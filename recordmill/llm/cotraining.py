@@ -207,15 +207,22 @@ def calibrate(margins: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, pool: int = POOL) -> dict[str, tuple]:
-    """Models by target from at most ``labelled`` labelled and ``pool`` other documents, the smallest hashes first."""
+    """Models by target from at most ``labelled`` labelled and ``pool`` other documents, the smallest hashes first.
+
+    Each target is taught by its own labels: a row that has only one of them is labelled
+    for this target and unlabelled for the other.
+    """
     named = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*[F.max(t).alias(t) for t in TARGETS])
-    known = named.where(" AND ".join(f"{t} IS NOT NULL" for t in TARGETS))
-    chosen = smallest_hashes(known, labelled, "doc_id")
+    known = named.where(" OR ".join(f"{t} IS NOT NULL" for t in TARGETS))
+    flags = {f"__{t}": F.col(t).isNotNull() for t in TARGETS}
+    chosen = smallest_hashes(known.withColumns(flags), labelled, "doc_id", also=dict.fromkeys(flags, labelled))
     unknown = docs.select("doc_id").where("doc_id IS NOT NULL").join(known, "doc_id", "left_anti")
     others = smallest_hashes(unknown, pool, "doc_id")
     none = [F.lit(-1).alias(t) for t in TARGETS]
-    ids = chosen.select("doc_id", *TARGETS).unionByName(others.select("doc_id", *none))
-    rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "source", "lang", "n_chars", *TARGETS)
+    taught = [F.coalesce(t, F.lit(-1)).alias(t) for t in TARGETS]
+    ids = chosen.select("doc_id", *taught).unionByName(others.select("doc_id", *none))
+    read = docs.select("doc_id", "text", "source", "lang", "n_chars")
+    rows = read.join(F.broadcast(ids), "doc_id").select(*read.columns, *TARGETS)
     listed = lambda r: pa.ListArray.from_arrays(pa.array(r.first, pa.int32()), pa.array(r.columns.astype(np.int32)))
 
     def work(table: pa.Table) -> pa.Table:

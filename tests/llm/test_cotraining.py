@@ -43,3 +43,13 @@ def test_views_teach_each_other():
         return np.mean((margins @ beta[:-1] + beta[-1] > 0) == (truth == 1))
 
     assert right(4) >= right(0) and right(4) > 0.9
+
+
+def test_one_label_of_a_row_teaches_its_target(spark):
+    # Toxic rows have no quality, and rows with a quality say nothing of toxicity but that it is 0.
+    rows = [(k, f"vile hateful words {k}" if k % 2 else f"calm friendly words {k}", "s", "en", 30) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string, n_chars int")
+    given = [(k, None, 1) if k % 2 else (k, 1, 0) for k in range(200)]
+    labels = spark.createDataFrame(given, "doc_id bigint, quality int, toxic int")
+    got = C.score(docs, C.learn(docs, labels)).where("doc_id >= 200").collect()
+    assert all((r["toxic"] > 0.5) == (r["doc_id"] % 2 == 1) for r in got)
