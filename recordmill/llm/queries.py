@@ -8,7 +8,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordmill.llm import chat, cotraining, decontamination, language, linkgraph, neighbours, packing, pii, sharding, superminhash
+from recordmill.llm import (
+    chat,
+    cotraining,
+    decontamination,
+    language,
+    linededup,
+    linkgraph,
+    neighbours,
+    packing,
+    pii,
+    sharding,
+    superminhash,
+)
 from recordmill.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -247,3 +259,32 @@ def op2_co_training_quality(spark, sf):
     """Calibrated quality and toxicity of every document, and whether it is kept."""
     docs = table(spark, sf, "documents")
     return cotraining.score(docs, cotraining.learn(docs, table(spark, sf, "labels")))
+
+
+_KEY = _LOWER.format(r"trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")
+
+
+@query(rf"""
+WITH l AS (
+  SELECT *, {_KEY} AS key FROM (
+    SELECT doc_id, id, place, lines[place] AS line
+    FROM (SELECT doc_id, row_number() OVER () AS id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+      unnest(range(1, len(lines) + 1)) AS t(place)
+  )
+),
+k AS (
+  SELECT key, max(doc_id) AS keeper FROM l WHERE length(key) >= 40 GROUP BY key
+  HAVING count(DISTINCT doc_id) + CAST(bool_or(doc_id IS NULL) AS INT) >= 5
+),
+j AS (SELECT l.*, k.key IS NOT NULL AND doc_id IS DISTINCT FROM keeper AS gone FROM l LEFT JOIN k USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM j GROUP BY id, doc_id
+""")
+def op13_perfect_hash_lines(spark, sf):
+    """Lines of every document, and a digest of what stays once repeated lines are dropped."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = linededup.annotate(docs, linededup.build_index(docs))
+    return found.select(
+        "doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.sha2("__kept", 256).alias("kept_sha256")
+    )
