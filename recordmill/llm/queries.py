@@ -19,6 +19,7 @@ from recordmill.llm import (
     packing,
     pii,
     sharding,
+    spelling,
     superminhash,
 )
 from recordmill.session import ship_package
@@ -261,6 +262,59 @@ def op2_co_training_quality(spark, sf):
     return cotraining.score(docs, cotraining.learn(docs, table(spark, sf, "labels")))
 
 
+# crc32 of a list of bytes, by the table of its polynomial.
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295, {}), lambda c, b: "
+    "xor(crc[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+)
+_CRC_TABLE = (
+    "SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), "
+    "lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc"
+)
+_UTF8 = (
+    "flatten(list_transform(string_split({}, ''), lambda x: "
+    "CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [195, CAST(unicode(x) AS BIGINT) - 64] END))"
+)
+
+
+@query(rf"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, {_LOWER.format("run")} AS run, count(*) AS n
+  FROM documents, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS t(run) GROUP BY ALL
+),
+h AS (
+  SELECT run, n, {_CRC.format(_UTF8.format("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run"))} AS h
+  FROM r, ({_CRC_TABLE}) WHERE length(run) >= 7
+),
+w AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h
+  ) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+),
+cut AS (SELECT word, n, p, left(word, p - 1) || substr(word, p + 1) AS rest FROM w, unnest(range(1, length(word) + 1)) AS t(p)),
+near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM w a JOIN cut b ON a.word = b.rest
+  UNION SELECT b.word, a.word, a.n FROM w a JOIN cut b ON a.word = b.rest
+),
+best AS (
+  SELECT word, count(*) AS n_near, max(near_n) AS near_n, arg_min(near, (-near_n, encode(near))) AS near FROM near GROUP BY word
+),
+f AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * w.n THEN near END AS form,
+    CASE WHEN near_n >= 10 * w.n THEN near_n END AS form_n FROM w LEFT JOIN best USING (word)
+),
+walk AS (
+  SELECT word, word AS root, form AS next FROM f
+  UNION ALL SELECT walk.word, f.word, f.form FROM walk JOIN f ON f.word = walk.next
+)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN walk USING (word) WHERE next IS NULL
+""")
+def op12_variable_gram_variants(spark, sf):
+    """Words of all documents with their near words, forms and roots."""
+    return spelling.forms(spelling.word_counts(table(spark, sf, "documents")))
+
+
 _KEY = _LOWER.format(r"trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")
 
 
