@@ -18,6 +18,7 @@ from recordmill.llm import (
     neighbours,
     packing,
     pii,
+    prefixtrie,
     sharding,
     spelling,
     superminhash,
@@ -277,6 +278,53 @@ _UTF8 = (
 )
 
 
+_DIGITS = "list_transform(string_split({}, ''), lambda x: CAST(unicode(x) AS BIGINT))"
+
+
+@query(rf"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC.format(_DIGITS.format("CAST(conv_id AS VARCHAR)"))} % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t), ({_CRC_TABLE})
+),
+b AS (
+  SELECT c.conv_id, place, role, text FROM c JOIN t ON t.conv_id = base AND place <= h
+  UNION ALL SELECT conv_id, 10 + place, role, text FROM c JOIN t USING (conv_id) WHERE place > h
+),
+s AS (
+  SELECT c.conv_id, coalesce(turns, []) AS turns FROM c LEFT JOIN (
+    SELECT conv_id, list(sha256(length(role) || ':' || role || text) || length(text) ORDER BY place) AS turns FROM b GROUP BY conv_id
+  ) USING (conv_id)
+),
+m AS (
+  SELECT conv_id, d, turns[1:d] AS key, turns[d] AS last, len(turns) = d AS ends FROM s, unnest(range(0, len(turns) + 1)) AS t(d)
+),
+n AS (
+  SELECT key, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+    CASE WHEN d > 0 THEN (count(*) - 1) * CAST(substr(any_value(last), 65) AS BIGINT) ELSE 0 END AS saved,
+    sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM m GROUP BY key, d
+),
+k AS (SELECT n.*, (SELECT count(*) FROM n AS x WHERE x.d = n.d + 1 AND x.key[1:n.d] = n.key) AS n_children FROM n),
+sums AS (
+  SELECT key, d, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM (
+    SELECT k.key[1:d2] AS key, d2 AS d, CAST(n_children = 0 AS INT) AS leaf, saved FROM k, unnest(range(0, d + 1)) AS t(d2)
+  ) GROUP BY ALL
+)
+SELECT k.conv_id, k.d AS depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, k.ends_sha256
+FROM k JOIN sums ON sums.key = k.key AND sums.d = k.d LEFT JOIN n AS p ON p.d = k.d - 1 AND p.key = k.key[1 : k.d - 1]
+""")
+def op11_block_hash_trie(spark, sf):
+    """All nodes of the prefix trie of conversations with borrowed beginnings."""
+    turns = prefixtrie.ordered_turns(table(spark, sf, "conversations"))
+    return prefixtrie.build(*prefixtrie.borrowed_heads(turns))
+
+
 @query(rf"""
 WITH RECURSIVE r AS (
   SELECT doc_id, {_LOWER.format("run")} AS run, count(*) AS n
