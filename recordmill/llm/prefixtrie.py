@@ -241,13 +241,11 @@ def _below(chains: DataFrame) -> DataFrame:
     """
     hung = chains.where("parent IS NOT NULL").select(F.col("parent").alias("conv_id"), (F.col("top") - 1).alias("end")).distinct()
     leafy = chains.join(hung.withColumn("inner", F.lit(True)), ["conv_id", "end"], "left")
-    root = F.broadcast(chains.where("parent IS NULL").select(F.col("conv_id").alias("root")))  # one row
+    root = chains.where("parent IS NULL").select("conv_id").first()  # one row, none without members
     state = materialize(
-        leafy.where("parent IS NOT NULL")
-        .crossJoin(root)
-        .select(
+        leafy.where("parent IS NOT NULL").select(
             "conv_id", "top", "parent", F.col("inner").isNull().cast("long").alias("leaves"), "saved",
-            F.when(F.col("parent") != F.col("root"), F.col("parent")).alias("to"),
+            F.when(F.col("parent") != F.lit(root[0] if root else None), F.col("parent")).alias("to"),
         ),
         "below",
     )
