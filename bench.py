@@ -39,6 +39,7 @@ HEADLINE = [
     "search_hits",
     "screen_segments",
     "profile_search",
+    "profile_diagonals",
     "chunk_files",
     "report_merge",
     "single_linkage",

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordmill.functions.alignment import best_end, segments
+from recordmill.functions.alignment import LOW, best_end, segments
 from recordmill.functions.text import letter_count, letters
 from recordmill.session import materialize
 
@@ -233,10 +233,15 @@ def seeds(
     its count asks for.  Seeds are counted map-side before the shuffle on (query, record,
     diagonal).
     """
-    wanted = materialize(
-        words(queries, id_column, text, size).select(F.col("id").alias("query_id"), F.col("at").alias("q_at"), "word"),
-        "query-words",
-    )
+    wanted = words(queries, id_column, text, size).select(F.col("id").alias("query_id"), F.col("at").alias("q_at"), "word")
+    return seeds_of_words(wanted, collection, id_column, text, size=size, min_seeds=min_seeds)
+
+
+def seeds_of_words(
+    wanted: DataFrame, collection: DataFrame, id_column: str, text: str, *, size: int, min_seeds: int
+) -> DataFrame:
+    """The rows of :func:`seeds` for any words ``wanted`` (query_id, q_at, word)."""
+    wanted = materialize(wanted, "query-words")
     offered = materialize(matching_words(collection, id_column, text, size, wanted), "matches")
     counts = offered.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > HOT_WORD)
     # At most one row per HOT_WORD matches.
@@ -468,13 +473,14 @@ def screen(
     ).where("strength IS NOT NULL")
 
 
-def profile_search(
+def profile_diagonals(
     profiles: DataFrame, collection: DataFrame, id_column: str, text: str, *, size: int = 3, min_seeds: int = 2
 ) -> DataFrame:
     """(profile_id, db_id, diagonal, score): best ungapped profile match per seeded diagonal.
 
     ``profiles`` has profile_id, consensus and ``scores``, one map from residue
-    to score per position.  Seeds come from the consensus.
+    to score per position.  Seeds are exact words of the consensus; see
+    :func:`profile_search` for matches that hold none.
     """
     models = profiles.select(F.col("profile_id").alias(id_column), F.col("consensus").alias(text))
     found = seeds(models, collection, id_column, text, size=size, min_seeds=min_seeds)
@@ -500,6 +506,208 @@ def profile_search(
     return wide.select("profile_id", "db_id", "diagonal", score.alias("score"))
 
 
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def sure_threshold(columns: Column, size: int, least: Column, gap: int) -> Column:
+    """The largest word threshold that misses no alignment scoring ``least``.
+
+    An alignment with g gaps has g + 1 stretches without gaps, the best of which scores the
+    smaller of ``least`` and ``gap`` at least (``gap`` is the cost of a gap's first place).  If
+    no word of a stretch scored t, each of its ceil(columns / size) consecutive words would add
+    t - 1 at most.
+    """
+    return F.greatest(F.lit(1), F.floor((F.least(least, F.lit(gap)) - 1) / F.ceil(columns / size)) + 1)
+
+
+def profile_words(profiles: DataFrame, size: int) -> DataFrame:
+    """(query_id, q_at, word): the words scoring ``threshold`` or more at a place of their profile.
+
+    ``profiles`` has profile_id, ``columns`` (per position the scores of A to Z) and ``threshold``.
+    Letters are added column by column, and a beginning is dropped once the best rest cannot
+    lift it to the threshold (branch and bound), so no word that fails becomes a row.
+    """
+    at = F.explode(F.sequence(F.lit(0), F.size("columns") - size)).alias("q_at")
+    open_ = profiles.where(F.size("columns") >= size).select("profile_id", "threshold", "columns", at)
+    open_ = open_.select(
+        F.col("profile_id").alias("query_id"),
+        "q_at",
+        "threshold",
+        F.slice("columns", F.col("q_at") + 1, F.lit(size)).alias("window"),
+        F.lit("").alias("word"),
+        F.lit(0).alias("sum"),
+    )
+    letters_ = F.array(*[F.lit(c) for c in ALPHABET])
+    for k in range(size):
+        rest = F.aggregate(F.slice("window", k + 2, size), F.lit(0), lambda total, column: total + F.array_max(column))
+        needed = F.col("threshold") - F.col("sum") - rest
+        choices = F.filter(F.arrays_zip(letters_.alias("letter"), F.col("window")[k].alias("gain")), _reaching(needed))
+        open_ = open_.select("*", F.explode(choices).alias("choice")).select(
+            "query_id",
+            "q_at",
+            "threshold",
+            "window",
+            F.concat("word", "choice.letter").alias("word"),
+            (F.col("sum") + F.col("choice.gain")).alias("sum"),
+        )
+    return open_.select("query_id", "q_at", "word")
+
+
+def _reaching(needed: Column):
+    return lambda choice: choice["gain"] >= needed
+
+
+def profile_search(
+    profiles: DataFrame,
+    collection: DataFrame,
+    id_column: str,
+    text: str,
+    *,
+    lam: float,
+    kappa: float,
+    size: int = 3,
+    threshold: int | None = None,
+    min_seeds: int = 1,
+    other: int = -1,
+    gap_open: int = 11,
+    gap_extend: int = 1,
+    max_evalue: float = 10.0,
+) -> DataFrame:
+    """The best position-specific alignment of every profile and record that meet.
+
+    ``profiles`` has profile_id and ``scores``, one map from letter to score per position;
+    letters it does not name score ``other``.  The seeds are neighbourhood words: all words that
+    score ``threshold`` at their place of the profile, wherever the consensus differs.  Diagonals
+    with ``min_seeds`` of them are extended without gaps, and pairs with a good enough stretch
+    are aligned with affine gaps, within reach of such diagonals.  The rows are
+    profile_id, db_id, columns, d_len, score, evalue and the 1-based bounds p_from, p_to,
+    d_from, d_to, for e-values up to ``max_evalue`` under ``lam`` and ``kappa``.
+
+    Without a threshold the one of :func:`sure_threshold` is taken: then no pair
+    with such an e-value is missed.  Larger thresholds are faster for long profiles.
+    """
+    total = float(collection.agg(F.sum(letter_count(text))).first()[0] or 0)
+    first = gap_open + gap_extend
+    count = F.size("scores")
+    least = F.greatest(F.lit(1), F.ceil(F.log(F.lit(kappa * total / max_evalue) * count) / lam)).cast("long")
+    column = lambda m: F.array(*[F.coalesce(F.try_element_at(m, F.lit(c)), F.lit(other)).cast("int") for c in ALPHABET])
+    models = materialize(
+        profiles.where(count > 0)
+        .select("profile_id", F.transform("scores", column).alias("columns"), count.alias("count"), least.alias("least"))
+        .withColumn("trigger", F.least("least", F.lit(first)))
+        .withColumn("threshold", F.lit(threshold) if threshold is not None else sure_threshold(F.col("count"), size, F.col("least"), first)),
+        "profiles",
+    )
+    found = seeds_of_words(profile_words(models, size), collection, id_column, text, size=size, min_seeds=min_seeds)
+    pairs = materialize(found.groupBy("query_id", "db_id").agg(F.collect_set("diagonal").alias("diagonals")), "pairs")
+    wanted = pairs.select(F.col("db_id").alias(id_column)).distinct()
+    records = collection.join(wanted, id_column, "left_semi").select(F.col(id_column).alias("db_id"), letters(text).alias("d_seq"))
+    # Gap places of an alignment that still scores ``least``, if every column gives its best.
+    most = F.aggregate("columns", F.lit(0).cast("long"), lambda s, c: s + F.greatest(F.lit(0), F.array_max(c)))
+    reach = F.floor((most - gap_open - F.col("least")) / gap_extend) if gap_extend else F.lit((1 << 31) - 1)
+    joined = (
+        pairs.join(models.withColumnRenamed("profile_id", "query_id"), "query_id")
+        .join(records, "db_id")
+        .withColumn("reach", F.greatest(F.lit(0), reach))
+        .withColumn("skip", F.greatest(F.lit(0), F.array_min("diagonals") - F.col("reach")))
+        .withColumn("upto", F.least(F.length("d_seq"), F.array_max("diagonals") + F.col("count") + F.col("reach")))
+    )
+
+    @F.pandas_udf("score BIGINT, p_from INT, p_to INT, d_from INT, d_to INT")
+    def align(
+        profile: pd.Series, columns: pd.Series, d: pd.Series, diagonals: pd.Series, reach: pd.Series, trigger: pd.Series, least: pd.Series
+    ) -> pd.DataFrame:
+        best = np.zeros((len(d), 5), np.int64)
+        for rows in profile.groupby(profile, sort=False).indices.values():
+            k = rows[0]
+            given = (np.stack(columns[k]), d.iloc[rows].tolist(), diagonals.iloc[rows].tolist(), int(reach[k]), int(trigger[k]), int(least[k]))
+            best[rows] = best_profile_matches(*given, gap_open, gap_extend)
+        return pd.DataFrame(best, columns=["score", "p_from", "p_to", "d_from", "d_to"])
+
+    # Only what lies within reach of the seeded diagonals is sent to Python.
+    part = F.substr("d_seq", F.col("skip").cast("int") + 1, (F.col("upto") - F.col("skip")).cast("int"))
+    moved = F.transform("diagonals", lambda x: x - F.col("skip"))
+    aligned = joined.select(
+        F.col("query_id").alias("profile_id"), "db_id", F.col("count").alias("columns"), F.length("d_seq").alias("d_len"), "skip",
+        align("query_id", "columns", part, moved, "reach", "trigger", "least").alias("hit"),
+    ).where("hit.score > 0")
+    score = F.col("hit.score")
+    evalue = F.lit(kappa * total) * F.col("columns") * F.exp(F.lit(-lam) * score)
+    place = lambda c: (F.col(f"hit.{c}") + F.col("skip")).cast("int").alias(c)
+    hits = aligned.select(
+        "profile_id", "db_id", "columns", "d_len", score.alias("score"), evalue.alias("evalue"),
+        "hit.p_from", "hit.p_to", place("d_from"), place("d_to"),
+    )
+    return hits.where(F.col("evalue") <= max_evalue)
+
+
+def best_profile_matches(
+    columns: np.ndarray,
+    texts: list[str],
+    diagonals: list[np.ndarray],
+    reach: int,
+    trigger: int,
+    least: int,
+    gap_open: int,
+    gap_extend: int,
+) -> np.ndarray:
+    """Per text (score, p_from, p_to, d_from, d_to) of the best alignment scoring ``least``, else zeros.
+
+    ``columns`` has a row of 26 scores per position.  Diagonals count only with a stretch of
+    ``trigger`` or more; what lies within ``reach`` of one is searched, near ones together.
+    The stretches of all texts are aligned side by side.
+    """
+    x, out = np.arange(len(columns)), np.zeros((len(texts), 5), np.int64)
+    regions: list[tuple[int, int, np.ndarray]] = []
+    for k, (text, found) in enumerate(zip(texts, diagonals, strict=True)):
+        y, upto = np.frombuffer(text.encode("ascii"), np.uint8) - 65, None
+        for diagonal in sorted(int(v) for v in found):
+            a, b = max(0, -diagonal), min(len(x), len(y) - diagonal)
+            if b <= a or _best_stretch(columns[x[a:b], y[a + diagonal : b + diagonal]])[0] < trigger:
+                continue
+            low, high = max(0, diagonal - reach), min(len(y), diagonal + len(x) + reach)
+            if upto is not None and low <= upto:
+                regions[-1] = (k, regions[-1][1], y[regions[-1][1] : max(high, upto)])
+                upto = max(high, upto)
+            else:
+                regions.append((k, low, y[low:high]))
+                upto = high
+    if not regions:
+        return out
+    scores, ends_x, ends_y = _best_ends(columns, [y for _, _, y in regions], gap_open, gap_extend)
+    for (k, low, y), score, end_x, end_y in zip(regions, scores.tolist(), ends_x.tolist(), ends_y.tolist(), strict=True):
+        if score >= max(least, 1) and score > out[k, 0]:
+            back = best_end(x[:end_x][::-1], y[:end_y][::-1], columns, gap_open, gap_extend, local=False)
+            out[k] = (score, end_x - back[1] + 1, end_x, low + end_y - back[2] + 1, low + end_y)
+    return out
+
+
+def _best_ends(columns: np.ndarray, parts: list[np.ndarray], gap_open: int, gap_extend: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(score, positions, letters) where the best local alignment with each of ``parts`` ends."""
+    size = np.array([len(p) for p in parts])
+    y, start = np.concatenate(parts), np.cumsum(size) - size
+    part = np.repeat(np.arange(len(parts)), size)
+    # Each part lies this much higher than the one before, so no gap reaches back into that.
+    lift = part.astype(np.int64) << 40
+    slope = gap_extend * np.arange(len(y), dtype=np.int64) + lift
+    row, down, across = np.zeros(len(y), np.int64), np.full(len(y), LOW), np.full(len(y), LOW)
+    best, end_x, end_y = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+    for i in range(len(columns)):
+        down = np.maximum(down - gap_extend, row - gap_open - gap_extend)
+        before = np.roll(row, 1)
+        before[start] = 0
+        fresh = np.maximum(np.maximum(before + columns[i][y], down), 0)
+        across[1:] = np.maximum.accumulate(fresh + slope)[:-1] - slope[1:] - gap_open
+        row = np.maximum(fresh, across)
+        most = np.maximum.reduceat(row, start)
+        better = most > best
+        if better.any():
+            at = np.flatnonzero((row == most[part]) & better[part])
+            which, first = np.unique(part[at], return_index=True)
+            best[which], end_x[which], end_y[which] = most[which], i + 1, at[first] - start[which] + 1
+    return best, end_x, end_y
+
+
 def distinct_words(alphabet: str, size: int) -> Iterator[str]:
     """Every word of ``size`` letters once: windows of a de Bruijn sequence."""
     cycle = de_bruijn(alphabet, size)

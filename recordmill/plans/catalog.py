@@ -967,16 +967,84 @@ def screen_segments(spark, sf):
 WITH {_SEEDS_SQL}, {_ungapped_sql("q", "d", 4, -1)}
 SELECT query_id AS profile_id, db_id, diagonal, score FROM hits
 """)
-def profile_search(spark, sf):
-    """Every benchmark passage as a position-specific profile."""
+def profile_diagonals(spark, sf):
+    """Every benchmark passage as a profile, along the diagonals of its own words."""
     queries, documents = _sides(spark, sf)
     consensus = TXT.letters("text")
     scores = F.transform(F.split(consensus, ""), lambda c: F.create_map(c, F.lit(4)))
     profiles = queries.select(F.col("id").alias("profile_id"), consensus.alias("consensus"), scores.alias("scores"))
-    found = similarity.profile_search(profiles, documents, "id", "text", size=WORD)
+    found = similarity.profile_diagonals(profiles, documents, "id", "text", size=WORD)
     return found.select("profile_id", "db_id", F.col("diagonal").cast("long"), F.col("score").cast("long"))
 
 
+FAMILY_COLUMNS = 10
+# Score of a letter by its share of a column: one in so many at least.
+FAMILY_SCORES = {2: 6, 4: 4, 8: 2, 20: 0}
+FAMILY_OTHER = -3
+PROFILE_STATISTICS = {"lam": 0.35, "kappa": 0.1}
+
+
+def _family_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """(profile_id, scores): per last word of part names, the letters of names aligned at their ends."""
+    names = tables.table(spark, sf, "part").select(TXT.letters("p_name").alias("s"), F.upper(F.regexp_extract("p_name", "([A-Za-z]+)[^A-Za-z]*$", 1)).alias("profile_id"))
+    tail = F.split(F.reverse(F.right("s", F.lit(FAMILY_COLUMNS))), "")
+    cells = names.where("profile_id <> ''").select("profile_id", F.posexplode(tail).alias("back", "letter")).groupBy("profile_id", "back", "letter").count()
+    share, score = F.col("total"), F.lit(FAMILY_OTHER)
+    for least, value in reversed(FAMILY_SCORES.items()):
+        score = F.when(F.col("count") * least >= share, value).otherwise(score)
+    totals = cells.groupBy("profile_id", "back").agg(F.sum("count").alias("total"))
+    scored = cells.join(totals, ["profile_id", "back"]).select("profile_id", "back", "letter", score.alias("score"))
+    columns = scored.groupBy("profile_id", "back").agg(F.map_from_entries(F.collect_list(F.struct("letter", "score"))).alias("column"))
+    placed = F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("at"), F.map_entries("column").alias("column"))))
+    grouped = columns.groupBy("profile_id").agg(placed.alias("columns"))
+    return grouped.select("profile_id", F.transform("columns", lambda c: F.map_from_entries(c["column"])).alias("scores"))
+
+
+_FAMILY_SQL = f"""
+part_name AS (SELECT p_partkey, upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) AS s,
+  upper(regexp_extract(p_name, '([A-Za-z]+)[^A-Za-z]*$', 1)) AS family FROM part),
+letter AS (SELECT family, back, substr(reverse(s), CAST(back AS INT), 1) AS letter, count(*) AS n
+  FROM part_name, unnest(range(1, least(length(s), {FAMILY_COLUMNS}) + 1)) AS t(back) WHERE family <> '' GROUP BY ALL),
+scored AS (SELECT family, max(back) OVER (PARTITION BY family) - back + 1 AS i, letter, CASE
+  {" ".join(f"WHEN n * {k} >= sum(n) OVER (PARTITION BY family, back) THEN {v}" for k, v in FAMILY_SCORES.items())}
+  ELSE {FAMILY_OTHER} END AS score FROM letter),
+profile AS (SELECT family, max(i) AS columns FROM scored GROUP BY family)
+"""
+
+
+# Every family against every name, cell by cell and without any seed; names that are alike are aligned once.
+@query(f"""
+WITH RECURSIVE {_FAMILY_SQL},
+name AS MATERIALIZED (SELECT s, length(s) AS d_len FROM part_name GROUP BY s),
+gain AS MATERIALIZED (SELECT family, i, map(list(letter), list(score)) AS scores FROM scored GROUP BY ALL),
+cell(family, s, i, j, h, down) AS (
+  SELECT family, s, 0, j, 0, -1000000 FROM profile, name, unnest(range(0, d_len + 1)) AS t(j)
+  UNION ALL
+  SELECT family, s, i, j, greatest(fresh, coalesce(max(fresh + j) OVER (
+      PARTITION BY family, s ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - j - 11, 0)), down
+  FROM (
+    SELECT family, s, i, j, down, greatest(0, down, CASE WHEN j > 0 THEN diagonal + gain ELSE 0 END) AS fresh
+    FROM (
+      SELECT c.family, c.s, CAST(c.i + 1 AS INT) AS i, c.j, greatest(c.down - 1, c.h - 12) AS down,
+        lag(c.h) OVER (PARTITION BY c.family, c.s ORDER BY c.j) AS diagonal,
+        coalesce(g.scores[substr(c.s, CAST(c.j AS INT), 1)], {FAMILY_OTHER}) AS gain
+      FROM cell c JOIN gain g ON g.family = c.family AND g.i = c.i + 1
+    )
+  )
+),
+best AS (SELECT family, s, max(h) AS score FROM cell GROUP BY ALL),
+total AS (SELECT sum(length(s)) AS letters FROM part_name),
+hit AS (SELECT family, s, CAST(score AS BIGINT) AS score, {PROFILE_STATISTICS["kappa"]}e0 * letters * columns * exp(-{PROFILE_STATISTICS["lam"]}e0 * score) AS e
+  FROM best JOIN profile USING (family), total)
+SELECT family AS profile_id, p_partkey AS db_id, score, round(e, 6) AS evalue FROM hit JOIN part_name USING (s) WHERE e <= 10
+""".replace("FROM hit JOIN part_name USING (s)", "FROM hit JOIN (SELECT p_partkey, s FROM part_name) USING (s)"))
+def profile_search(spark, sf):
+    """Families of part names as position-specific profiles, searched with gaps in all part names."""
+    names = tables.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
+    hits = similarity.profile_search(_family_profiles(spark, sf), names, "id", "text", other=FAMILY_OTHER, **PROFILE_STATISTICS)
+    return hits.select("profile_id", "db_id", "score", F.round("evalue", 6).alias("evalue"))
+
+
 @query(f"""
 WITH RECURSIVE {_SEEDS_SQL},
 edges AS (SELECT DISTINCT -1 - query_id AS a, db_id AS b FROM seeds),

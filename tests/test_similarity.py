@@ -174,7 +174,7 @@ def test_screen_and_profile(spark):
     consensus = vector[:12]
     scores = [{c: 3} for c in consensus]
     profiles = spark.createDataFrame([(1, consensus, scores)], "profile_id INT, consensus STRING, scores ARRAY<MAP<STRING,INT>>")
-    found = S.profile_search(profiles, d_df, "id", "text", size=6).collect()
+    found = S.profile_diagonals(profiles, d_df, "id", "text", size=6).collect()
     assert {(r.db_id, r.score) for r in found} >= {(0, 36), (1, 36), (2, 36)}
 
 
