@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from recordmill.functions import residues as RES
 from recordmill.functions import text as TXT
-from recordmill.operators import clustering, packing, provenance, records, recovery
+from recordmill.operators import clustering, inverted, packing, provenance, records, recovery
 from recordmill.operators import reports as rep
-from recordmill.operators import retrieval, sampling, similarity, timelines
+from recordmill.operators import retrieval, sampling, similarity, taxonomy, timelines
 from recordmill.plans.ordered import Running, dense_positions, ordinal, running
 from recordmill.session import scratch_path, ship_package
 from recordmill.sources import blocks, delimited, joblogs, tables, writers
@@ -739,10 +739,98 @@ WHERE regexp_matches(lower(text), '(^|[^a-z])the([^a-z]|$)')
   AND NOT regexp_matches(lower(text), '(^|[^a-z])was([^a-z]|$)') AND n_chars BETWEEN 200 AND 5000
 """)
 def boolean_retrieval(spark, sf):
-    """the AND (for OR with) BUTNOT was, within a RANGE of lengths."""
-    rows = _documents(spark, sf).where(F.col("n_chars").between(200, 5000))
-    has = lambda term: retrieval.has_term("text", term)
-    return rows.where(has("the") & (has("for") | has("with")) & ~has("was")).select("doc_id")
+    """the AND (for OR with) BUTNOT was, within a RANGE of lengths, from the postings of an index."""
+    index = _document_index(spark, sf)
+    term = lambda t: inverted.Term("text", t)
+    wanted = inverted.all_of(term("the"), inverted.any_of(term("for"), term("with")), inverted.Range("n_chars", 200, 5000))
+    return index.retrieve(inverted.ButNot(wanted, term("was"))).select(F.col("id").alias("doc_id"))
+
+
+def _document_index(spark: SparkSession, sf: str) -> inverted.Index:
+    path = scratch_path(spark, "inverted")
+    inverted.write_index(
+        _documents(spark, sf), "doc_id", path, words={"text": "text"}, keys={"lang": "lang", "source": "source"}, numbers={"n_chars": "n_chars"}
+    )
+    return inverted.Index.open(spark, path)
+
+
+@query("""
+SELECT doc_id FROM documents
+WHERE (lang = 'en' OR lang = 'de') AND NOT (source = (SELECT min(source) FROM documents) AND n_chars >= 1000)
+""")
+def fielded_retrieval(spark, sf):
+    """Whole keys of two fields and a range: (en OR de) BUTNOT (the first source AND long)."""
+    index = _document_index(spark, sf)
+    first = index.term_counts("source").agg(F.min("term")).first()[0]
+    language = inverted.terms("lang", ["en", "de"])
+    long_ = inverted.all_of(inverted.Term("source", first or ""), inverted.Range("n_chars", 1000, 1 << 60))
+    return index.retrieve(inverted.ButNot(language, long_)).select(F.col("id").alias("doc_id"))
+
+
+@query("""
+WITH p AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents)
+SELECT term, count(DISTINCT doc_id) AS records FROM p GROUP BY term
+""")
+def dictionary_counts(spark, sf):
+    """Records of every word, from the index's dictionary."""
+    return _document_index(spark, sf).term_counts("text")
+
+
+# Taxa: regions, nations in them, customers in these; orders carry two bit arrays.
+_TAXA_SQL = """
+taxa AS (SELECT r_regionkey AS node, NULL AS parent FROM region
+  UNION ALL SELECT 100 + n_nationkey, n_regionkey FROM nation
+  UNION ALL SELECT 1000 + c_custkey, 100 + c_nationkey FROM customer)
+"""
+
+
+def _taxa(spark: SparkSession, sf: str) -> DataFrame:
+    t = lambda name: tables.table(spark, sf, name)
+    level = lambda df, node, parent: df.select(node.cast("long").alias("node"), parent.cast("long").alias("parent"))
+    return (
+        level(t("region"), F.col("r_regionkey"), F.lit(None))
+        .unionAll(level(t("nation"), F.col("n_nationkey") + 100, F.col("n_regionkey")))
+        .unionAll(level(t("customer"), F.col("c_custkey") + 1000, F.col("c_nationkey") + 100))
+    )
+
+
+def _order_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders with deflines: the first of the customer, with status and month as bits; a bare second one."""
+    bits = taxonomy.bit_array(F.array(F.ascii("o_orderstatus") - 64, F.month("o_orderdate") + 32), 2)
+    lines = F.array(
+        F.struct((F.col("o_custkey") + 1000).alias("taxid"), bits.alias("memberships")),
+        F.struct((F.col("o_custkey") % 5).alias("taxid"), F.array(F.lit(0).cast("long")).alias("memberships")),
+    )
+    return tables.table(spark, sf, "orders").select("o_orderkey", "o_custkey", bits.alias("bits"), lines.alias("deflines"))
+
+
+@query(f"""
+WITH RECURSIVE {_TAXA_SQL},
+sub AS (SELECT node FROM taxa WHERE node IN (2, 107) UNION SELECT taxa.node FROM taxa JOIN sub ON parent = sub.node)
+SELECT o_orderkey FROM orders WHERE 1000 + o_custkey IN (SELECT node FROM sub) AND month(o_orderdate) = 3
+""")
+def records_below_taxon(spark, sf):
+    """Records with a defline below two taxa that is in membership 35."""
+    numbered = taxonomy.number_taxa(_taxa(spark, sf))
+    return taxonomy.below_by_defline(_order_lines(spark, sf), "o_orderkey", "deflines", numbered, [2, 107], 35).select("o_orderkey")
+
+
+@query("""
+SELECT o_custkey AS key, bit_or(CAST(1 AS BIGINT) << (ascii(o_orderstatus) - 64)) AS word_0,
+  bit_or(CAST(1 AS BIGINT) << month(o_orderdate)) AS word_1 FROM orders GROUP BY 1
+""")
+def membership_unions(spark, sf):
+    """All memberships of each customer's orders."""
+    merged = taxonomy.union_members(_order_lines(spark, sf), "o_custkey", "bits")
+    return merged.select("key", F.col("bits")[0].alias("word_0"), F.col("bits")[1].alias("word_1"))
+
+
+@query("""
+SELECT k, count(*) AS records FROM (
+  SELECT unnest([ascii(o_orderstatus) - 64, 32 + CAST(month(o_orderdate) AS INT)]) AS k FROM orders) GROUP BY k
+""")
+def membership_counts(spark, sf):
+    return taxonomy.member_counts(_order_lines(spark, sf), "bits")
 
 
 @query("""
