@@ -1,17 +1,18 @@
 """Quality and toxicity of documents by co-training.
 
 Two views judge a page: what its text says, and what is known about the page (source,
-language, size, layout).  Each view has a logistic regression per target.  In every round
-each view labels the documents of an unlabelled pool that it is sure of, and the other view
-learns from them as well.  At the end both views are calibrated on labelled documents that
-taught neither, combined, and applied to all documents.
+language, size, layout).  Each view has a log-odds classifier per target, fitted from counts.
+In every round each view names the unlabelled documents that it is sure of, and the other
+view learns from them as well.  At the end both views are calibrated on labelled documents
+that taught neither, combined, and applied to all documents.
 
-Only fitting works on bounded samples, ``LABELLED`` and ``POOL`` rows chosen by hash; every
-document is scored.
+Only labelled rows are sampled (``LABELLED`` by hash).  All unlabelled documents are scored on the
+executors in every round, which add up what they teach; the driver fits from the sums.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,22 +24,26 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from recordmill.llm.samples import smallest_hashes
 from recordmill.llm.textarrays import (
     byte_class,
+    gathered,
     lower_ascii,
     map_tables,
     span_hashes,
     split_words,
     text_bytes,
 )
+from recordmill.session import materialize
 
-#: Rows that classifiers are fitted on.
+#: Labelled rows that classifiers are fitted on.
 LABELLED = 8000
-POOL = 8000
 ROUNDS = 3
-#: Probability from which on a pseudo-label is handed over.
+#: Share of right rows among those kept back from which on a view hands over what it names.
 SURE = 0.95
 TARGETS = ("quality", "toxic")
+#: Log odds that a column needs, how sharply chance is told from more, and how soon evidence is enough.
+LEAST_ODDS, SHARP, STEEP = 2.0, 8, 1.3
 
-_BUCKETS = 1 << 15
+#: Columns of the text view: so many that a telling word seldom shares one.
+_BUCKETS = 1 << 18
 _META = 1 << 10
 _WORD = byte_class(lambda b: b >= 128 or 48 <= b <= 57 or 97 <= b <= 122)
 _TOKEN = byte_class(lambda b: b > 32)
@@ -136,60 +141,135 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(rows: Rows, target: np.ndarray, weight: np.ndarray, width: int, epochs: int = 6) -> tuple[np.ndarray, float]:
-    """Logistic regression by adaptive gradient steps over small batches; classes weigh alike."""
-    share = float((target * weight).sum() / max(weight.sum(), 1e-9))
-    if not 0 < share < 1:
-        return np.zeros(width), 40.0 if share >= 1 else -40.0
-    balance = np.where(target > 0, 0.5 / share, 0.5 / (1 - share)) * weight
-    weights, squares, bias, bias_square = np.zeros(width), np.full(width, 1e-2), 0.0, 1e-2
-    draw = np.random.default_rng(3)
-    scale = 1 / np.sqrt(np.maximum(np.diff(rows.first), 1))
-    for _ in range(epochs):
-        for batch in np.array_split(draw.permutation(len(rows)), max(1, len(rows) // 128)):
-            part = rows.take(batch)
-            error = (target[batch] - _sigmoid(part.dot(weights) * scale[batch] + bias)) * balance[batch]
-            gradient = np.bincount(part.columns, np.repeat(error * scale[batch], np.diff(part.first)), width)
-            gradient -= 1e-4 * weights
-            squares += gradient * gradient
-            weights += 0.3 * gradient / np.sqrt(squares)
-            bias_square += error.sum() ** 2
-            bias += 0.3 * error.sum() / np.sqrt(bias_square)
-    return weights, bias
+@dataclass
+class Counts:
+    """Of one view and target: rows of each class, and how many of them have each column."""
+
+    rows: np.ndarray
+    columns: np.ndarray
+
+    @classmethod
+    def empty(cls, width: int) -> Counts:
+        return cls(np.zeros(2), np.zeros((2, width)))
+
+    @classmethod
+    def of(cls, rows: Rows, target: np.ndarray, width: int) -> Counts:
+        """``target`` is 0 or 1, and anything else for rows that do not count."""
+        out = cls.empty(width)
+        for k in (0, 1):
+            chosen = rows.take(np.flatnonzero(target == k))
+            out.rows[k], out.columns[k] = len(chosen), np.bincount(chosen.columns, minlength=width)
+        return out
+
+    def joined(self, given: Counts) -> Counts:
+        """Pseudo-labelled rows beside labelled ones; of each class they weigh no more than those."""
+        share = np.minimum(1.0, self.rows / np.maximum(given.rows, 1))
+        return Counts(self.rows + share * given.rows, self.columns + share[:, None] * given.columns)
+
+
+def fit(counts: Counts, teach: Rows, truth: np.ndarray, strict: bool = True) -> tuple[np.ndarray, float]:
+    """Log odds of the columns; ``strict`` shrinks them where the counts do not set the classes apart.
+
+    Odds below ``LEAST_ODDS`` are taken as none, and a column whose chi-square stays below what
+    the largest of so many reaches by chance weighs next to nothing: neither the many
+    words that go along with a language nor rare words decide.  Margins are bounded, so one telling
+    word counts nearly as much as many, and centred between the classes' means in ``teach``.
+    """
+    width, (none, some) = counts.columns.shape[1], counts.rows
+    if not none or not some:
+        return np.zeros(width), 40.0 * (bool(some) - bool(none))
+    absent, present = counts.columns
+    total, found = none + some, absent + present
+    expected = found * some / total
+    spread = expected * (none / total) * np.maximum(1 - found / total, 1e-9)
+    chi = np.where(found > 0, (present - expected) ** 2 / np.maximum(spread, 1e-9), 0.0)
+    odds = np.log((present + 0.5) / (some + 1)) - np.log((absent + 0.5) / (none + 1))
+    odds[found == 0] = 0.0
+    chance = 2 * np.log(max(width, 2))
+    weights = odds
+    if strict:
+        weights = np.where(np.abs(odds) > LEAST_ODDS, odds, 0.0) * chi**SHARP / (chi**SHARP + chance**SHARP)
+    sums = teach.dot(weights)
+    weights = weights * (STEEP / max(float(np.std(sums)), 1e-9))
+    sums = np.tanh(teach.dot(weights))
+    middle = sum(float(sums[truth == k].mean()) if (truth == k).any() else 0.0 for k in (0, 1)) / 2
+    return weights, -middle
 
 
 def margin(rows: Rows, model: tuple[np.ndarray, float]) -> np.ndarray:
-    scale = 1 / np.sqrt(np.maximum(np.diff(rows.first), 1))
-    return rows.dot(model[0]) * scale + model[1]
+    return np.tanh(rows.dot(model[0])) + model[1]
 
 
-def co_train(views: list[Rows], widths: list[int], labels: np.ndarray, rounds: int = ROUNDS, sure: float = SURE):
-    """(models by view, calibration) for one target; ``labels`` are 0, 1 or -1 for the pool.
+def cuts(margins: np.ndarray, target: np.ndarray, sure: float) -> tuple[float, float]:
+    """(low, high): margins up to low are surely of class 0, from high on of class 1.
 
-    Every fifth labelled row is kept for the calibration: weights of both margins and a bias.
+    Each is the widest one whose share of right rows among those kept back is ``sure`` and
+    better than always naming the class; where there is none, nothing is handed over.
+    """
+    out = []
+    for k, side in ((0, -margins), (1, margins)):
+        order = np.argsort(-side, kind="stable")
+        right = np.cumsum(target[order] == k) / np.arange(1, len(order) + 1)
+        last = np.append(side[order][1:] < side[order][:-1], True)  # equal margins go together
+        good = np.flatnonzero(last & (right >= sure) & (right > np.mean(target == k)) & (side[order] > 0)) if len(order) else []
+        edge = side[order][good[-1]] if len(good) else np.inf
+        out.append(-edge if k == 0 else edge)
+    return out[0], out[1]
+
+
+def named(margins: np.ndarray, edges: tuple[float, float]) -> np.ndarray:
+    """Pseudo-labels: 0, 1, or -1 between the edges."""
+    return np.where(margins >= edges[1], 1, np.where(margins <= edges[0], 0, -1))
+
+
+def handed_over(views: list[Rows], models: list, edges: list, widths: list[int]) -> list[Counts]:
+    """What each view is taught by the other one about these unlabelled rows."""
+    labels = [named(margin(v, m), e) for v, m, e in zip(views, models, edges, strict=True)]
+    return [Counts.of(view, labels[1 - k], width) for k, (view, width) in enumerate(zip(views, widths, strict=True))]
+
+
+def co_train(views: list[Rows], widths: list[int], labels: np.ndarray, rounds: int = ROUNDS, sure: float = SURE, pool=None):
+    """(models by view, calibration) for one target; ``labels`` are 0, 1 or -1 for unlabelled rows.
+
+    Every fifth labelled row is kept back, for the cuts, the calibration, and to choose the
+    round with the smallest loss.  In each round both views name the unlabelled rows they are
+    sure of, and each is fitted to the labelled rows and those the other one has named.
+    ``pool(models, edges)`` gives the counts of unlabelled rows that are not among ``views``.
     """
     labelled = np.flatnonzero(labels >= 0)
     kept_back = labelled[::5]
     teach = np.setdiff1d(labelled, kept_back)
-    pool = np.flatnonzero(labels < 0)
-    given = [np.full(len(labels), -1.0) for _ in views]  # pseudo-labels from the other view
-    models = []
+    truth = labels[kept_back].astype(float)
+    known = [v.take(teach) for v in views]
+    back, here = [v.take(kept_back) for v in views], [v.take(np.flatnonzero(labels < 0)) for v in views]
+    counted = [Counts.of(v, labels[teach], w) for v, w in zip(known, widths, strict=True)]
+
+    def fitted(counts: list[Counts], strict: bool) -> list:
+        return [fit(c, v, labels[teach], strict) for c, v in zip(counts, known, strict=True)]
+
+    def judged(models: list) -> tuple[float, np.ndarray, np.ndarray]:
+        """(loss on the rows kept back, their margins, calibration)."""
+        margins = np.stack([margin(v, m) for v, m in zip(back, models, strict=True)], axis=1)
+        beta = calibrate(margins, truth)
+        chance = np.clip(_sigmoid(margins @ beta[:-1] + beta[-1]), 1e-6, 1 - 1e-6)
+        return -float(np.mean(np.log(np.where(truth > 0, chance, 1 - chance)))) if len(truth) else 0.0, margins, beta
+
+    # Whether to shrink is told by the rows kept back: with very few labels there is nothing to tell by.
+    strict = min((True, False), key=lambda s: judged(fitted(counted, s))[0])
+    models, best = fitted(counted, strict), None
     for turn in range(rounds + 1):
-        models = []
-        for view, width, extra in zip(views, widths, given, strict=True):
-            more = pool[extra[pool] >= 0]
-            rows = np.concatenate([teach, more])
-            target = np.concatenate([labels[teach], extra[more]]).astype(float)
-            weight = np.concatenate([np.ones(len(teach)), np.full(len(more), 0.5)])
-            models.append(fit(view.take(rows), target, weight, width))
-        if turn == rounds:
+        loss, margins, beta = judged(models)
+        if best is not None and loss > best[0]:
+            break
+        best = loss, models, beta
+        edges = [cuts(margins[:, k], truth, sure) for k in range(len(views))]
+        if turn == rounds or not np.isfinite(edges).any():
             break
-        for k, (view, model) in enumerate(zip(views, models, strict=True)):
-            chance = _sigmoid(margin(view.take(pool), model))
-            other = given[1 - k]
-            other[pool] = np.where(chance >= sure, 1.0, np.where(chance <= 1 - sure, 0.0, -1.0))
-    margins = np.stack([margin(v.take(kept_back), m) for v, m in zip(views, models, strict=True)], axis=1)
-    return models, calibrate(margins, labels[kept_back].astype(float))
+        given = handed_over(here, models, edges, widths)
+        if pool is not None:
+            given = [Counts(a.rows + b.rows, a.columns + b.columns) for a, b in zip(given, pool(models, edges), strict=True)]
+        models = fitted([c.joined(g) for c, g in zip(counted, given, strict=True)], strict)
+    return best[1], best[2]
 
 
 def calibrate(margins: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -206,58 +286,119 @@ def calibrate(margins: np.ndarray, target: np.ndarray) -> np.ndarray:
     return beta
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, pool: int = POOL) -> dict[str, tuple]:
-    """Models by target from at most ``labelled`` labelled and ``pool`` other documents, the smallest hashes first.
+def featured(docs: DataFrame) -> DataFrame:
+    """(doc_id, __text, __page): the columns of both views of every document.
 
-    Each target is taught by its own labels: a row that has only one of them is labelled
-    for this target and unlabelled for the other.
+    Written once, the table serves all rounds and the scoring, and texts are read once.
     """
-    named = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*[F.max(t).alias(t) for t in TARGETS])
-    known = named.where(" OR ".join(f"{t} IS NOT NULL" for t in TARGETS))
-    flags = {f"__{t}": F.col(t).isNotNull() for t in TARGETS}
-    chosen = smallest_hashes(known.withColumns(flags), labelled, "doc_id", also=dict.fromkeys(flags, labelled))
-    unknown = docs.select("doc_id").where("doc_id IS NOT NULL").join(known, "doc_id", "left_anti")
-    others = smallest_hashes(unknown, pool, "doc_id")
-    none = [F.lit(-1).alias(t) for t in TARGETS]
-    taught = [F.coalesce(t, F.lit(-1)).alias(t) for t in TARGETS]
-    ids = chosen.select("doc_id", *taught).unionByName(others.select("doc_id", *none))
-    read = docs.select("doc_id", "text", "source", "lang", "n_chars")
-    rows = read.join(F.broadcast(ids), "doc_id").select(*read.columns, *TARGETS)
+    if {"__text", "__page"} <= set(docs.columns):
+        return docs.select("doc_id", "__text", "__page")
+    rows = docs.select("doc_id", "text", "source", "lang", "n_chars")
     listed = lambda r: pa.ListArray.from_arrays(pa.array(r.first, pa.int32()), pa.array(r.columns.astype(np.int32)))
 
     def work(table: pa.Table) -> pa.Table:
-        return table.select(["doc_id", *TARGETS]).append_column("text", listed(text_view(table.column("text")))).append_column(
-            "page", listed(page_view(table))
-        )
+        views = listed(text_view(table.column("text"))), listed(page_view(table))
+        return pa.table([table.column("doc_id"), *views], ["doc_id", "__text", "__page"])
 
     schema = StructType([StructField("doc_id", rows.schema["doc_id"].dataType)])
-    for t in TARGETS:
-        schema = schema.add(t, rows.schema[t].dataType)
-    schema = schema.add("text", ArrayType(IntegerType())).add("page", ArrayType(IntegerType()))
-    sample = map_tables(rows, work, schema, "text").toArrow().sort_by("doc_id")
-    views = []
-    for name in ("text", "page"):
-        lists = sample.column(name).combine_chunks()
+    schema = schema.add("__text", ArrayType(IntegerType())).add("__page", ArrayType(IntegerType()))
+    return map_tables(rows, work, schema, "text")
+
+
+def _views(table: pa.Table) -> list[Rows]:
+    out = []
+    for name in ("__text", "__page"):
+        lists = table.column(name).combine_chunks()
         lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
         length = np.asarray(lists.value_lengths(), np.int64) if len(lists) else np.zeros(0, np.int64)
-        views.append(Rows(np.asarray(lists.flatten(), np.int64), np.concatenate([[0], np.cumsum(length)])))
-    return {t: co_train(views, [_BUCKETS, _META], np.asarray(sample.column(t), np.int64)) for t in TARGETS}
+        out.append(Rows(np.asarray(lists.flatten(), np.int64), np.concatenate([[0], np.cumsum(length)])))
+    return out
+
+
+_WIDTHS = [_BUCKETS, _META]
+
+
+def learn(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED) -> dict[str, tuple]:
+    """Models by target, co-trained from labelled documents and all others.
+
+    At most ``labelled`` rows labelled for each target are drawn, by the smallest hashes of
+    their ids.  Every document without a label of a target takes part in its rounds: tasks
+    score them, name those that a view is sure of, and add up the counts that the other view is
+    fitted to; the driver sees these sums, whose number is that of the columns.
+    Each target is taught by its own labels: a row that has only one of them is labelled
+    for this target and unlabelled for the other.  Of an id with several labels the
+    largest counts; rows without an id teach nothing.
+    """
+    read = docs if {"__text", "__page"} <= set(docs.columns) else materialize(featured(docs), "views")
+    found = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*[F.max(t).alias(t) for t in TARGETS])
+    known = found.where(" OR ".join(f"{t} IS NOT NULL" for t in TARGETS))
+    flags = {f"__{t}": F.col(t).isNotNull() for t in TARGETS}
+    chosen = smallest_hashes(known.withColumns(flags), labelled, "doc_id", also=dict.fromkeys(flags, labelled))
+    taught = [F.coalesce(F.col(t).cast("int"), F.lit(-1)).alias(t) for t in TARGETS]
+    rows = read.join(F.broadcast(chosen.select("doc_id", *taught)), "doc_id").select("doc_id", "__text", "__page", *TARGETS)
+    order = [("doc_id", "ascending"), *((t, "ascending") for t in TARGETS)]
+    sample = rows.toArrow().sort_by(order)  # at most so many rows as were drawn, and their copies
+    views = _views(sample)
+    return {t: co_train(views, _WIDTHS, np.asarray(sample.column(t), np.int64), pool=_pool(read, known, chosen, t)) for t in TARGETS}
+
+
+def _pool(read: DataFrame, known: DataFrame, chosen: DataFrame, target: str):
+    """Counts of what both views name among all documents that have no label of ``target``.
+
+    The drawn rows are left out: the driver has them.
+    """
+    skip = known.where(F.col(target).isNotNull()).select("doc_id").unionByName(chosen.select("doc_id")).distinct()
+    others = read.join(skip, "doc_id", "left_anti").select("__text", "__page")
+
+    def counts(models: list, edges: list) -> list[Counts]:
+        held = read.sparkSession.sparkContext.broadcast((models, edges))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = [Counts.empty(w) for w in _WIDTHS]
+            for table in gathered(batches, None, 1 << 22):
+                for total, more in zip(sums, handed_over(_views(table), *held.value, _WIDTHS), strict=True):
+                    total.rows += more.rows
+                    total.columns += more.columns
+            for k, total in enumerate(sums):
+                for c in (0, 1):
+                    at = np.flatnonzero(total.columns[c])
+                    cells = {
+                        "view": np.full(len(at) + 1, k, np.int32),
+                        "class": np.full(len(at) + 1, c, np.int32),
+                        "place": np.append(at, -1),
+                        "n": np.append(total.columns[c][at], total.rows[c]).astype(np.int64),
+                    }
+                    yield pa.record_batch({name: pa.array(v) for name, v in cells.items()})
+
+        cells = others.mapInArrow(run, "view int, class int, place bigint, n bigint")
+        summed = cells.groupBy("view", "class", "place").agg(F.sum("n").alias("n")).toArrow()  # bounded by the columns
+        view, label, place, n = (summed.column(x).to_numpy() for x in ("view", "class", "place", "n"))
+        out = [Counts.empty(w) for w in _WIDTHS]
+        for k, total in enumerate(out):
+            here, whole = (view == k) & (place >= 0), (view == k) & (place < 0)
+            total.columns[label[here], place[here]] = n[here]
+            total.rows[label[whole]] = n[whole]
+        held.unpersist()
+        return out
+
+    return counts
 
 
 def score(docs: DataFrame, models: dict[str, tuple]) -> DataFrame:
     """(doc_id, quality, toxic, text and page margins, kept) for every row of ``docs``.
 
     quality and toxic are calibrated probabilities from both views; kept says that quality
-    is at least and toxic below one half.  Null texts and columns count as empty; repeated
-    rows are judged alike; an empty table gives no rows.  Without labels of a class all
-    documents get the other one; without any label quality is 1 half and toxic 1 half.
+    is at least and toxic below one half.  Null texts and columns count as empty; texts may
+    be of any length; repeated rows are judged alike; an empty table gives no rows.  Without
+    labels of a class all documents get the other one; without any label quality is 1 half
+    and toxic 1 half.
     """
     held = docs.sparkSession.sparkContext.broadcast(models)
-    rows = docs.select("doc_id", "text", "source", "lang", "n_chars")
+    rows = featured(docs)
 
     def work(table: pa.Table) -> pa.Table:
         out = table.select(["doc_id"])
-        views = [text_view(table.column("text")), page_view(table)]
+        views = _views(table)
         for name in TARGETS:
             by_view, beta = held.value[name]
             margins = np.stack([margin(v, m) for v, m in zip(views, by_view, strict=True)], axis=1)
@@ -270,5 +411,5 @@ def score(docs: DataFrame, models: dict[str, tuple]) -> DataFrame:
     for name in TARGETS:
         for column in (name, f"{name}_text", f"{name}_page"):
             schema = schema.add(column, "double")
-    scored = map_tables(rows, work, schema, "text")
+    scored = map_tables(rows, work, schema)
     return scored.withColumn("kept", (F.col("quality") >= 0.5) & (F.col("toxic") < 0.5))

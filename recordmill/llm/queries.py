@@ -23,7 +23,7 @@ from recordmill.llm import (
     spelling,
     superminhash,
 )
-from recordmill.session import ship_package
+from recordmill.session import materialize, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -259,8 +259,8 @@ def op9_semi_markov_pii(spark, sf):
 @query()
 def op2_co_training_quality(spark, sf):
     """Calibrated quality and toxicity of every document, and whether it is kept."""
-    docs = table(spark, sf, "documents")
-    return cotraining.score(docs, cotraining.learn(docs, table(spark, sf, "labels")))
+    views = materialize(cotraining.featured(table(spark, sf, "documents")), "views")
+    return cotraining.score(views, cotraining.learn(views, table(spark, sf, "labels")))
 
 
 # crc32 of a list of bytes, by the table of its polynomial.

@@ -53,3 +53,41 @@ def test_one_label_of_a_row_teaches_its_target(spark):
     labels = spark.createDataFrame(given, "doc_id bigint, quality int, toxic int")
     got = C.score(docs, C.learn(docs, labels)).where("doc_id >= 200").collect()
     assert all((r["toxic"] > 0.5) == (r["doc_id"] % 2 == 1) for r in got)
+
+
+def test_rounds_over_all_documents(spark):
+    """The tasks' counts give the models that all unlabelled rows in one place would give."""
+    draw = np.random.default_rng(9)
+    bad, good = [f"vile{k}" for k in range(30)], [f"kind{k}" for k in range(30)]
+    rows = []
+    for k in range(900):
+        toxic = int(draw.random() < 0.3)
+        text = " ".join([*draw.choice(bad if toxic else good, 3), *draw.choice([f"w{j}" for j in range(400)], 12)])
+        rows.append((k, text, f"{'dark' if toxic else 'light'}{int(draw.integers(0, 3))}", "en", len(text), toxic))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string, n_chars int, truth int")
+    labels = spark.createDataFrame([(r[0], 1 - r[5], r[5]) for r in rows[:150]], "doc_id bigint, quality int, toxic int")
+    models = C.learn(table.drop("truth").repartition(7), labels)
+    sample = C.featured(table).toArrow().sort_by("doc_id")
+    views = C._views(sample)
+    truth = np.array([r[5] if r[0] < 150 else -1 for r in rows])
+    alone, beta = C.co_train(views, C._WIDTHS, truth)
+    for (weights, bias), (other, middle) in zip(models["toxic"][0], alone, strict=True):
+        assert np.allclose(weights, other) and np.isclose(bias, middle)
+    assert np.allclose(models["toxic"][1], beta)
+    before = C.co_train(views, C._WIDTHS, truth, 0)[0][0][0]
+    assert (alone[0][0] != 0).sum() > (before != 0).sum()  # words that no labelled row has taught
+
+
+def test_rounds_do_not_lower_accuracy(spark):
+    docs, labels = (spark.read.parquet(f"{TABLES}/{t}.parquet") for t in ("documents", "labels"))
+    views = C.materialize(C.featured(docs), "views")
+    rest = labels.where("doc_id % 2 = 1").withColumnsRenamed({"quality": "q", "toxic": "t"})
+
+    def right(rounds):
+        C.co_train.__defaults__ = (rounds, *C.co_train.__defaults__[1:])
+        rows = C.score(views, C.learn(views, labels.where("doc_id % 2 = 0"))).join(rest, "doc_id").collect()
+        recall = np.mean([r["toxic"] > 0.5 for r in rows if r["t"] == 1])
+        return np.mean([(r["toxic"] > 0.5) == r["t"] for r in rows]), recall
+
+    (alone, _), (taught, recall) = right(0), right(C.ROUNDS)
+    assert taught >= alone - 0.002 and recall > 0.8
