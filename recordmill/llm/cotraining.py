@@ -322,8 +322,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED) -> di
     """Models by target, co-trained from labelled documents and all others.
 
     At most ``labelled`` rows labelled for each target are drawn, by the smallest hashes of
-    their ids.  Every document without a label of a target takes part in its rounds: tasks
-    score them, name those that a view is sure of, and add up the counts that the other view is
+    their ids.  Every other document takes part in the rounds as an unlabelled one: tasks score
+    them, name those that a view is sure of, and add up the counts that the other view is
     fitted to; the driver sees these sums, whose number is that of the columns.
     Each target is taught by its own labels: a row that has only one of them is labelled
     for this target and unlabelled for the other.  Of an id with several labels the
@@ -339,16 +339,20 @@ def learn(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED) -> di
     order = [("doc_id", "ascending"), *((t, "ascending") for t in TARGETS)]
     sample = rows.toArrow().sort_by(order)  # at most so many rows as were drawn, and their copies
     views = _views(sample)
-    return {t: co_train(views, _WIDTHS, np.asarray(sample.column(t), np.int64), pool=_pool(read, known, chosen, t)) for t in TARGETS}
+    return {t: co_train(views, _WIDTHS, np.asarray(sample.column(t), np.int64), pool=_pool(read, chosen)) for t in TARGETS}
 
 
-def _pool(read: DataFrame, known: DataFrame, chosen: DataFrame, target: str):
-    """Counts of what both views name among all documents that have no label of ``target``.
+#: Columns whose counts travel as one row.
+_CHUNK = 1 << 12
 
-    The drawn rows are left out: the driver has them.
+
+def _pool(read: DataFrame, chosen: DataFrame):
+    """Counts of what both views name among all documents but the drawn ones, which the driver has.
+
+    A task adds up its rows and sends one row per run of columns, which are added again where
+    they meet, so neither a task nor the driver holds more than the columns.
     """
-    skip = known.where(F.col(target).isNotNull()).select("doc_id").unionByName(chosen.select("doc_id")).distinct()
-    others = read.join(skip, "doc_id", "left_anti").select("__text", "__page")
+    others = read.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti").select("__text", "__page")
 
     def counts(models: list, edges: list) -> list[Counts]:
         held = read.sparkSession.sparkContext.broadcast((models, edges))
@@ -359,31 +363,49 @@ def _pool(read: DataFrame, known: DataFrame, chosen: DataFrame, target: str):
                 for total, more in zip(sums, handed_over(_views(table), *held.value, _WIDTHS), strict=True):
                     total.rows += more.rows
                     total.columns += more.columns
+            parts = {}
             for k, total in enumerate(sums):
                 for c in (0, 1):
-                    at = np.flatnonzero(total.columns[c])
-                    cells = {
-                        "view": np.full(len(at) + 1, k, np.int32),
-                        "class": np.full(len(at) + 1, c, np.int32),
-                        "place": np.append(at, -1),
-                        "n": np.append(total.columns[c][at], total.rows[c]).astype(np.int64),
-                    }
-                    yield pa.record_batch({name: pa.array(v) for name, v in cells.items()})
-
-        cells = others.mapInArrow(run, "view int, class int, place bigint, n bigint")
-        summed = cells.groupBy("view", "class", "place").agg(F.sum("n").alias("n")).toArrow()  # bounded by the columns
-        view, label, place, n = (summed.column(x).to_numpy() for x in ("view", "class", "place", "n"))
+                    parts[k, c, -1] = total.rows[c : c + 1]
+                    for a in range(0, _WIDTHS[k], _CHUNK):
+                        if total.columns[c, a : a + _CHUNK].any():
+                            parts[k, c, a] = total.columns[c, a : a + _CHUNK]
+            yield _part_batch(parts)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts: dict[tuple, np.ndarray] = {}
+            for batch in batches:
+                for key, n in _parts_of(batch):
+                    parts[key] = parts[key] + n if key in parts else n
+            yield _part_batch(parts)
+
+        kind = "view int, class int, place int, n array<bigint>"
+        met = others.mapInArrow(run, kind).repartition("view", "class", "place").mapInArrow(add, kind)
         out = [Counts.empty(w) for w in _WIDTHS]
-        for k, total in enumerate(out):
-            here, whole = (view == k) & (place >= 0), (view == k) & (place < 0)
-            total.columns[label[here], place[here]] = n[here]
-            total.rows[label[whole]] = n[whole]
+        for batch in met.toArrow().to_batches():
+            for (view, label, place), n in _parts_of(batch):
+                if place < 0:
+                    out[view].rows[label] = n[0]
+                else:
+                    out[view].columns[label, place : place + len(n)] = n
         held.unpersist()
         return out
 
     return counts
 
 
+def _part_batch(parts: dict[tuple, np.ndarray]) -> pa.RecordBatch:
+    keys = [pa.array([key[k] for key in parts], pa.int32()) for k in range(3)]
+    n = pa.array([v.astype(np.int64) for v in parts.values()], pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([*keys, n], ["view", "class", "place", "n"])
+
+
+def _parts_of(batch: pa.RecordBatch) -> Iterator[tuple[tuple, np.ndarray]]:
+    keys = zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
+    for key, n in zip(keys, batch.column(3), strict=True):
+        yield key, n.values.to_numpy(zero_copy_only=False)
+
+
 def score(docs: DataFrame, models: dict[str, tuple]) -> DataFrame:
     """(doc_id, quality, toxic, text and page margins, kept) for every row of ``docs``.
 
