@@ -37,7 +37,7 @@ from recordmill.sources.blocks import locate
 SHARD_KEYS = 1 << 18
 SHARDS_HELD = 12
 #: Bytes of text whose lines probe the shards together.
-RUN_BYTES = 24 << 20
+RUN_BYTES = 8 << 20
 #: Bits for each key of a level, and levels before the few keys left are listed.
 _SPARE, _LEVELS = 2, 40
 
@@ -175,7 +175,7 @@ def build_index(
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in gathered(batches, "text", RUN_BYTES // 8):
+        for table in gathered(batches, "text", RUN_BYTES // 2):
             lines = cut_lines(*text_bytes(table.column("text")))
             which, first, second = long_lines(lines, min_chars)
             owner = lines.owner[which]
