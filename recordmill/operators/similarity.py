@@ -16,7 +16,7 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordmill.functions.alignment import LOW, best_end, segments
@@ -27,6 +27,8 @@ from recordmill.session import materialize
 FILTER_BITS = 30
 #: Matches of one word that one task joins.
 HOT_WORD = 100_000
+#: Pairs of one record, and of one partition, that are aligned in one task.
+PAIRS_PER_TASK = 1_000
 
 
 @dataclass(frozen=True)
@@ -299,7 +301,8 @@ def ungapped_segments(
         return pd.Series([_stretches(_gains(x, y, table), least) for x, y in zip(a, b)])
 
     cut = _overlaps(found, queries, collection, id_column, text)
-    return _placed(cut.withColumn("hit", F.explode(stretches("a", "b"))))
+    # As in align_pairs: evaluated once, not again in a filter.
+    return _placed(cut.withColumn("hit", F.explode(stretches.asNondeterministic()("a", "b"))))
 
 
 def _overlaps(found: DataFrame, queries: DataFrame, collection: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -383,25 +386,62 @@ def align_pairs(
     ``least`` is the score a segment needs, from ``q_len``.  Every alignment that a seeded
     diagonal can be part of is searched (see ``functions.alignment.segments``), so the best
     one is the best of all that hold a seed.  Texts are reduced to letters once per record.
+    The pairs of a record that meets very many queries are dealt over several tasks.
     """
     pairs = found.groupBy("query_id", "db_id").agg(F.collect_set("diagonal").alias("diagonals"))
     pairs = materialize(pairs, "pairs")
-    side = lambda df, name, short: df.join(
-        pairs.select(F.col(name).alias(id_column)).distinct(), id_column, "left_semi"
-    ).select(F.col(id_column).alias(name), letters(text).alias(f"{short}_seq"))
-    joined = pairs.join(side(queries, "query_id", "q"), "query_id").join(side(collection, "db_id", "d"), "db_id")
-    joined = joined.select("*", F.length("q_seq").alias("q_len"), F.length("d_seq").alias("d_len"))
-    table, open_, more = scoring.table(), scoring.gap_open, scoring.gap_extend
+    # Aligning costs far more than reading: the number of tasks follows the pairs, not their bytes;
+    # several for each slot even out pairs of different lengths.
+    counts = pairs.groupBy("db_id").agg(F.count("*").alias("n"))
+    tasks = max(4 * _partitions(pairs.sparkSession), -(-pairs.count() // PAIRS_PER_TASK))
+    # At most one row per PAIRS_PER_TASK pairs.
+    hot = F.broadcast(counts.where(F.col("n") > PAIRS_PER_TASK).select("db_id", F.ceil(F.col("n") / PAIRS_PER_TASK).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+
+    def side(df: DataFrame, name: str, short: str) -> DataFrame:
+        met = df.join(pairs.select(F.col(name).alias(id_column)).distinct(), id_column, "left_semi")
+        return met.select(F.col(id_column).alias(name), letters(text).alias(f"{short}_seq"))
+
+    dealt = side(collection, "db_id", "d").join(hot, "db_id", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    open_, more, best = scoring.gap_open, scoring.gap_extend, scoring.best()
+    joined = (
+        pairs.join(hot, "db_id", "left")
+        .withColumn("part", F.pmod(F.hash("query_id"), parts))
+        .drop("parts")
+        .join(side(queries, "query_id", "q"), "query_id")
+        .repartition(tasks, "db_id", "part")
+        .join(dealt.drop("parts"), ["db_id", "part"])
+        .select("*", F.length("q_seq").alias("q_len"), F.length("d_seq").alias("d_len"))
+        .withColumn("least", least.cast("long"))
+    )
+    # Only what lies within reach of the seeded diagonals is sent to Python.
+    most = F.col("q_len").cast("long") * best - open_ - F.col("least")
+    reach = F.greatest(F.lit(0), F.floor(most / more)) if more else F.col("d_len").cast("long")
+    skip = F.greatest(F.lit(0), F.array_min("diagonals") - reach).cast("int")
+    upto = F.least("d_len", F.array_max("diagonals") + F.col("q_len") + reach).cast("int")
+    table = scoring.table()
 
     @F.pandas_udf(f"array<struct<{SEGMENT.replace(' ', ':').replace(',:', ',')}>>")
     def align(q: pd.Series, d: pd.Series, diagonals: pd.Series, least: pd.Series) -> pd.Series:
         rows = zip(q, d, diagonals, least, strict=True)
         return pd.Series([[vars(s) for s in segments(a, b, list(c), table, open_, more, int(n))] for a, b, c, n in rows])
 
-    aligned = joined.withColumn("all", align("q_seq", "d_seq", "diagonals", least.cast("long")))
-    return aligned.select("query_id", "db_id", "q_len", "d_len", F.posexplode("all").alias("segment", "hit")).select(
-        "query_id", "db_id", "q_len", "d_len", (F.col("segment") + 1).alias("segment"), "hit.*"
-    )
+    # A deterministic function would be evaluated once more, in a filter on the size of its array.
+    align = align.asNondeterministic()
+    joined = joined.withColumns({"skip": skip, "upto": upto})
+    near = F.substr("d_seq", F.col("skip") + 1, F.col("upto") - F.col("skip"))
+    moved = F.transform("diagonals", lambda x: x - F.col("skip"))
+    aligned = joined.select("query_id", "db_id", "q_len", "d_len", "skip", align("q_seq", near, moved, "least").alias("all"))
+    placed = lambda c: (F.col(f"hit.{c}") + F.col("skip")).alias(c)
+    return aligned.select("query_id", "db_id", "q_len", "d_len", "skip", F.posexplode("all").alias("segment", "hit")).select(
+        "query_id", "db_id", "q_len", "d_len", (F.col("segment") + 1).alias("segment"),
+        "hit.score", "hit.q_from", "hit.q_to", placed("d_from"), placed("d_to"), "hit.identities", "hit.gaps",
+        "hit.q_aligned", "hit.d_aligned",
+    )
+
+
+def _partitions(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
 def search(

@@ -1,10 +1,13 @@
 import math
 import random
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from recordmill.functions import alignment
 from recordmill.functions.alignment import segments
 from recordmill.operators import similarity as S
 
@@ -104,6 +107,47 @@ def rescored(s, scoring):
     return total
 
 
+def test_traceback_in_linear_space(monkeypatch):
+    rng = random.Random(5)
+    for scoring in (S.Scoring(match=5, mismatch=-4, gap_open=3, gap_extend=1), S.Scoring(gap_open=0, gap_extend=2), S.Scoring(gap_open=9, gap_extend=0)):
+        for a, b in zip(texts(rng, 40, 30), texts(rng, 40, 30)):
+            x, y = (np.frombuffer(v.encode(), np.uint8) for v in (a, b))
+            given = (x, y, scoring.table(), scoring.gap_open, scoring.gap_extend)
+            monkeypatch.setattr(alignment, "CELLS", 1 << 21)
+            whole = alignment.traceback(*given)
+            monkeypatch.setattr(alignment, "CELLS", 12)
+            cut = alignment.traceback(*given)
+            for left, right in (whole, cut):
+                assert (left.replace("-", ""), right.replace("-", "")) == (a, b) and ("-", "-") not in zip(left, right)
+            score = lambda two: rescored(SimpleNamespace(q_aligned=two[0], d_aligned=two[1]), scoring)
+            assert score(whole) == score(cut)
+
+
+def test_memory_of_long_alignments():
+    rng = random.Random(7)
+    a = "".join(rng.choice(LETTERS) for _ in range(12_000))
+    b = a[:5000] + a[5200:9000] + "AC" * 40 + a[9000:]
+    scoring = S.Scoring()
+    tracemalloc.start()
+    (found,) = segments(a, b, [0, -200], scoring.table(), scoring.gap_open, scoring.gap_extend, 40_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Three whole tables would take 3.4 GB.
+    assert peak < 60 << 20
+    assert found.score == rescored(found, scoring) and found.gaps == 280 and found.identities == 11_800
+
+
+@pytest.mark.parametrize("most", [1, 10_000])
+def test_pairs_of_a_hot_record(spark, monkeypatch, most):
+    monkeypatch.setattr(S, "PAIRS_PER_TASK", most)
+    rng = random.Random(9)
+    record = "".join(rng.choice(LETTERS) for _ in range(400))
+    queries = [record[i : i + 40] for i in range(0, 200, 20)]
+    frame = lambda rows: spark.createDataFrame(list(enumerate(rows)), "id INT, text STRING")
+    found = S.search(frame(queries), frame([record, "A"]), size=8, scoring=S.Scoring(lam=0.2, kappa=0.05)).where("segment = 1")
+    assert {(r.query_id, r.db_id, r.score, r.d_from) for r in found.collect()} == {(i, 0, 200, 20 * i + 1) for i in range(10)}
+
+
 def test_segments():
     rng = random.Random(4)
     for scoring in (S.Scoring(match=5, mismatch=-4, gap_open=3, gap_extend=1), S.Scoring(gap_open=0, gap_extend=2)):
