@@ -21,7 +21,7 @@ from recordmill.plans.ordered import Running, dense_positions, ordinal, running
 from recordmill.session import scratch_path, ship_package
 from recordmill.sources import blocks, delimited, joblogs, tables, writers
 from recordmill.sources import reports as xml
-from recordmill.streaming import run_available
+from recordmill.streaming import run_available, windows
 from recordmill.streaming.feeds import parquet_feed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1333,3 +1333,44 @@ def stream_available(spark, sf):
     report = lambda df: records.length_report(df, "doc_id", TXT.letter_count("text").cast("long"))
     run_available(feed, report, out, state)
     return spark.read.schema("id BIGINT, length BIGINT").parquet(out)
+
+
+def _streamed_windows(spark: SparkSession, sf: str, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All events through a stream that is stopped, taken up again and closed."""
+    path = f"{sf}/events*.parquet"
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    closing, out, state = (scratch_path(spark, f"windows-{c}") for c in ("closing", "out", "state"))
+
+    def shaped(feed: DataFrame) -> DataFrame:
+        cents = F.round(F.col("value") * 100).cast("long").alias("cents")
+        return transform(feed.select(F.timestamp_micros(timelines.wall_micros("ts")).alias("at"), "user_id", "event_type", cents))
+
+    feed = lambda: windows.closable_feed(spark, path, closing, schema)
+    windows.run_windows(spark, feed, shaped, out, state)
+    windows.close(spark, closing, schema, "ts")
+    windows.run_windows(spark, feed, shaped, out, state)
+    return spark.read.parquet(out)
+
+
+@query("""
+SELECT event_type, epoch_us(date_trunc('hour', ts)) AS start_us, epoch_us(date_trunc('hour', ts)) + 3600000000 AS end_us,
+  count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents
+FROM events WHERE ts IS NOT NULL GROUP BY ALL
+""")
+def stream_tumbling_windows(spark, sf):
+    """Events of each kind and hour, counted by a stream with a watermark."""
+    totals = [F.count("*").alias("n"), F.sum("cents").alias("cents")]
+    return _streamed_windows(spark, sf, lambda feed: windows.tumbling(feed, "at", "1 hour", "1 day", ["event_type"], totals))
+
+
+@query("""
+WITH e AS (SELECT user_id, epoch_us(ts) AS t, CAST(round(value * 100) AS BIGINT) AS c FROM events WHERE ts IS NOT NULL),
+m AS (SELECT *, CASE WHEN t - lag(t) OVER w <= 21600000000 THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t) AS k FROM m)
+SELECT user_id, min(t) AS start_us, max(t) + 21600000000 AS end_us, count(*) AS n, CAST(sum(c) AS BIGINT) AS cents
+FROM s GROUP BY user_id, k
+""")
+def stream_session_windows(spark, sf):
+    """Sessions of each user, ended by six quiet hours, built by a stream with a watermark."""
+    totals = [F.count("*").alias("n"), F.sum("cents").alias("cents")]
+    return _streamed_windows(spark, sf, lambda feed: windows.sessions(feed, "at", "6 hours", "1 day", ["user_id"], totals))
