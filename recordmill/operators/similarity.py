@@ -492,13 +492,18 @@ def screen_strength(score: Column, q_from: Column, q_to: Column, q_len: Column)
 
 
 def screen(
-    records: DataFrame, contaminants: DataFrame, id_column: str, text: str, *, size: int = 11, min_seeds: int = 1
+    records: DataFrame, contaminants: DataFrame, id_column: str, text: str, *, size: int = 6, min_seeds: int | None = None
 ) -> DataFrame:
     """(record_id, contaminant_id, q_from, q_to, score, strength): all screened segments.
 
-    The weakest match scores 16; with at most one other letter in it, it holds a run of 11,
-    which the default seeds find.  Smaller words also find weak matches with more.
+    No segment is missed with the default seeds: one that scores s with m other letters in it has
+    m + 1 runs of s + 5m equal letters in all, and so at least s + 5m - 5(m + 1) = s - 5 words of
+    six, all on one diagonal.  Larger words are faster, but miss segments whose other letters
+    stand close: words of 11 are sure to find only segments with one other letter.
     """
+    if min_seeds is None:
+        least = min(min(pair) for pair in SCREEN_STRENGTHS.values())
+        min_seeds = least + SCREEN_SCORING.mismatch if size == 6 else 1
     found = seeds(contaminants, records, id_column, text, size=size, min_seeds=min_seeds)
     weakest = min(min(pair) for pair in SCREEN_STRENGTHS.values())
     flat = ungapped_segments(found, contaminants, records, id_column, text, SCREEN_SCORING, weakest)

@@ -1001,12 +1001,13 @@ def _segments(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.search(queries, documents, "id", "text", size=WORD, scoring=SEARCH_SCORING)
 
 
-SCREEN_WORD = 11
+# Words of six letters, eleven of them on a diagonal: no segment that scores 16 has fewer.
+SCREEN_WORD, SCREEN_SEEDS = 6, 11
 
 
 # Each step finds the best stretch of every open region and opens what lies on both sides of it.
 @query(f"""
-WITH RECURSIVE {_seeds_sql(SCREEN_WORD, 1)},
+WITH RECURSIVE {_seeds_sql(SCREEN_WORD, SCREEN_SEEDS)},
 gain AS MATERIALIZED (SELECT query_id, db_id, diagonal, i, length(qs) AS q_len, length(ds) AS d_len,
     CASE WHEN substr(qs, i, 1) = substr(ds, i + diagonal, 1) THEN 1 ELSE -5 END AS g
   FROM (SELECT query_id, db_id, diagonal, q.s AS qs, d.s AS ds,
@@ -1045,9 +1046,9 @@ SELECT db_id AS record_id, query_id AS contaminant_id, CAST(a AS BIGINT) AS q_fr
 FROM graded WHERE strength IS NOT NULL
 """)
 def screen_segments(spark, sf):
-    """Documents screened for passages of the benchmark: every segment of every seeded diagonal."""
+    """Documents screened for passages of the benchmark: every segment of every diagonal."""
     queries, documents = _sides(spark, sf)
-    found = similarity.screen(documents, queries, "id", "text", size=SCREEN_WORD)
+    found = similarity.screen(documents, queries, "id", "text", size=SCREEN_WORD, min_seeds=SCREEN_SEEDS)
     return found.withColumns({c: F.col(c).cast("long") for c in ("q_from", "q_to")})
 
 

@@ -222,6 +222,33 @@ def test_screen_and_profile(spark):
     assert {(r.db_id, r.score) for r in found} >= {(0, 36), (1, 36), (2, 36)}
 
 
+def test_screen_misses_nothing(spark):
+    rng = random.Random(12)
+    vectors = ["".join(rng.choice("ACGT") for _ in range(n)) for n in (42, 90, 160)]
+    other = lambda c: rng.choice([x for x in "ACGT" if x != c])
+    change = lambda v, places: "".join(other(c) if i in places else c for i, c in enumerate(v))
+    # Three others at 10, 21 and 32 leave runs of ten; every seventh letter leaves runs of six.
+    docs = [change(vectors[0], {10, 21, 32}), change(vectors[2], set(range(6, 160, 7)))]
+    docs += [change(v, set(rng.sample(range(len(v)), k))) for v in vectors for k in (2, 5, 9, 14)]
+    docs = ["".join(rng.choice("ACGT") for _ in range(30)) + d for d in docs] + docs[:1]
+    want = set()
+    for v, a in enumerate(vectors):
+        for d, b in enumerate(docs):
+            for diagonal in range(-len(a) + 1, len(b)):
+                at = [i for i in range(len(a)) if 0 <= i + diagonal < len(b)]
+                gains = np.array([1 if a[i] == b[i + diagonal] else -5 for i in at])
+                for hit in S._stretches(gains, 16):
+                    q_from = at[0] + diagonal + hit["first"] + 1
+                    q_to = at[0] + diagonal + hit["last"] + 1
+                    end = q_from <= 25 or q_to > len(b) - 25
+                    if hit["score"] >= (16 if end else 23):
+                        want.add((d, v, q_from, q_to, hit["score"]))
+    frame = lambda rows: spark.createDataFrame(list(enumerate(rows)), "id INT, text STRING")
+    found = S.screen(frame(docs), frame(vectors), "id", "text").collect()
+    assert {(r.record_id, r.contaminant_id, r.q_from, r.q_to, r.score) for r in found} == want
+    assert (len(docs) - 1, 0, 1, 42, 24) in want and len(want) > 8
+
+
 def test_lambda_and_matrix():
     scores = np.where(np.eye(4, dtype=bool), 1, -1)
     lam = S.solve_lambda(scores, np.full(4, 0.25))
