@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from recordmill.functions.alignment import LOW, best_end, segments
 from recordmill.functions.text import letter_count, letters
+from recordmill.operators.masking import unmasked
 from recordmill.session import materialize
 
 #: Size of the replicated filter of query words at most, as a power of two (128 MiB).
@@ -226,25 +227,43 @@ def seeds(
     *,
     size: int,
     min_seeds: int = 2,
+    mask: DataFrame | None = None,
+    query_mask: DataFrame | None = None,
 ) -> DataFrame:
     """(query_id, db_id, diagonal, seeds): diagonals holding at least ``min_seeds`` words.
 
+    Words that meet an interval of ``mask`` in the collection, or of ``query_mask`` in a query
+    (see :mod:`recordmill.operators.masking`), are no seeds.
+
     The collection is scanned where it lies, past a replicated filter of bounded size that
     the tasks build from the query words; only words that pass become rows.  These are
     joined with the query words; a word with many matches is dealt over as many tasks as
     its count asks for.  Seeds are counted map-side before the shuffle on (query, record,
     diagonal).
     """
-    wanted = words(queries, id_column, text, size).select(F.col("id").alias("query_id"), F.col("at").alias("q_at"), "word")
-    return seeds_of_words(wanted, collection, id_column, text, size=size, min_seeds=min_seeds)
+    asked = words(queries, id_column, text, size)
+    if query_mask is not None:
+        asked = unmasked(asked, query_mask, size)
+    wanted = asked.select(F.col("id").alias("query_id"), F.col("at").alias("q_at"), "word")
+    return seeds_of_words(wanted, collection, id_column, text, size=size, min_seeds=min_seeds, mask=mask)
 
 
 def seeds_of_words(
-    wanted: DataFrame, collection: DataFrame, id_column: str, text: str, *, size: int, min_seeds: int
+    wanted: DataFrame,
+    collection: DataFrame,
+    id_column: str,
+    text: str,
+    *,
+    size: int,
+    min_seeds: int,
+    mask: DataFrame | None = None,
 ) -> DataFrame:
     """The rows of :func:`seeds` for any words ``wanted`` (query_id, q_at, word)."""
     wanted = materialize(wanted, "query-words")
-    offered = materialize(matching_words(collection, id_column, text, size, wanted), "matches")
+    offered = matching_words(collection, id_column, text, size, wanted)
+    if mask is not None:
+        offered = unmasked(offered, mask, size)
+    offered = materialize(offered, "matches")
     counts = offered.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > HOT_WORD)
     # At most one row per HOT_WORD matches.
     hot = F.broadcast(counts.select("word", F.ceil(F.col("n") / HOT_WORD).cast("int").alias("parts")))
@@ -454,15 +473,21 @@ def search(
     min_seeds: int = 2,
     scoring: Scoring,
     max_evalue: float = 10.0,
+    mask: DataFrame | None = None,
+    query_mask: DataFrame | None = None,
 ) -> DataFrame:
     """Hits of every query in the collection: all segments of a pair, the best one first.
 
+    Masks are soft: masked words are no seeds, but alignments may run through them.
+
     Returns query_id, db_id, q_len, d_len, segment, score, bits, evalue, the 1-based bounds,
     identities, gaps and the aligned strings.  Expected hits are measured against all letters
     of the collection; ``scoring`` must carry its statistics.
     """
     lam, kappa = scoring.statistics()
-    found = seeds(queries, collection, id_column, text, size=size, min_seeds=min_seeds)
+    found = seeds(
+        queries, collection, id_column, text, size=size, min_seeds=min_seeds, mask=mask, query_mask=query_mask
+    )
     total = float(collection.agg(F.sum(letter_count(text))).first()[0] or 0)
     # A smaller score has an e-value above max_evalue.
     least = F.greatest(F.lit(1), F.floor(F.log(F.lit(kappa * total / max_evalue) * F.col("q_len")) / lam))

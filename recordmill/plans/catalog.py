@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from recordmill.functions import residues as RES
 from recordmill.functions import text as TXT
-from recordmill.operators import clustering, inverted, packing, provenance, records, recovery
+from recordmill.operators import clustering, inverted, masking, packing, provenance, records, recovery
 from recordmill.operators import reports as rep
 from recordmill.operators import retrieval, sampling, similarity, taxonomy, timelines
 from recordmill.plans.ordered import Running, dense_positions, ordinal, running
 from recordmill.session import scratch_path, ship_package
-from recordmill.sources import blocks, delimited, joblogs, tables, writers
+from recordmill.sources import blocks, collection, delimited, joblogs, tables, writers
 from recordmill.sources import reports as xml
 from recordmill.streaming import run_available, windows
 from recordmill.streaming.feeds import parquet_feed
@@ -938,6 +938,95 @@ def kmer_seed_join(spark, sf):
     return found.withColumn("diagonal", F.col("diagonal").cast("long"))
 
 
+# Formatted collections and masks -------------------------------------------------
+
+
+def _collection(spark: SparkSession, sf: str) -> collection.Collection:
+    """All documents in seven volumes of about equal letters, named by number and source."""
+    names = F.array(F.concat(F.lit("doc"), F.col("doc_id")), F.col("source"))
+    path = scratch_path(spark, "collection")
+    documents = _documents(spark, sf).withColumn("names", names)
+    return collection.write_collection(documents, path, id_column="doc_id", text="text", names="names", volumes=7)
+
+
+_LETTERS_SQL = "upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g'))"
+_VOLUMES_SQL = f"""
+l AS (SELECT *, {_LETTERS_SQL} AS s, length({_LETTERS_SQL}) AS n FROM documents),
+v AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS position,
+  CAST(floor((sum(n) OVER (ORDER BY doc_id) - n) / greatest(1, ceil((SELECT sum(n) FROM l) / 7))) AS INTEGER) AS volume FROM l)
+"""
+
+
+@query(f"""
+WITH {_VOLUMES_SQL} SELECT volume, count(*) AS records, CAST(sum(n) AS BIGINT) AS letters, max(n) AS longest,
+  min(position) AS first_position, max(position) AS last_position FROM v GROUP BY volume
+""")
+def collection_volumes(spark, sf):
+    """Documents formatted into volumes by their running sum of letters."""
+    return _collection(spark, sf).volumes
+
+
+@query(f"""
+WITH {_VOLUMES_SQL} SELECT doc_id AS id, volume, substr(s, 11, 50) AS sequence FROM v
+WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)
+  AND (volume IN (0, 2) OR volume = 5 AND lang = 'en') AND source <> 'src0'
+""")
+def collection_fetch(spark, sf):
+    """Batch retrieval through an alias of volumes and of an alias, both with id lists."""
+    stored, documents = _collection(spark, sf), _documents(spark, sf)
+    stored.write_alias("english", [5], ids=documents.where("lang = 'en'").select("doc_id"))
+    stored.write_alias("chosen", [0, 2, "english"], ids=documents.where("source <> 'src0'").select("doc_id"))
+    good = tables.table(spark, sf, "labels").where("quality = 1").select("doc_id")
+    sequence = RES.subsequence(TXT.letters(F.coalesce("text", F.lit(""))), 11, 60)
+    return stored.fetch(good, "chosen").select(F.col("doc_id").alias("id"), "volume", sequence.alias("sequence"))
+
+
+@query("""
+SELECT 'src3' AS name, doc_id FROM documents WHERE source = 'src3'
+UNION ALL SELECT 'doc17', doc_id FROM documents WHERE doc_id = 17
+""")
+def collection_lookup(spark, sf):
+    """Records by name: a source, which many records share, and a number."""
+    return _collection(spark, sf).lookup(["src3", "doc17", "absent"])
+
+
+_COMPLEXITY_SQL = f"""
+x AS (SELECT doc_id AS id, unnest(string_split(s, '')) AS c, unnest(generate_series(0, length(s) - 1)) AS pos
+  FROM (SELECT doc_id, {_LETTERS_SQL} AS s FROM documents) WHERE s <> ''),
+p AS (SELECT id, pos, count(*) OVER (PARTITION BY id, c ORDER BY pos RANGE BETWEEN 11 PRECEDING AND 1 PRECEDING) AS back,
+  count(*) OVER (PARTITION BY id, c ORDER BY pos RANGE BETWEEN 1 FOLLOWING AND 11 FOLLOWING) AS ahead FROM x),
+g AS (SELECT id, pos, back - coalesce(lag(ahead, 12) OVER (PARTITION BY id ORDER BY pos), 0) AS gain FROM p),
+h AS (SELECT id, pos, sum(gain) OVER (PARTITION BY id ORDER BY pos) AS pairs FROM g),
+k AS (SELECT id, pos - 11 AS a, CASE WHEN pos - lag(pos) OVER (PARTITION BY id ORDER BY pos) <= 12 THEN 0 ELSE 1 END AS fresh
+  FROM h WHERE pos >= 11 AND pairs >= 14),
+r AS (SELECT id, a, sum(fresh) OVER (PARTITION BY id ORDER BY a) AS run FROM k),
+masks AS (SELECT id, min(a) AS start, max(a) + 12 AS stop FROM r GROUP BY id, run)
+"""
+
+
+@query(f"WITH {_COMPLEXITY_SQL} SELECT * FROM masks")
+def low_complexity_masks(spark, sf):
+    """Intervals of documents in which twelve letters hold fourteen or more equal pairs."""
+    return masking.low_complexity(_documents(spark, sf), "doc_id", "text", window=12, least=14)
+
+
+@query(f"""
+WITH {_seeds_sql(WORD, 1)}, {_COMPLEXITY_SQL},
+met AS (SELECT query_id, db_id, dw.i - qw.i AS diagonal, dw.i - 1 AS pos FROM dw JOIN qw USING (word))
+SELECT query_id, db_id, CAST(diagonal AS BIGINT) AS diagonal, count(*) AS seeds FROM met
+WHERE NOT EXISTS (SELECT 1 FROM masks WHERE id = db_id AND start < pos + {WORD} AND stop > pos)
+GROUP BY ALL HAVING count(*) >= 2
+""")
+def masked_seeds(spark, sf):
+    """Seeds of the benchmark outside the masks stored with the collection."""
+    stored = _collection(spark, sf)
+    stored.add_mask("low", masking.low_complexity(stored.records, "doc_id", "text", window=12, least=14))
+    queries = tables.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
+    records = stored.records.select(F.col("doc_id").alias("id"), "text")
+    found = similarity.seeds(queries, records, "id", "text", size=WORD, mask=stored.masks("low"))
+    return found.withColumn("diagonal", F.col("diagonal").cast("long"))
+
+
 @query(f"""
 WITH {_SEEDS_SQL}, {_ungapped_sql("q", "d", 5, -4)}
 SELECT query_id, db_id, diagonal, seeds, score, q_from, q_to, CAST(q_from + diagonal AS BIGINT) AS d_from,
