@@ -938,6 +938,41 @@ def kmer_seed_join(spark, sf):
     return found.withColumn("diagonal", F.col("diagonal").cast("long"))
 
 
+def _gathered(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
+    """Turns as blocks, gathered together with a file that holds none; manifest and folder."""
+    source, foreign, out = (scratch_path(spark, f"gather-{c}") for c in ("in", "foreign", "out"))
+    line = F.concat_ws(" ", "conv_id", "turn", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
+    turns = tables.table(spark, sf, "conversations").select(F.concat(line, F.lit("\n")).alias("payload"))
+    blocks.write_blocks(turns, source)
+    names = tables.table(spark, sf, "region").coalesce(1).select(  # five rows
+        F.lit(0).alias("stream"), F.col("r_regionkey").alias("voffset"), F.encode("r_name", "UTF-8").alias("payload")
+    )
+    blocks.write_chunks(names, foreign)
+    return blocks.gather_blocks(spark, [source, f"{foreign}/*.out"], out, part_bytes=4 << 20), out
+
+
+@query("""
+SELECT 'blocks' AS kind, count(*) AS blocks, CAST(0 AS BIGINT) AS failed FROM conversations
+UNION ALL SELECT 'foreign', 0, 1
+""")
+def gather_manifest(spark, sf):
+    """Blocks gathered and files that failed, by the manifest of the gathering."""
+    manifest, _ = _gathered(spark, sf)
+    kind = F.when(F.col("file").endswith(".out"), "foreign").otherwise("blocks")
+    return manifest.groupBy(kind.alias("kind")).agg(F.sum("blocks").alias("blocks"), F.sum("failed").alias("failed"))
+
+
+@query("""
+SELECT conv_id, CAST(turn AS BIGINT) AS turn, md5(coalesce(text, '')) AS digest FROM conversations
+""")
+def gather_lines(spark, sf):
+    """All turns, read from the numbered parts of a gathering that met a damaged file."""
+    _, out = _gathered(spark, sf)
+    parts = spark.read.option("pathGlobFilter", "part-*").text(out)
+    fields = F.split("value", " ")
+    return parts.select(fields[0].cast("long").alias("conv_id"), fields[1].cast("long").alias("turn"), fields[2].alias("digest"))
+
+
 # Formatted collections and masks -------------------------------------------------
 
 

@@ -18,12 +18,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from recordmill.plans.ordered import Running, dense_positions, running
+from recordmill.session import materialize
 from recordmill.sources.delimited import Paths
 
 # Binary layouts.
@@ -58,38 +62,53 @@ def list_files(spark: SparkSession, paths: Paths, *, glob: str | None = None, re
     return reader.load(paths).select(F.col("path").alias("file"), F.col("length").alias("size"))
 
 
-def read_block_index(files: DataFrame, version: int = 1) -> DataFrame:
-    """(file, block_id, at, stored_size) for every block; payload bytes are skipped."""
+def read_block_index(files: DataFrame, version: int = 1, *, skip_bad: bool = False) -> DataFrame:
+    """(file, block_id, at, stored_size) for every block; payload bytes are skipped.
+
+    A damaged header fails the job.  With ``skip_bad`` it ends its file, as nothing says where
+    the next block starts: a last row without size carries what is wrong in an ``error`` column.
+    """
+    columns = ["file", "block_id", "at", "stored_size", "error"]
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = lambda rows: pd.DataFrame(rows, columns=columns).astype({"stored_size": "Int64"})[columns[: 5 if skip_bad else 4]]
         for batch in batches:
             for file, size in zip(batch["file"], batch["size"]):
-                with open_input(file) as handle:
-                    rows, block_id = [], 0
-                    head_bytes = struct.calcsize(LENGTH if version == 1 else V2_HEAD)
-                    while head := handle.read(head_bytes):
-                        if version == 2:
-                            if len(head) < head_bytes:
-                                raise ValueError(f"{file}: truncated block header")
-                            _, count = struct.unpack(V2_HEAD, head)
-                            handle.seek(count * V2_ENTRY_BYTES, os.SEEK_CUR)
-                            head = handle.read(struct.calcsize(LENGTH))
-                        if len(head) < struct.calcsize(LENGTH):
-                            raise ValueError(f"{file}: truncated block header")
-                        (stored,) = struct.unpack(LENGTH, head)
-                        at = handle.tell()
-                        if stored < 0 or at + stored > size:
-                            raise ValueError(f"{file}: truncated block {block_id}")
-                        rows.append((file, block_id, at, stored))
-                        handle.seek(stored, os.SEEK_CUR)
-                        block_id += 1
-                        if len(rows) == 10_000:
-                            yield pd.DataFrame(rows, columns=["file", "block_id", "at", "stored_size"])
-                            rows = []
-                    if rows:
-                        yield pd.DataFrame(rows, columns=["file", "block_id", "at", "stored_size"])
-
-    return files.repartition("file").mapInPandas(walk, BLOCK_SCHEMA)
+                rows, block_id, at = [], 0, 0
+                try:
+                    with open_input(file) as handle:
+                        for at, stored in _walk_blocks(handle, size, version):
+                            rows.append((file, block_id, at, stored, None))
+                            block_id += 1
+                            if len(rows) == 10_000:
+                                yield frame(rows)
+                                rows = []
+                except (OSError, ValueError) as bad:
+                    if not skip_bad:
+                        raise ValueError(f"{file}: block {block_id}: {bad}") from bad
+                    rows.append((file, block_id, at, None, str(bad)))
+                if rows:
+                    yield frame(rows)
+
+    return files.repartition("file").mapInPandas(walk, BLOCK_SCHEMA + ", error STRING" if skip_bad else BLOCK_SCHEMA)
+
+
+def _walk_blocks(handle, size: int, version: int) -> Iterator[tuple[int, int]]:
+    """(at, stored size) of the payload of every block of an open file."""
+    head_bytes, length_bytes = struct.calcsize(LENGTH if version == 1 else V2_HEAD), struct.calcsize(LENGTH)
+    while head := handle.read(head_bytes):
+        if version == 2 and len(head) == head_bytes:
+            _, count = struct.unpack(V2_HEAD, head)
+            handle.seek(count * V2_ENTRY_BYTES, os.SEEK_CUR)
+            head = handle.read(length_bytes)
+        if len(head) < length_bytes:
+            raise ValueError("truncated block header")
+        (stored,) = struct.unpack(LENGTH, head)
+        at = handle.tell()
+        if stored < 0 or at + stored > size:
+            raise ValueError("truncated block")
+        yield at, stored
+        handle.seek(stored, os.SEEK_CUR)
 
 
 def read_blocks(
@@ -97,20 +116,26 @@ def read_blocks(
 ) -> DataFrame:
     """(file, block_id, stored_size, payload): every block inflated.
 
-    A damaged block fails the job.  With ``skip_bad`` it stays as a row without payload, and
-    an ``error`` column says what is wrong with it.
+    A damaged block or header fails the job.  With ``skip_bad`` it stays as a row without
+    payload, and an ``error`` column says what is wrong with it; behind a damaged header the
+    rest of its file is unknown.
     """
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["file", "block_id", "stored_size", "payload", "error"][: 5 if skip_bad else 4]
+        frame = lambda rows: pd.DataFrame(rows, columns=columns).astype({"stored_size": "Int64"})
         for batch in batches:
+            if skip_bad:
+                lost = batch[batch["error"].notna()]
+                yield frame([(r.file, r.block_id, None, None, r.error) for r in lost.itertuples(index=False)])
+                batch = batch[batch["error"].isna()]
             for file, rows in batch.groupby("file", sort=False):
                 with open_input(file) as handle:
                     out, held = [], 0
                     for row in rows.itertuples(index=False):
-                        handle.seek(row.at)
+                        handle.seek(int(row.at))
                         try:
-                            payload, error = zlib.decompress(handle.read(row.stored_size)), None
+                            payload, error = zlib.decompress(handle.read(int(row.stored_size))), None
                         except zlib.error as bad:
                             if not skip_bad:
                                 raise
@@ -118,11 +143,11 @@ def read_blocks(
                         out.append((file, row.block_id, row.stored_size, payload, error)[: len(columns)])
                         held += len(payload or b"")
                         if held > BATCH_BYTES:
-                            yield pd.DataFrame(out, columns=columns)
+                            yield frame(out)
                             out, held = [], 0
-                    yield pd.DataFrame(out, columns=columns)
+                    yield frame(out)
 
-    index = read_block_index(list_files(spark, paths, **kw), version)
+    index = read_block_index(list_files(spark, paths, **kw), version, skip_bad=skip_bad)
     # Spread the blocks of one large file over all tasks before inflating.
     spread = index.repartition("file", "block_id")
     schema = "file STRING, block_id BIGINT, stored_size BIGINT, payload BINARY"
@@ -214,6 +239,64 @@ class _ChunkWriter(_PartWriter):
         return count
 
 
+class _GatherWriter(_PartWriter):
+    """Rows (part, file, payload, error), sorted by part: one file per part, and a manifest per task."""
+
+    def write(self, rows) -> WriterCommitMessage:
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        system, folder = locate(self.uri)
+        system.create_dir(folder)
+        attempt, staged, tally = f"{folder}/.attempt-{context.taskAttemptId()}", [], {}
+        part = out = None
+        try:
+            for row in rows:
+                seen = tally.setdefault((row["part"], row["file"]), [0, 0, 0, None])
+                if row["payload"] is None:
+                    seen[2] += 1
+                    seen[3] = seen[3] or row["error"]
+                    continue
+                if out is None or row["part"] != part:
+                    if out is not None:
+                        out.close()
+                    part = row["part"]
+                    staged.append((f"{attempt}-{part}", f"{folder}/part-{part:05d}"))
+                    out = system.open_output_stream(staged[-1][0])
+                out.write(bytes(row["payload"]))
+                seen[0] += 1
+                seen[1] += len(row["payload"])
+        finally:
+            if out is not None:
+                out.close()
+        if tally:
+            staged.append((f"{attempt}-manifest", f"{folder}/manifest-{context.partitionId():05d}.parquet"))
+            lines = [(file, part, *seen) for (part, file), seen in tally.items()]
+            table = pa.Table.from_pylist([dict(zip(_MANIFEST.names, line)) for line in lines], _MANIFEST)
+            with system.open_output_stream(staged[-1][0]) as sink:
+                pq.write_table(table, sink)
+        return _Parts(staged, len(tally))
+
+
+_MANIFEST = pa.schema(
+    [("file", pa.string()), ("part", pa.int64()), ("blocks", pa.int64()), ("bytes", pa.int64()), ("failed", pa.int64()), ("error", pa.string())]
+)
+
+
+class GatherDataSource(DataSource):
+    """Sink ``recordmill_gather``: payloads in numbered parts, and what failed in a manifest."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "recordmill_gather"
+
+    def schema(self) -> str:
+        return "part BIGINT, file STRING, payload BINARY, error STRING"
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        return _GatherWriter(self.options, overwrite)
+
+
 class BlockDataSource(DataSource):
     """Sink ``recordmill_blocks``: payload rows in, one file of blocks per task out."""
 
@@ -254,6 +337,42 @@ def write_blocks(df: DataFrame, path: str, *, payload: str = "payload", version:
     )
 
 
+def gather_blocks(
+    spark: SparkSession, paths: Paths, out: str, *, version: int = 1, part_bytes: int = 128 << 20, force: bool = False, **kw
+) -> DataFrame:
+    """Inflate all blocks into ``part-00000``, ``part-00001``, … and return the manifest.
+
+    Read in the order of their numbers, the parts hold the payloads in the order of file and block;
+    a part has ``part_bytes`` and what its last block has beyond them.  A damaged block is left out, and so is the rest of
+    a file behind a damaged header; the manifest names both.  It is written in the same commit
+    as the parts, so either all of it is there or nothing.
+    """
+    spark.dataSource.register(GatherDataSource)
+    found = materialize(read_blocks(spark, paths, version=version, skip_bad=True, **kw), "inflated")
+    narrow = found.select("file", "block_id", F.coalesce(F.length("payload"), F.lit(0)).cast("long").alias("n"))
+    placed = running(
+        dense_positions(narrow, ["file", "block_id"], "position"), "position", [Running("before", F.col("n"), exclusive=True)]
+    )
+    part = F.expr(f"coalesce(before, 0) div {int(part_bytes)}")
+    rows = found.join(placed.select("file", "block_id", "position", part.alias("part")), ["file", "block_id"])
+    dealt = rows.repartition("part").sortWithinPartitions("part", "position").select("part", "file", "payload", "error")
+    dealt.write.format("recordmill_gather").mode("overwrite" if force else "append").save(out)
+    return read_manifest(spark, out)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(file, first_part, last_part, blocks, bytes, failed, error): one row per gathered file that is not empty."""
+    pieces = spark.read.schema("file STRING, part BIGINT, blocks BIGINT, bytes BIGINT, failed BIGINT, error STRING")
+    return pieces.option("pathGlobFilter", "manifest-*.parquet").parquet(path).groupBy("file").agg(
+        F.min(F.when(F.col("blocks") > 0, F.col("part"))).alias("first_part"),
+        F.max(F.when(F.col("blocks") > 0, F.col("part"))).alias("last_part"),
+        F.sum("blocks").alias("blocks"),
+        F.sum("bytes").alias("bytes"),
+        F.sum("failed").alias("failed"),
+        F.min_by("error", F.when(F.col("error").isNotNull(), F.col("part"))).alias("error"),
+    )
+
+
 def write_chunks(df: DataFrame, path: str, *, force: bool = False) -> None:
     """Write (stream, voffset, payload) rows as data files with chunk indexes."""
     df.sparkSession.dataSource.register(ChunkDataSource)
