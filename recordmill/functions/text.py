@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -117,3 +122,14 @@ def deflines(header: Column | str) -> Column:
 def percent_done(done: Column | str, total: Column | str) -> Column:
     """Whole percent, rounded down."""
     return F.floor(F.lit(100) * _col(done) / _col(total)).cast("long")
+
+
+def text_runs(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with at most ``most`` bytes of a non-null text column, or one longer row."""
+    sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+    ends, first = np.cumsum(sizes, dtype=np.int64), 0
+    while first < len(ends):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(first, last - first)
+        first = last

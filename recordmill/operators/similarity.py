@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordmill.functions.alignment import LOW, best_end, segments
-from recordmill.functions.text import letter_count, letters
+from recordmill.functions.text import letter_count, letters, text_runs
 from recordmill.operators.masking import unmasked
 from recordmill.session import materialize
 
@@ -109,6 +109,8 @@ def fit_statistics(scoring: Scoring, frequencies: Mapping[str, float], *, length
 
 WINDOW = 32
 SCAN_LETTERS = 1 << 16
+#: Text that a task scans at a time, unless one record is longer.
+SCAN_BYTES = 1 << 22
 
 
 def words(records: DataFrame, id_column: str, text: str, size: int) -> DataFrame:
@@ -185,16 +187,15 @@ def matching_words(records: DataFrame, id_column: str, text: str, size: int, wan
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for batch in batches:
+        for batch in (run for batch in batches for run in text_runs(batch, "text", SCAN_BYTES)):
             column = batch.column("text").cast(pa.large_string())
             offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset :][: len(column) + 1]
             data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
             # Bytes of longer UTF-8 characters are above the letters, so the
             # letters of a record can be picked byte by byte.
-            data = upper[data]
-            is_letter = data > 0
-            kept = np.concatenate([[0], np.cumsum(is_letter)])
-            data, starts = data[is_letter], kept[offsets - offsets[0]]
+            data, offsets = upper[data], offsets - offsets[0]
+            kept = [np.count_nonzero(data[first:last]) for first, last in zip(offsets, offsets[1:])]
+            data, starts = data[data > 0], np.concatenate([[0], np.cumsum(kept)]).astype(np.int64)
             near = [np.zeros(0, dtype=np.int64)]
             for begin in range(0, len(data) - size + 1, SCAN_LETTERS):
                 part = data[begin : begin + SCAN_LETTERS + size - 1]

@@ -104,3 +104,13 @@ def test_positive_int(bad):
 def test_de_bruijn():
     words = list(distinct_words("ACG", 3))
     assert len(de_bruijn("ACG", 3)) == 27 and len(set(words)) == 27
+
+
+def test_text_runs():
+    import pyarrow as pa
+
+    texts = ["abc", "", "é" * 4, "x" * 30, "", "ab", "abcdefgh"]
+    batch = pa.RecordBatch.from_pydict({"text": texts}).slice(1)
+    runs = [r.column(0).to_pylist() for r in T.text_runs(batch, "text", 10)]
+    assert runs == [["", "é" * 4], ["x" * 30], ["", "ab", "abcdefgh"]]
+    assert [len(r) for r in T.text_runs(batch.slice(0, 0), "text", 10)] == []
