@@ -345,7 +345,8 @@ def gather_blocks(
     Read in the order of their numbers, the parts hold the payloads in the order of file and block;
     a part has ``part_bytes`` and what its last block has beyond them.  A damaged block is left out, and so is the rest of
     a file behind a damaged header; the manifest names both.  It is written in the same commit
-    as the parts, so either all of it is there or nothing.
+    as the parts: files are renamed one by one when all tasks are done, so a driver lost in
+    that moment leaves some of them hidden.
     """
     spark.dataSource.register(GatherDataSource)
     found = materialize(read_blocks(spark, paths, version=version, skip_bad=True, **kw), "inflated")
