@@ -78,6 +78,17 @@ def parse_documents(documents: DataFrame, schema: str = REPORT_SCHEMA) -> DataFr
 
 
 def read_iterations(spark: SparkSession, paths: Paths, schema: str = ITERATION_SCHEMA) -> DataFrame:
-    """Iterations as rows, straight from the file: for merged documents of any size."""
-    reader = spark.read.format("xml").option("rowTag", "Iteration").option("mode", "FAILFAST")
-    return reader.schema(schema.replace("\n", " ")).load(paths)
+    """Iterations as rows, straight from the file: for merged documents of any size.
+
+    A merged document may be stored as ordered parts, each with some of its iterations and
+    none of them a document of its own.  So files are cut at iterations as text, in parallel
+    splits, and every iteration is parsed alone; one that does not parse or end fails the job.
+    """
+    pieces = spark.read.option("lineSep", "<Iteration>").text(paths)
+    # A piece without an end is blank or a document's head, or else a broken iteration.
+    head = (F.trim(F.translate("value", "\r\n\t", "")) == "") | F.contains("value", F.lit("<BlastOutput"))
+    ended = F.contains("value", F.lit("</Iteration>"))
+    inside = F.concat(F.lit("<Iteration>"), F.substring_index("value", "</Iteration>", 1))
+    whole = F.when(ended, F.concat(inside, F.lit("</Iteration>"))).otherwise(inside)
+    parsed = F.from_xml(whole, schema.replace("\n", " "), {"mode": "FAILFAST"})
+    return pieces.where(ended | ~head).select(parsed.alias("iteration")).select("iteration.*")

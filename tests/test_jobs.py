@@ -231,6 +231,21 @@ def test_report_merge(spark, report, tmp_path):
     assert [r.iter_num for r in reports.renumber_iterations(parsed).orderBy("iter_num").collect()] == [1, 2]
 
 
+def test_merged_parts(spark, report, tmp_path):
+    """A merged document stored as several parts, the later ones without a head; a broken iteration fails."""
+    out = str(tmp_path / "parts")
+    merged = reports.merge_reports(xml.read_documents(spark, report)).coalesce(1).orderBy("line_no").select("value")
+    lines = [r.value for r in merged.collect()]
+    (tmp_path / "parts").mkdir()
+    for k, part in enumerate([lines[:2], lines[2:2], lines[2:] + [lines[1].replace(">1<", ">3<")] * 2]):
+        (tmp_path / "parts" / f"part-{k}").write_text("".join(f"{line}\n" for line in part))
+    back = xml.read_iterations(spark, out)
+    assert sorted(r[0] for r in back.select("`Iteration_iter-num`").collect()) == [1, 2, 3, 3]
+    (tmp_path / "parts" / "part-4").write_text("<Iteration>\n<Iteration_iter-num>4</Iteration_iter-num>\n<Iteration_query-def>cut")
+    with pytest.raises(Exception):
+        xml.read_iterations(spark, out).collect()
+
+
 def test_clusters(spark):
     rng = random.Random(2)
     pairs = [(i, i + 1) for i in range(0, 40) if i % 10 != 9] + [(5, 5)] + [(100, x) for x in range(101, 140)]
