@@ -14,7 +14,7 @@ together, and evaluates AND, OR, BUTNOT and RANGE there on bitmaps.  No record i
 from __future__ import annotations
 
 import zlib
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,8 +23,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Ids of one block at most.
-SPAN = 1 << 16
+SPAN_BITS = 16
+SPAN = 1 << SPAN_BITS
+#: Places of terms that a task holds while it indexes.
+HELD = 1 << 21
+#: Records whose texts a task splits at a time.
+TAKEN = 256
 
+#: Bytes of UTF-8 with white space for all but lower-case letters.
+_LETTERS = bytes(b if 97 <= b <= 122 else 32 for b in range(256))
 
 _POSTINGS = "field STRING, term STRING, block BIGINT, n BIGINT, deltas ARRAY<INT>, bucket INT"
 _DICTIONARY = "field STRING, term STRING, records BIGINT"
@@ -101,35 +108,66 @@ def write_index(
     taken whole, ``numbers`` to whole numbers for ranges.  Ids are integers; a record without
     an id is not indexed, and rows of one id are one record.  Null values give no terms.
     """
-    terms = []
-    for name, column in (words or {}).items():
-        found = F.filter(F.array_distinct(F.split(F.lower(F.coalesce(column, F.lit(""))), "[^a-z]+")), lambda t: t != "")
-        terms.append(_tagged(name, found))
-    for name, column in (keys or {}).items():
-        terms.append(_tagged(name, F.array_compact(F.array(F.col(column).cast("string")))))
-    for name, column in (numbers or {}).items():
-        terms.append(_tagged(name, F.array_compact(F.array(number_term(F.col(column))))))
-    rows = records.where(F.col(id_column).isNotNull()).select(
-        F.col(id_column).cast("long").alias("id"), F.explode(F.concat(*terms)).alias("t")
-    )
-    blocks = rows.groupBy("t.field", "t.term", F.floor(F.col("id") / SPAN).alias("block")).agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    deltas = F.transform("ids", lambda x, i: x - F.when(i == 0, F.col("block") * SPAN).otherwise(F.get("ids", i - 1)))
+    text = {name: F.lower(F.col(column)) for name, column in (words or {}).items()}
+    whole = {name: F.col(column).cast("string") for name, column in (keys or {}).items()}
+    whole |= {name: number_term(F.col(column)) for name, column in (numbers or {}).items()}
+    fields = [(name, split) for part, split in ((text, True), (whole, False)) for name in part]
+    columns = [column.alias(f"f{k}") for k, column in enumerate([*text.values(), *whole.values()])]
+    rows = records.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), *columns)
+    runs = rows.mapInArrow(lambda batches: _tallied(batches, fields), "field STRING, term STRING, block BIGINT, places ARRAY<INT>")
     bucket = F.crc32(F.concat_ws("\0", "field", "term").cast("binary")) % buckets
-    coded = blocks.select("field", "term", "block", F.size("ids").cast("long").alias("n"), deltas.cast("array<int>").alias("deltas"), bucket.alias("bucket"))
-    (
-        coded.repartition("bucket", F.pmod(F.hash("term"), F.lit(8)))
-        .sortWithinPartitions("bucket", "field", "term", "block")
-        .write.partitionBy("bucket")
-        .parquet(f"{path}/postings")
-    )
+    dealt = runs.withColumn("bucket", bucket.cast("int")).withColumn("part", F.pmod(F.hash("term"), F.lit(8))).repartition("bucket", "part")
+    # Bucket and part follow from the term, so the rows already lie where they are grouped and written.
+    places = F.array_sort(F.array_distinct(F.flatten(F.collect_list("places"))))
+    blocks = dealt.groupBy("bucket", "part", "field", "term", "block").agg(places.alias("places"))
+    deltas = F.transform("places", lambda x, i: x - F.when(i == 0, 0).otherwise(F.get("places", i - 1)))
+    coded = blocks.select("field", "term", "block", F.size("places").cast("long").alias("n"), deltas.alias("deltas"), "bucket")
+    coded.sortWithinPartitions("bucket", "field", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
     stored = records.sparkSession.read.schema(_POSTINGS).parquet(f"{path}/postings")
     counts = stored.groupBy("field", "term").agg(F.sum("n").alias("records"))
     counts.sortWithinPartitions("field", "term").write.parquet(f"{path}/dictionary")
-    records.sparkSession.createDataFrame([(buckets,)], "buckets int").write.parquet(f"{path}/settings")
+    records.sparkSession.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(f"{path}/settings")
 
 
-def _tagged(field: str, terms: Column) -> Column:
-    return F.transform(terms, lambda t: F.struct(F.lit(field).alias("field"), t.alias("term")))
+def _tallied(batches: Iterator[pa.RecordBatch], fields: Sequence[tuple[str, bool]]) -> Iterator[pa.RecordBatch]:
+    """(field, term, block, places): the places in a block of the records of a run that hold a term.
+
+    ``fields`` has per column its field and whether its text is split into words.  A task holds
+    the terms of ``HELD`` places at most, and those of one more batch of ``TAKEN`` records.
+    """
+    held: list[list[tuple[pa.Array, np.ndarray]]] = [[] for _ in fields]
+    count = 0
+    for batch in (big.slice(k, TAKEN) for big in batches for k in range(0, big.num_rows, TAKEN)):
+        ids = np.asarray(batch.column(0))
+        for (_, split), own, column in zip(fields, held, batch.columns[1:], strict=True):
+            if split:
+                found = [() if v is None else set(v.translate(_LETTERS).split()) for v in column.cast(pa.binary()).to_pylist()]
+                terms = pa.array([t for words in found for t in words], pa.binary()).cast(pa.string())
+                own.append((terms, np.repeat(ids, [len(words) for words in found])))
+            else:
+                own.append((column.drop_null(), ids[np.asarray(column.is_valid())]))
+            count += len(own[-1][0])
+        if count >= HELD:
+            yield from _runs(fields, held)
+            held, count = [[] for _ in fields], 0
+    yield from _runs(fields, held)
+
+
+def _runs(fields: Sequence[tuple[str, bool]], held: list[list[tuple[pa.Array, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+    for (field, _), own in zip(fields, held, strict=True):
+        if not sum(len(terms) for terms, _ in own):
+            continue
+        terms = pa.chunked_array([terms for terms, _ in own]).combine_chunks().dictionary_encode()
+        ids = np.concatenate([part for _, part in own])
+        code, block = np.asarray(terms.indices), ids >> SPAN_BITS
+        order = np.lexsort((block, code))
+        code, block = code[order], block[order]
+        first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (block[1:] != block[:-1])]))
+        bounds = pa.array(np.append(first, len(code)), pa.int32())
+        places = pa.ListArray.from_arrays(bounds, pa.array((ids[order] & SPAN - 1).astype(np.int32)))
+        names = pa.array([field] * len(first), pa.string())
+        found = [names, terms.dictionary.take(pa.array(code[first])), pa.array(block[first]), places]
+        yield from pa.table(found, names=["field", "term", "block", "places"]).to_batches(max_chunksize=1 << 16)
 
 
 @dataclass

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from recordmill.operators import inverted as I
@@ -76,3 +77,22 @@ def test_empty(spark, tmp_path):
     I.write_index(df, "id", str(tmp_path / "i"), words={"text": "text"})
     found = I.Index.open(spark, str(tmp_path / "i"))
     assert found.retrieve(I.Term("text", "the")).count() == 0 and found.term_counts("text").count() == 0
+
+
+def test_runs():
+    """Terms leave a task once per run and block, however many records hold them."""
+    def batches():
+        for k in range(0, 70_000, 1000):
+            texts = pa.array([f"the ab{'é' if i % 2 else ' '}cd" if i % 7 else None for i in range(k, k + 1000)])
+            yield pa.record_batch([pa.array(range(k - 3, k + 997), pa.int64()), texts, pa.array(["en", None] * 500)], ["id", "f0", "f1"])
+
+    got = {}
+    for batch in I._tallied(batches(), [("text", True), ("lang", False)]):
+        for r in batch.to_pylist():
+            key = r["field"], r["term"], r["block"]
+            assert key not in got
+            got[key] = r["places"]
+    words = [("text", w, b) for w in ("the", "ab", "cd") for b in (-1, 0, 1)]
+    assert set(got) == {*words, *(("lang", "en", b) for b in (-1, 0, 1))}
+    for key in words:
+        assert [p + key[2] * I.SPAN for p in got[key]] == [i - 3 for i in range(70_000) if i % 7 and (i - 3) // I.SPAN == key[2]]
