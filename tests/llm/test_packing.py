@@ -87,3 +87,13 @@ def test_neighbours_share_a_window():
     for piece, _, length, sequence, _ in placed:
         together[sequence].append((piece, length))
     assert together[0] == [(0, 300), (2, 212)] and together[1][:2] == [(1, 300), (3, 212)]
+
+
+def test_rarest_token_of_a_batch_at_once(spark, monkeypatch):
+    """Pieces are keyed by their rarest token, equally rare ones by the smallest, without a sort of each piece."""
+    rng = np.random.default_rng(5)
+    idf = np.round(rng.random(40), 1)
+    tails = [rng.integers(0, 40, rng.integers(1, 30)).astype("<u4") for _ in range(300)]
+    want = [min(t.tolist(), key=lambda i: (-idf[i], i)) for t in tails]
+    monkeypatch.setattr(np, "lexsort", None)
+    assert P.rarest(pa.array([t.tobytes() for t in tails], pa.binary()), P.rarity(idf)).tolist() == want
