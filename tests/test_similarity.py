@@ -257,3 +257,20 @@ def test_lambda_and_matrix():
         S.solve_lambda(np.ones((2, 2)), np.full(2, 0.5))
     table = S.Scoring(matrix={("A", "R"): -1, ("A", "A"): 4}).table()
     assert table[ord("A"), ord("R")] == -1 and table[ord("A"), ord("A")] == 4
+
+
+def test_seeds_of_a_record_meet_in_one_task(spark, monkeypatch):
+    """Both joins count the same seeds; the replicated one shuffles places, not diagonals, in bounded tasks."""
+    rng = random.Random(8)
+    make = lambda n, size: [(k, "".join(rng.choice("AB") for _ in range(size))) for k in range(n)]
+    queries = spark.createDataFrame(make(4, 30), "id bigint, text string")
+    records = spark.createDataFrame(make(60, 50), "id bigint, text string").coalesce(1)
+    monkeypatch.setattr(S, "TASK_SEEDS", 100)
+    found = S.seeds(queries, records, "id", "text", size=4, min_seeds=3)
+    total = sum(r.seeds for r in S.seeds(queries, records, "id", "text", size=4, min_seeds=1).collect())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(db_id" in plan and plan.count("hashpartitioning(query_id") == 0
+    assert found.rdd.getNumPartitions() >= total / 100
+    monkeypatch.setattr(S, "REPLICATED_WORDS", 0)
+    joined = S.seeds(queries, records, "id", "text", size=4, min_seeds=3)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, joined.collect())) != []
