@@ -2,8 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
+
+from recordmill.sources.blocks import BATCH_BYTES, locate
+
+# Spark's folder of a null, and the key under which its Parquet files name their types.
+NO_WORKER = "__HIVE_DEFAULT_PARTITION__"
+SPARK_TYPES = "org.apache.spark.sql.parquet.row.metadata"
 
 
 def save_mode(force: bool = False, append: bool = False) -> str:
@@ -49,11 +64,151 @@ def write_parts(df: DataFrame, path: str, part: str = "part", *, raw: str = "raw
     lines.write.mode(save_mode(force)).partitionBy(part).text(path)
 
 
+class _Staged(WriterCommitMessage):
+    def __init__(self, folder: str):
+        self.folder = folder
+
+
+class _SpreadWriter(DataSourceArrowWriter):
+    """Rows sorted by their first column, a worker number: one Parquet file per worker and task.
+
+    Tasks write below a hidden folder of this job; the commit renames whole HH
+    folders, and goes below one only if several tasks have written it.
+    """
+
+    def __init__(self, options, schema: StructType, overwrite: bool):
+        self.uri = options["path"]
+        system, folder = locate(self.uri)
+        self.replaced = [info.path for info in system.get_file_info(fs.FileSelector(folder, allow_not_found=True))]
+        if self.replaced and not overwrite:
+            raise ValueError(f"{self.uri} already exists; use force")
+        self.stage = f"{folder}/_temporary-{uuid.uuid4().hex}"
+        self.types = StructType(schema.fields[1:]).json()
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        system, _ = locate(self.uri)
+        name = f"part-{context.partitionId():05d}-{context.taskAttemptId()}.parquet"
+        attempt = f"{self.stage}/{context.taskAttemptId()}"
+        system.create_dir(attempt)
+        current, out, held, size = None, None, [], 0
+
+        def flush() -> None:
+            nonlocal size
+            if held:
+                out.write_table(pa.Table.from_batches(held).combine_chunks())
+                held.clear()
+                size = 0
+
+        def close() -> None:
+            if out is not None:
+                flush()
+                out.close()
+
+        try:
+            for worker, rows in _runs(batches):
+                if out is None or worker != current:
+                    close()
+                    current, folder = worker, f"{attempt}/{spread_folder(worker)}"
+                    system.create_dir(folder)
+                    out = pq.ParquetWriter(f"{folder}/{name}", rows.schema, filesystem=system, store_schema=False)
+                    out.add_key_value_metadata({SPARK_TYPES: self.types})
+                held.append(rows)
+                size += rows.nbytes
+                if size >= BATCH_BYTES:
+                    flush()
+        finally:
+            close()
+        return _Staged(attempt)
+
+    def commit(self, messages) -> None:
+        system, folder = locate(self.uri)
+        system.create_dir(folder)
+        for info in system.get_file_info(self.replaced):
+            system.delete_dir(info.path) if info.type == fs.FileType.Directory else system.delete_file(info.path)
+        for message in filter(None, messages):
+            _move_into(system, message.folder, folder)
+        self.abort(messages)
+        system.open_output_stream(f"{folder}/_SUCCESS").close()
+
+    def abort(self, messages) -> None:
+        system, _ = locate(self.uri)
+        if system.get_file_info(self.stage).type != fs.FileType.NotFound:
+            system.delete_dir(self.stage)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, pa.RecordBatch]]:
+    """(worker, its rows in a batch) of batches sorted by worker, nulls together."""
+    for batch in batches:
+        workers, rows = batch.column(0), batch.select(list(range(1, batch.num_columns)))
+        none, values = workers.is_null().to_numpy(False), workers.fill_null(0).to_numpy()
+        cuts = np.flatnonzero((values[1:] != values[:-1]) | (none[1:] != none[:-1])) + 1
+        for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            if end > start:
+                yield None if none[start] else int(values[start]), rows.slice(start, end - start)
+
+
+def spread_folder(worker: int | None) -> str:
+    """HH/LL of a worker number: number div 100, number mod 100, both with its sign."""
+    if worker is None:
+        return f"hh={NO_WORKER}/ll={NO_WORKER}"
+    hh, ll = divmod(abs(worker), 100)
+    return f"hh={-hh if worker < 0 else hh:02d}/ll={-ll if worker < 0 else ll:02d}"
+
+
+def _move_into(system: fs.FileSystem, source: str, target: str) -> None:
+    """Rename what ``source`` holds to below ``target``, folder by folder where both have one."""
+    there = {info.base_name for info in system.get_file_info(fs.FileSelector(target))}
+    for info in system.get_file_info(fs.FileSelector(source)):
+        if info.base_name in there:
+            _move_into(system, info.path, f"{target}/{info.base_name}")
+        else:
+            system.move(info.path, f"{target}/{info.base_name}")
+
+
+class SpreadDataSource(DataSource):
+    """Sink ``recordmill_spread``: rows behind a worker number, in a folder HH/LL per worker."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "recordmill_spread"
+
+    def schema(self) -> str:
+        return "worker BIGINT"
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return _SpreadWriter(self.options, schema, overwrite)
+
+
+def _local(spark: SparkSession, path: str) -> bool:
+    """Whether Spark takes ``path`` for one of Hadoop's local file system."""
+    if "://" not in path and not path.startswith("file:"):
+        path = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    return path.startswith("file:")
+
+
 def write_spread(df: DataFrame, path: str, worker: str, *, force=False) -> None:
-    """Folders HH/LL from a worker number: number div 100, number mod 100."""
-    named = df.withColumn("hh", F.format_string("%02d", F.expr(f"`{worker}` div 100"))).withColumn(
-        "ll", F.format_string("%02d", F.expr(f"`{worker}` % 100"))
-    )
-    # One task, or a few for a large worker, writes each folder.
-    named = named.hint("rebalance", "hh", "ll")
-    named.write.mode(save_mode(force)).partitionBy("hh", "ll").parquet(path)
+    """Folders HH/LL from a worker number: number div 100, number mod 100.
+
+    One task, or a few for a large HH, writes all folders of an HH.  Hadoop's
+    local file system starts a ``chmod`` process for every folder, file and
+    checksum file; there the tasks write the files themselves.
+    """
+    kept = [c for c in df.columns if c.lower() not in ("hh", "ll")]
+    if not kept:
+        raise ValueError("no column besides hh and ll")
+    rows = df.select(F.col(f"`{worker}`").cast("long").alias("__worker"), *(F.col(f"`{c}`") for c in kept))
+    dealt = rows.withColumn("__hh", F.expr("__worker div 100")).hint("rebalance", "__hh").drop("__hh")
+    if _local(df.sparkSession, path):
+        df.sparkSession.dataSource.register(SpreadDataSource)
+        dealt = dealt.sortWithinPartitions("__worker")
+        dealt.write.format("recordmill_spread").mode("overwrite" if force else "append").save(path)
+        return
+
+    def two_digits(n: Column) -> Column:
+        return F.lpad(n.cast("string"), F.greatest(F.length(n.cast("string")), F.lit(2)), "0")
+
+    named = dealt.withColumn("hh", two_digits(F.expr("__worker div 100"))).withColumn("ll", two_digits(F.expr("__worker % 100")))
+    named.drop("__worker").write.mode(save_mode(force)).partitionBy("hh", "ll").parquet(path)

@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -211,6 +212,60 @@ def test_pack_records_and_parts(spark, tmp_path):
         writers.save_mode(force=True, append=True)
 
 
+def _processes_started():
+    return next(int(line.split()[1]) for line in open("/proc/stat") if line.startswith("processes"))
+
+
+def test_spread_starts_no_process_per_folder(spark, tmp_path):
+    rows = spark.range(2000).select((F.col("id") % 1000).alias("worker"), "id")
+    writers.write_spread(rows, str(tmp_path / "first"), "worker")
+    before = _processes_started()
+    writers.write_spread(rows, str(tmp_path / "spread"), "worker")
+    assert _processes_started() - before < 1000
+    back = spark.read.parquet(str(tmp_path / "spread"))
+    assert back.columns == ["worker", "id", "hh", "ll"] and back.count() == 2000
+    assert back.where("worker = hh * 100 + ll AND worker = id % 1000").count() == 2000
+    assert sorted(os.listdir(tmp_path / "spread")) == ["_SUCCESS"] + [f"hh={i:02d}" for i in range(10)]
+
+
+@pytest.mark.parametrize("scheme", ["file", "viewfs"])
+def test_spread_types_nulls_and_force(spark, tmp_path, scheme):
+    if scheme == "viewfs":  # a store that Spark alone writes to
+        spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.spread.link./at", f"file://{tmp_path}")
+    path = {"file": f"file://{tmp_path}/spread", "viewfs": "viewfs://spread/at/spread"}[scheme]
+    rows = spark.sql("""
+        SELECT explode(array(7L, 7L, 207L, 12345L, -205L, NULL)) AS worker, 'x' AS ll, 1.50BD AS d, array(1, NULL) AS a,
+          TIMESTAMP '2024-02-03 04:05:06.789' AS t, named_struct('b', X'00ff') AS s, INTERVAL '3' DAY AS i
+    """)
+    writers.write_spread(rows, path, "worker")
+    back = spark.read.parquet(path)
+    assert dict(back.dtypes) == dict(rows.dtypes) | {"hh": "int", "ll": "int"}
+    columns = ["worker", "d", "a", "t", "s", "i"]
+    assert sorted(back.select(columns).collect(), key=repr) == sorted(rows.select(columns).collect(), key=repr)
+    places = back.select("worker", "hh", "ll").distinct().collect()
+    assert {r.worker: (r.hh, r.ll) for r in places} == {
+        7: (0, 7), 207: (2, 7), 12345: (123, 45), -205: (-2, -5), None: (None, None)
+    }
+    with pytest.raises(Exception, match="already exists"):
+        writers.write_spread(rows, path, "worker")
+    writers.write_spread(rows.where("worker = 207"), path, "worker", force=True)
+    assert [(r.hh, r.ll) for r in spark.read.parquet(path).collect()] == [(2, 7)]
+
+
+def test_spread_large_worker_is_split(spark, tmp_path):
+    rows = spark.range(60_000).select(F.when(F.col("id") < 100, F.col("id")).otherwise(7).alias("worker"), F.sha2(F.col("id").cast("string"), 512).alias("v"))
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        writers.write_spread(rows, str(tmp_path / "spread"), "worker")
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert len(os.listdir(tmp_path / "spread" / "hh=00" / "ll=07")) > 1
+    back = spark.read.parquet(str(tmp_path / "spread"))
+    assert back.count() == 60_000 and back.select("v").distinct().count() == 60_000
+    assert back.where("worker <> ll OR hh <> 0").count() == 0
+
+
 def test_mol2(spark, tmp_path):
     path = tmp_path / "m.mol2"
     path.write_text("@<TRIPOS>MOLECULE\nZ1\nx\n@<TRIPOS>MOLECULE\nZ2\ny\n")
