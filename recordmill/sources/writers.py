@@ -212,3 +212,20 @@ def write_spread(df: DataFrame, path: str, worker: str, *, force=False) -> None:
 
     named = dealt.withColumn("hh", two_digits(F.expr("__worker div 100"))).withColumn("ll", two_digits(F.expr("__worker % 100")))
     named.drop("__worker").write.mode(save_mode(force)).partitionBy("hh", "ll").parquet(path)
+
+
+def read_spread(spark: SparkSession, path: str) -> DataFrame:
+    """The rows below ``path``, each with its ``file``.
+
+    Spark's own partition discovery takes time with the square of the number
+    of folders, in the driver; it is for readers that want few of them.
+    """
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    return rows.withColumn("file", F.col("_metadata.file_path"))
+
+
+def folder_numbers(file: Column) -> tuple[Column, Column]:
+    """hh and ll of a file in its folder HH/LL; to be taken once per file rather than per row."""
+    names = [F.regexp_extract(file, r"/hh=([^/]*)/ll=([^/]*)/[^/]*$", i) for i in (1, 2)]
+    hh, ll = (F.nullif(name, F.lit(NO_WORKER)).cast("int") for name in names)
+    return hh.alias("hh"), ll.alias("ll")

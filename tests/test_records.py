@@ -243,6 +243,8 @@ def test_spread_types_nulls_and_force(spark, tmp_path, scheme):
     columns = ["worker", "d", "a", "t", "s", "i"]
     assert sorted(back.select(columns).collect(), key=repr) == sorted(rows.select(columns).collect(), key=repr)
     places = back.select("worker", "hh", "ll").distinct().collect()
+    read = writers.read_spread(spark, path).select(*back.columns[:-2], *writers.folder_numbers(F.col("file")))
+    assert read.dtypes == back.dtypes and sorted(read.collect(), key=repr) == sorted(back.collect(), key=repr)
     assert {r.worker: (r.hh, r.ll) for r in places} == {
         7: (0, 7), 207: (2, 7), 12345: (123, 45), -205: (-2, -5), None: (None, None)
     }
