@@ -73,7 +73,7 @@ class _SpreadWriter(DataSourceArrowWriter):
     """Rows sorted by their first column, a worker number: one Parquet file per worker and task.
 
     Tasks write below a hidden folder of this job; the commit renames whole HH
-    folders, and goes below one only if several tasks have written it.
+    folders, and goes below one only where the ranges of two tasks meet.
     """
 
     def __init__(self, options, schema: StructType, overwrite: bool):
@@ -192,15 +192,18 @@ def _local(spark: SparkSession, path: str) -> bool:
 def write_spread(df: DataFrame, path: str, worker: str, *, force=False) -> None:
     """Folders HH/LL from a worker number: number div 100, number mod 100.
 
-    One task, or a few for a large HH, writes all folders of an HH.  Hadoop's
-    local file system starts a ``chmod`` process for every folder, file and
-    checksum file; there the tasks write the files themselves.
+    A task writes a range of workers; rows of a large worker are split by their
+    hash, so no task holds all of them.  Hadoop's local file system starts a
+    ``chmod`` process for every folder, file and checksum file; there the tasks
+    write the files themselves.
     """
     kept = [c for c in df.columns if c.lower() not in ("hh", "ll")]
     if not kept:
         raise ValueError("no column besides hh and ll")
     rows = df.select(F.col(f"`{worker}`").cast("long").alias("__worker"), *(F.col(f"`{c}`") for c in kept))
-    dealt = rows.withColumn("__hh", F.expr("__worker div 100")).hint("rebalance", "__hh").drop("__hh")
+    # A rebalance would split partitions over its advisory size into tasks that all have files in all their folders.
+    hashed = [F.col(f"`{f.name}`") for f in rows.schema if not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))]
+    dealt = rows.repartitionByRange("__worker", F.xxhash64(*hashed))
     if _local(df.sparkSession, path):
         df.sparkSession.dataSource.register(SpreadDataSource)
         dealt = dealt.sortWithinPartitions("__worker")
